@@ -29,15 +29,11 @@ def above_mark(df: DataFrame, mark: DataFrame, keys: Collection[str] = ()) -> Da
 
     ``mark`` has one ``mark`` row in all, or one per ``keys`` (a topic partition,
     so that a slow partition loses nothing). A key without a mark passes whole.
-    Both are bounded by the number of topic partitions, hence the broadcast.
+    There are no more marks than topic partitions, hence the broadcast.
     """
     if not keys:
-        m = mark.agg(F.max("mark").alias("__mark"))
-        return (
-            df.crossJoin(F.broadcast(m))
-            .where(F.col("__mark").isNull() | (F.col("seq") > F.col("__mark")))
-            .drop("__mark")
-        )
+        highest = mark.agg(F.max("mark")).scalar()
+        return df.where(highest.isNull() | (F.col("seq") > highest))
     m = mark.groupBy(*keys).agg(F.max("mark").alias("__mark"))
     return (
         df.join(F.broadcast(m), list(keys), "left")

@@ -698,7 +698,7 @@ def conserve_money(outcomes: DataFrame, balances: DataFrame) -> DataFrame:
             (F.col("status") == PENDING) & F.col("withdrawn") & F.col("to_id").isNotNull()
         ).alias("stuck"),
     )
-    held = balances.agg(F.coalesce(F.sum("balance"), zero).alias("held"))
-    return flows.crossJoin(F.broadcast(held)).withColumn(
+    held = balances.agg(F.coalesce(F.sum("balance"), zero)).scalar()
+    return flows.withColumn("held", held).withColumn(
         "difference", F.col("held") - (F.col("deposited") - F.col("withdrawn") - F.col("stuck"))
     )

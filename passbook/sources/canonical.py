@@ -25,13 +25,13 @@ from passbook.functions.ids import account_uuid, idempotency_key, transaction_uu
 from passbook.operators.filters import table
 from passbook.schema import (
     ACCOUNT,
-    CATCH_UP,
     CLOSED,
     FROZEN,
     OPEN,
     TRANSACTION,
     TYPED_COLUMNS,
 )
+from passbook.sources.files import stream_table
 
 # Fixed values of the mapping.
 UNKNOWN_BASE = 1_000_000_000
@@ -150,7 +150,7 @@ def _slot_rows() -> list[tuple[str, str, int, Column, Column, dict[str, Column]]
             0,
             (F.col("event_type") == "error") & ~F.col("is_tx"),
             account_uuid("user_id"),
-            {},
+            {"money": F.col("k")},
         ),
     ]
 
@@ -262,4 +262,21 @@ def redelivered(log: DataFrame) -> DataFrame:
     return log.unionByName(again)
 
 
-TOKEN_KIND = CATCH_UP
+def stream_typed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoded log as a change feed of both tables."""
+    return account_openings(_stream(spark, sf_dir, "customer")).unionByName(
+        typed_events(_stream(spark, sf_dir, "events"))
+    )
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stream_table(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
+
+
+def halves(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log up to and after half of its highest position."""
+    middle = F.expr("max(seq) div 2")
+    return (
+        log.where(F.col("seq") <= log.agg(middle).scalar()),
+        log.where(F.col("seq") > log.agg(middle).scalar()),
+    )
