@@ -307,13 +307,14 @@ def reactor(
         spark, f"{folder}/{name}-balances", _schema(("account_id", key), ("balance", _L))
     ).create()
 
-    def balances_before(batch_id: int) -> DataFrame:
-        """The last written state and what the batches after it moved."""
-        at = (batch_id - 1) // compact_every * compact_every
-        moved = settlement.balance_changes(outcomes.read(before=batch_id, after=max(at, NO_BATCH)))
+    def balances(written: int, before: int) -> DataFrame:
+        """The state written by one batch, and what the later ones before another moved."""
+        moved = settlement.balance_changes(
+            outcomes.read(before=before, after=max(written, NO_BATCH))
+        )
         return (
             state.read()
-            .where(F.col("batch_id") == at)
+            .where(F.col("batch_id") == written)
             .select("account_id", "balance")
             .unionByName(moved.withColumnRenamed("amount", "balance"))
             .groupBy("account_id")
@@ -326,9 +327,11 @@ def reactor(
         first = batch.agg(F.min("seq")).scalar()
         done = outcomes.read(before=batch_id).where(F.col("seq") >= first).select("seq")
         fresh = new.join(done, "seq", "left_anti")
-        outcomes.write(settlement.settle(fresh, accounts, balances_before(batch_id)), batch_id)
+        written = (batch_id - 1) // compact_every * compact_every
+        settled = settlement.settle(fresh, accounts, balances(written, batch_id))
+        outcomes.write(settled, batch_id)
         if batch_id % compact_every == 0:
-            state.write(balances_before(batch_id + 1), batch_id)
+            state.write(balances(written, batch_id + 1), batch_id)
 
     return run_projection(stream, name, lambda df: df, apply, folder, every=every)
 
