@@ -14,6 +14,8 @@ It is found as a fixpoint over whole DataFrames:
   x the closing ``max(x + min(t, e - o), e)``: exact for x = o, and exact when
   nothing is rejected. These compose as running sums and maxima, so openings are
   two window functions over one row per part.
+* Once few verdicts change, only the accounts that their deposits reach are folded
+  again; all other verdicts pass through without a shuffle.
 * A verdict depends on earlier positions only. By induction on the position, a
   round whose verdicts and openings repeat equals the serial run, and each round
   settles at least one more part or transfer. Cells before the first difference
@@ -58,12 +60,16 @@ MIN_WIDTH = 1 << 16
 MAX_CELLS = 1 << 12
 SPLIT_LEGS = 1 << 20
 MAX_HEAVY = 10_000
+# With no more changed verdicts than this, a round folds only the accounts they pay into,
+# which are then few enough to broadcast.
+MAX_DIRTY = 100_000
 
 # State of one side of a transfer.
 _NONE, _OPEN, _SELF, _UNKNOWN, _CLOSED, _FROZEN = range(6)
 _DISABLED = {_CLOSED: CLOSED, _FROZEN: FROZEN}
 # Part of an account that is folded whole.
 _WHOLE = -1
+_LEG_COLUMNS = ("account", "cell", "seq", "leg", "money", "to_id", "dest", "ok")
 # Legs of a position in fold order; the opening balance of a part precedes them all.
 _OPENING, _WITHDRAW, _DEPOSIT = -1, 0, 1
 
@@ -114,27 +120,16 @@ def _with_sides(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def _legs(open_transfers: DataFrame) -> DataFrame:
     """Legs under the present verdicts: a withdrawal each, a deposit where one passed."""
-    withdraw = F.struct(
-        F.col("account").alias("account"),
-        F.lit(_WITHDRAW).alias("leg"),
-        F.col("to_id").alias("to_id"),
-        F.col("dest").alias("dest"),
-        F.col("ok").alias("ok"),
-    )
-    deposit = F.when(
-        (F.col("dest") == _OPEN) & F.col("ok"),
-        F.struct(
-            F.col("to_id").alias("account"),
-            F.lit(_DEPOSIT).alias("leg"),
-            F.lit(None).cast(open_transfers.schema["to_id"].dataType).alias("to_id"),
-            F.lit(None).cast("int").alias("dest"),
-            F.lit(None).cast("boolean").alias("ok"),
-        ),
-    )
+    sides = f"""inline(array(
+        named_struct('account', account, 'leg', {_WITHDRAW}, 'to_id', to_id, 'dest', dest, 'ok', ok),
+        if(dest = {_OPEN} AND ok,
+           named_struct('account', to_id, 'leg', {_DEPOSIT},
+                        'to_id', nullif(to_id, to_id), 'dest', nullif(dest, dest), 'ok', true),
+           null)))"""
     return (
-        open_transfers.select("cell", "seq", "money", F.inline(F.array(withdraw, deposit)))
+        open_transfers.selectExpr("cell", "seq", "money", sides)
         .where("leg IS NOT NULL")
-        .select("account", "cell", "seq", "leg", "money", "to_id", "dest", "ok")
+        .select(*_LEG_COLUMNS)
     )
 
 
@@ -249,16 +244,8 @@ def _batch(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _fold(legs: DataFrame, openings: DataFrame) -> DataFrame:
-    """One round: verdict rows (tag 0) and summaries of parts (tag 1)."""
-    key = legs.schema["account"].dataType
-    rows = legs.unionByName(
-        openings.select(
-            "account", "part", F.lit(_OPENING).alias("leg"), F.col("opening").alias("money")
-        ),
-        allowMissingColumns=True,
-    ).select("account", "part", "seq", "leg", "money", "to_id", "dest", "ok", "cell")
-    schema = T.StructType(
+def _result_schema(key: T.DataType) -> T.StructType:
+    return T.StructType(
         [
             T.StructField("tag", T.IntegerType()),
             T.StructField("account", key),
@@ -274,6 +261,14 @@ def _fold(legs: DataFrame, openings: DataFrame) -> DataFrame:
             T.StructField("total", T.LongType()),
         ]
     )
+
+
+def _fold(legs: DataFrame, openings: DataFrame, schema: T.StructType) -> DataFrame:
+    """One round: verdict rows (tag 0) and summaries of parts (tag 1)."""
+    rows = legs.unionByName(
+        openings.selectExpr("account", "part", f"{_OPENING} AS leg", "opening AS money"),
+        allowMissingColumns=True,
+    ).select("account", "part", "seq", "leg", "money", "to_id", "dest", "ok", "cell")
     arrow = _arrow_schema(schema)
     ordered = rows.repartition("account", "part").sortWithinPartitions(
         "account", "part", F.col("seq").asc_nulls_first(), "leg"
@@ -357,13 +352,15 @@ def settle(
     opening: DataFrame | None = None,
     width: int | None = None,
     split_legs: int | None = None,
+    max_dirty: int = MAX_DIRTY,
 ) -> DataFrame:
     """Outcome of every transfer, as if run one by one in ``seq`` order.
 
     ``transfers``: seq (long, unique), from_id, to_id (null for no leg), money.
     ``accounts``: account_id, status. ``opening``: account_id, balance before the
     first transfer (0 where missing). ``width`` is the number of positions per cell,
-    ``split_legs`` the number of legs above which an account is folded in parts.
+    ``split_legs`` the number of legs above which an account is folded in parts, and
+    ``max_dirty`` the number of changes up to which only their accounts are folded.
 
     Returns seq, from_id, to_id, money, status, reason, rollback, withdrawn,
     deposited, refunded.
@@ -386,12 +383,18 @@ def settle(
         heavy = None if heavy.isEmpty() else F.broadcast(heavy.withColumn("heavy", F.lit(True)))
 
     def in_parts(rows: DataFrame) -> DataFrame:
-        whole = F.lit(_WHOLE).cast("long")
         if heavy is None:
-            return rows.withColumn("part", whole)
-        part = F.when(F.col("heavy"), F.col("cell")).otherwise(whole)
+            return rows.withColumn("part", F.lit(_WHOLE).cast("long"))
+        part = F.expr(f"if(heavy, cell, {_WHOLE}L)")
         return rows.join(heavy, "account", "left").withColumn("part", part).drop("heavy")
 
+    def dirty_accounts(changed: DataFrame) -> DataFrame:
+        """Accounts that the changed verdicts pay into, and all that are folded in parts."""
+        paid = changed.where(F.col("dest") == _OPEN).select(F.col("to_id").alias("account"))
+        if heavy is not None:
+            paid = paid.unionByName(heavy.select("account"))
+        return F.broadcast(paid.distinct())
+
     cell = F.expr(f"(seq - {lo}L) div {width}L").cast("long")
     open_transfers = sided.where(F.col("origin") == _OPEN).select(
         F.col("from_id").alias("account"),
@@ -409,8 +412,9 @@ def settle(
         F.lit(_DEPOSIT).alias("leg"),
         "money",
     )
+    key = sided.schema["from_id"].dataType
+    schema = _result_schema(key)
     if opening is None:
-        key = sided.schema["from_id"].dataType
         empty = T.StructType([T.StructField("account", key), T.StructField("balance", T.LongType())])
         base = spark.createDataFrame([], empty)
     else:
@@ -421,6 +425,7 @@ def settle(
     done: list[DataFrame] = []
     first_cell = 0  # cells before it are final
     predicted = None  # openings of parts, where accounts are folded in parts
+    dirty = None  # accounts to fold; the verdicts of all others stand
     round_no = 0
     while True:
         legs = _legs(open_transfers).unionByName(
@@ -433,14 +438,26 @@ def settle(
             openings = openings.where(F.col("part") == _WHOLE).unionByName(
                 predicted.withColumn("part", F.col("cell")), allowMissingColumns=True
             )
+        if dirty is None:
+            folded = _fold(in_parts(legs), openings, schema)
+        else:
+            mine = legs.join(dirty, "account", "left_semi")
+            folded = _fold(in_parts(mine), openings.join(dirty, "account", "left_semi"), schema)
+            others = open_transfers.join(dirty, "account", "left_anti").selectExpr(
+                "*", "0 AS tag", "false AS changed"
+            )
+            folded = folded.unionByName(others, allowMissingColumns=True)
         seen = Observation()
-        folded = _fold(in_parts(legs), openings).observe(
-            seen, F.min(F.when(F.col("changed"), F.col("cell"))).alias("changed")
+        folded = folded.observe(
+            seen,
+            F.min(F.when(F.col("changed"), F.col("cell"))).alias("changed"),
+            F.count_if("changed").alias("changes"),
         )
         result = saved(folded, f"{folder}/round-{round_no:04d}")
         verdicts = result.where("tag = 0").select(
             "account", "cell", "seq", "money", "to_id", "dest", "ok"
         )
+        changes = seen.get["changes"]
         unsettled = [c for c in [seen.get["changed"]] if c is not None]
         if heavy is not None:
             own = base.join(heavy, "account", "left_semi")
@@ -474,6 +491,8 @@ def settle(
         if settled_to > last_cell:
             break
         open_transfers = verdicts.where(F.col("cell") >= first_cell)
+        few = changes <= max_dirty and changes * 8 <= bounds["legs"]
+        dirty = dirty_accounts(result.where("changed")) if few else None
         round_no += 1
 
     tried = done[0]
