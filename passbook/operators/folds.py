@@ -127,6 +127,7 @@ def account_history(log: DataFrame, width: int = WIDTH) -> DataFrame:
             Running("aggregate_version", F.lit(1)),
             Running("balance", signed_money()),
             Running("owner_now", owner, "last"),
+            Running("created", (F.col("kind") == "AccountCreated").cast("int")),
         ],
         width,
     )
@@ -141,7 +142,7 @@ def snapshot_states(
     """
     return (
         account_history(log, width)
-        .where((F.col("aggregate_version") % every == 0) & F.col("owner_now").isNotNull())
+        .where((F.col("aggregate_version") % every == 0) & (F.col("created") > 0))
         .select("aggregate_id", "seq", "aggregate_version", "balance", F.col("owner_now").alias("owner"))
     )
 

@@ -70,12 +70,13 @@ def new_keys(log: DataFrame, stored: DataFrame) -> DataFrame:
 
     Rows without a key always pass. Of a repeated key the first row stays.
     """
-    keyed = log.where(F.col("idempotency_key") > "")
     rest = [c for c in log.columns if c not in ("idempotency_key", "seq")]
+    # Repeats are combined before the shuffle, so a key with many copies is one row in it.
     first = (
-        keyed.join(stored.select("idempotency_key"), "idempotency_key", "left_anti")
+        log.where(F.col("idempotency_key") > "")
         .groupBy("idempotency_key")
         .agg(F.min(F.struct("seq", *rest)).alias("row"))
+        .join(stored.select("idempotency_key"), "idempotency_key", "left_anti")
         .select("idempotency_key", "row.*")
         .select(*log.columns)
     )

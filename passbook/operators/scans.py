@@ -27,9 +27,17 @@ class Running:
 
 
 def running(
-    df: DataFrame, key: str, order: str, columns: list[Running], width: int = WIDTH
+    df: DataFrame,
+    key: str,
+    order: str,
+    columns: list[Running],
+    width: int = WIDTH,
+    start: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the running ``columns``; ``order`` is a number, unique within a key."""
+    """Add the running ``columns``; ``order`` is a number, unique within a key.
+
+    ``start`` holds, per key, the values of ``columns`` before the first row.
+    """
     values = {f"__v{i}": c for i, c in enumerate(columns)}
     rows = df.select(
         "*",
@@ -52,10 +60,16 @@ def running(
         return F.last(v, ignorenulls=c.how == "last").over(earlier).alias(v)
 
     previous = Window.partitionBy(key).orderBy("__range")
+    summaries = rows.groupBy(key, "__range").agg(*[summary(v, c) for v, c in values.items()])
+    if start is not None:
+        before_all = F.lit(-(1 << 62)).cast("long").alias("__range")
+        summaries = summaries.unionByName(
+            start.join(df.select(key).distinct(), key, "left_semi").select(
+                key, before_all, *[F.col(c.name).alias(v) for v, c in values.items()]
+            )
+        )
     carried = (
-        rows.groupBy(key, "__range")
-        .agg(*[summary(v, c) for v, c in values.items()])
-        .select(
+        summaries.select(
             key,
             "__range",
             F.lag("__range").over(previous).alias("__before"),
@@ -88,14 +102,8 @@ def assign_versions(
     log: DataFrame, existing: DataFrame | None = None, width: int = WIDTH
 ) -> DataFrame:
     """Dense 1-based versions per aggregate in log order, after those in ``existing``."""
-    out = running(log, "aggregate_id", "seq", [Running("aggregate_version", F.lit(1))], width)
-    if existing is None:
-        return out
-    return (
-        out.join(existing.select("aggregate_id", "last_version"), "aggregate_id", "left")
-        .withColumn(
-            "aggregate_version",
-            F.col("aggregate_version") + F.coalesce(F.col("last_version"), F.lit(0)),
-        )
-        .drop("last_version")
-    )
+    start = None
+    if existing is not None:
+        start = existing.select("aggregate_id", F.col("last_version").alias("aggregate_version"))
+    version = Running("aggregate_version", F.lit(1))
+    return running(log, "aggregate_id", "seq", [version], width, start)

@@ -18,8 +18,13 @@ It is found as a fixpoint over whole DataFrames:
   again; all other verdicts pass through without a shuffle.
 * A verdict depends on earlier positions only. By induction on the position, a
   round whose verdicts and openings repeat equals the serial run, and each round
-  settles at least one more part or transfer. Cells before the first difference
+  settles at least one more part or transfer. Positions before the first difference
   are final and leave the loop, with their effect kept as opening balances.
+* Accounts that live near zero and pay each other can pass a change back and forth
+  for very many rounds. When the changes stop shrinking, the next slice of at most
+  ``SLICE`` positions is run in order by one task that holds just the balances the
+  slice touches, and the rounds go on behind it. The number of slices between rounds
+  doubles while that does not help.
 
 Every round is written to the shared folder, which cuts its lineage; a lost
 executor costs the current round at most.
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,13 +62,15 @@ from passbook.session import saved, shared_dir
 # Positions are cut into at most MAX_CELLS cells. An account is folded in parts above
 # SPLIT_LEGS legs, or above 1/MAX_HEAVY of all legs, which bounds the number of such
 # accounts by MAX_HEAVY: few enough to broadcast.
-MIN_WIDTH = 1 << 16
+MIN_WIDTH = 1 << 20
 MAX_CELLS = 1 << 12
 SPLIT_LEGS = 1 << 20
 MAX_HEAVY = 10_000
 # With no more changed verdicts than this, a round folds only the accounts they pay into,
 # which are then few enough to broadcast.
 MAX_DIRTY = 100_000
+# Positions that one task may run in order.
+SLICE = 1 << 20
 
 # State of one side of a transfer.
 _NONE, _OPEN, _SELF, _UNKNOWN, _CLOSED, _FROZEN = range(6)
@@ -244,6 +252,51 @@ def _batch(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def _run_in_order(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Verdicts of one slice; rows without a position are opening balances."""
+    balances: dict = {}
+    for batch in batches:
+        verdicts = []
+        rows = zip(*(batch.column(i).to_pylist() for i in range(5)))
+        for account, seq, money, to_id, dest in rows:
+            ok = True
+            if seq is None:
+                balances[account] = money
+            elif account is None:
+                balances[to_id] = balances.get(to_id, 0) + money
+            else:
+                held = balances.get(account, 0)
+                ok = held >= money
+                if ok and dest != _SELF and dest < _CLOSED:
+                    balances[account] = held - money
+                    if dest == _OPEN:
+                        balances[to_id] = balances.get(to_id, 0) + money
+            verdicts.append(ok)
+        out = batch.append_column("ok", pa.array(verdicts, pa.bool_()))
+        keep = pa.compute.and_(pa.compute.is_valid(out["seq"]), pa.compute.is_valid(out["account"]))
+        yield out.filter(keep).select(schema.names).cast(schema)
+
+
+def _in_order(rows: DataFrame, base: DataFrame, schema: T.StructType) -> DataFrame:
+    """Run one slice: transfers and credits (no account) on the balances they touch."""
+    touched = (
+        rows.selectExpr(f"inline(array(struct(account), if(dest = {_OPEN}, struct(to_id AS account), null)))")
+        .where("account IS NOT NULL")
+        .distinct()
+    )
+    opening = base.join(F.broadcast(touched), "account", "left_semi").selectExpr(
+        "account", "balance AS money"
+    )
+    both = rows.unionByName(opening, allowMissingColumns=True)
+    arrow = _arrow_schema(schema)
+    ordered = (
+        both.select("account", "seq", "money", "to_id", "dest", "cell")
+        .repartition(1)
+        .sortWithinPartitions(F.col("seq").asc_nulls_first())
+    )
+    return ordered.mapInArrow(lambda it: _run_in_order(it, arrow), schema)
+
+
 def _result_schema(key: T.DataType) -> T.StructType:
     return T.StructType(
         [
@@ -286,8 +339,8 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.typeName()]) for f in schema.fields])
 
 
-def _predict_openings(summaries: DataFrame, base: DataFrame) -> DataFrame:
-    """Opening balance of each part, from the closings of the parts before it.
+def _predict_openings(summaries: DataFrame, base: DataFrame, first_cell: int) -> DataFrame:
+    """Opening balance of each part from ``first_cell`` on, from the closings before it.
 
     ``used`` is the opening that the last fold had. A window holds one row per part
     of an account, at most ``MAX_CELLS``, and one for the balance before them all.
@@ -301,7 +354,7 @@ def _predict_openings(summaries: DataFrame, base: DataFrame) -> DataFrame:
     ).unionByName(
         base.select(
             "account",
-            F.lit(-1).cast("long").alias("cell"),
+            F.lit(first_cell - 1).cast("long").alias("cell"),
             F.lit(0).cast("long").alias("used"),
             F.col("balance").alias("moves"),
             F.col("balance").alias("floor"),
@@ -316,7 +369,7 @@ def _predict_openings(summaries: DataFrame, base: DataFrame) -> DataFrame:
     return (
         summed.withColumn("close", closing)
         .select("account", "cell", "used", F.coalesce(F.lag("close").over(w), F.lit(0)).alias("opening"))
-        .where("cell >= 0")
+        .where(F.col("cell") >= first_cell)
     )
 
 
@@ -353,6 +406,7 @@ def settle(
     width: int | None = None,
     split_legs: int | None = None,
     max_dirty: int = MAX_DIRTY,
+    slice_width: int = SLICE,
 ) -> DataFrame:
     """Outcome of every transfer, as if run one by one in ``seq`` order.
 
@@ -360,7 +414,8 @@ def settle(
     ``accounts``: account_id, status. ``opening``: account_id, balance before the
     first transfer (0 where missing). ``width`` is the number of positions per cell,
     ``split_legs`` the number of legs above which an account is folded in parts, and
-    ``max_dirty`` the number of changes up to which only their accounts are folded.
+    ``max_dirty`` the number of changes up to which only their accounts are folded;
+    ``slice_width`` is the number of positions run in order where rounds do not help.
 
     Returns seq, from_id, to_id, money, status, reason, rollback, withdrawn,
     deposited, refunded.
@@ -414,6 +469,8 @@ def settle(
     )
     key = sided.schema["from_id"].dataType
     schema = _result_schema(key)
+    names = ("account", "cell", "seq", "money", "to_id", "dest", "ok")
+    open_schema = T.StructType([schema[n] for n in names])
     if opening is None:
         empty = T.StructType([T.StructField("account", key), T.StructField("balance", T.LongType())])
         base = spark.createDataFrame([], empty)
@@ -422,21 +479,44 @@ def settle(
             opening.select(F.col("account_id").alias("account"), "balance"), f"{folder}/opening"
         )
 
+    hi = bounds["hi"]
     done: list[DataFrame] = []
-    first_cell = 0  # cells before it are final
+    open_from = lo  # positions before it are final
     predicted = None  # openings of parts, where accounts are folded in parts
     dirty = None  # accounts to fold; the verdicts of all others stand
-    round_no = 0
+    steps = 0
+    slow = 0  # rounds in a row whose changes did not halve
+    slices = 1
+    last_changes = None
+
+    def path(kind: str) -> str:
+        return f"{folder}/{kind}-{steps:05d}"
+
+    def keep(final: DataFrame, upto: int) -> None:
+        """Take the verdicts before ``upto`` as final and put their effect in the base."""
+        nonlocal base, open_from
+        done.append(final)
+        if upto <= hi:
+            moved = _legs(final).unionByName(
+                credits.where((F.col("seq") >= open_from) & (F.col("seq") < upto)),
+                allowMissingColumns=True,
+            )
+            merged = _net(moved).unionByName(base).groupBy("account")
+            base = saved(merged.agg(F.sum("balance").alias("balance")), path("base"))
+        open_from = upto
+
     while True:
+        first_cell = (open_from - lo) // width
         legs = _legs(open_transfers).unionByName(
-            credits.where(F.col("cell") >= first_cell), allowMissingColumns=True
+            credits.where(F.col("seq") >= open_from), allowMissingColumns=True
         )
         openings = in_parts(
             base.withColumn("cell", F.lit(first_cell).cast("long"))
         ).withColumnRenamed("balance", "opening")
         if predicted is not None:
-            openings = openings.where(F.col("part") == _WHOLE).unionByName(
-                predicted.withColumn("part", F.col("cell")), allowMissingColumns=True
+            # The base opens the first part, the predictions open those after it.
+            openings = openings.unionByName(
+                predicted.where(F.col("cell") > first_cell).withColumn("part", F.col("cell"))
             )
         if dirty is None:
             folded = _fold(in_parts(legs), openings, schema)
@@ -450,50 +530,61 @@ def settle(
         seen = Observation()
         folded = folded.observe(
             seen,
-            F.min(F.when(F.col("changed"), F.col("cell"))).alias("changed"),
-            F.count_if("changed").alias("changes"),
+            F.min(F.when(F.col("changed"), F.col("seq"))).alias("first"),
+            F.count_if("changed").alias("count"),
         )
-        result = saved(folded, f"{folder}/round-{round_no:04d}")
-        verdicts = result.where("tag = 0").select(
-            "account", "cell", "seq", "money", "to_id", "dest", "ok"
-        )
-        changes = seen.get["changes"]
-        unsettled = [c for c in [seen.get["changed"]] if c is not None]
+        result = saved(folded, path("round"))
+        verdicts = result.where("tag = 0").select(*names)
+        front = hi + 1 if seen.get["first"] is None else seen.get["first"]
+        changes = verdict_changes = seen.get["count"]
         if heavy is not None:
             own = base.join(heavy, "account", "left_semi")
+            differs = F.col("used") != F.col("opening")
             seen = Observation()
-            off = F.when(F.col("used") != F.col("opening"), F.col("cell"))
             predicted = saved(
-                _predict_openings(result.where("tag = 1"), own).observe(
-                    seen, F.min(off).alias("off")
+                _predict_openings(result.where("tag = 1"), own, first_cell).observe(
+                    seen,
+                    F.min(F.when(differs, F.col("cell"))).alias("first"),
+                    F.count_if(differs).alias("count"),
                 ),
-                f"{folder}/openings-{round_no:04d}",
+                path("openings"),
             ).select("account", "cell", "opening")
-            unsettled += [c for c in [seen.get["off"]] if c is not None]
-        settled_to = min(unsettled, default=last_cell + 1)
-        if settled_to > first_cell:
-            final = verdicts.where(
-                (F.col("cell") >= first_cell) & (F.col("cell") < settled_to)
-            )
-            done.append(final)
-            if settled_to <= last_cell:
-                moved = _legs(final).unionByName(
-                    credits.where((F.col("cell") >= first_cell) & (F.col("cell") < settled_to)),
-                    allowMissingColumns=True,
-                )
-                base = saved(
-                    _net(moved).unionByName(base).groupBy("account").agg(F.sum("balance").alias("balance")),
-                    f"{folder}/base-{round_no:04d}",
-                )
-                if predicted is not None:
-                    predicted = predicted.where(F.col("cell") >= settled_to)
-                first_cell = settled_to
-        if settled_to > last_cell:
+            if seen.get["first"] is not None:
+                front = min(front, lo + seen.get["first"] * width)
+            changes += seen.get["count"]
+        steps += 1
+        if changes == 0:
+            keep(verdicts, hi + 1)
             break
-        open_transfers = verdicts.where(F.col("cell") >= first_cell)
-        few = changes <= max_dirty and changes * 8 <= bounds["legs"]
+        slow = slow + 1 if last_changes is not None and changes * 2 > last_changes else 0
+        last_changes = changes
+        stalled = slow >= 2
+        # Retire settled positions when they are a good part of what is open.
+        if stalled or (last_cell > 0 and (front - open_from) * 16 >= hi + 1 - open_from):
+            if front > open_from:
+                keep(verdicts.where(F.col("seq") < front), front)
+        open_transfers = verdicts.where(F.col("seq") >= open_from)
+        few = verdict_changes <= max_dirty and verdict_changes * 8 <= bounds["legs"]
         dirty = dirty_accounts(result.where("changed")) if few else None
-        round_no += 1
+        if stalled:
+            for _ in range(slices):
+                steps += 1
+                upto = min(open_from + slice_width, hi + 1)
+                inside = (F.col("seq") >= open_from) & (F.col("seq") < upto)
+                paid = credits.where(inside).selectExpr(
+                    "seq", "money", "cell", "account AS to_id", f"{_OPEN} AS dest"
+                )
+                rows = open_transfers.where(inside).drop("ok").unionByName(
+                    paid, allowMissingColumns=True
+                )
+                keep(saved(_in_order(rows, base, open_schema), path("slice")), upto)
+                if upto > hi:
+                    break
+            if open_from > hi:
+                break
+            open_transfers = open_transfers.where(F.col("seq") >= open_from)
+            dirty, slow, last_changes = None, 0, None
+            slices *= 2
 
     tried = done[0]
     for part in done[1:]:

@@ -29,9 +29,9 @@ def create_if_new(new: DataFrame, known: DataFrame, key: str = "tx_id") -> DataF
     """Rows of unknown ids, one per id; the earliest of repeated ones is inserted."""
     rest = [c for c in new.columns if c not in (key, "seq")]
     return (
-        new.join(known.select(key).distinct(), key, "left_anti")
-        .groupBy(key)
+        new.groupBy(key)
         .agg(F.min(F.struct("seq", *rest)).alias("row"))
+        .join(known.select(key).distinct(), key, "left_anti")
         .select(key, "row.*")
     )
 

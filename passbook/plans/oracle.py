@@ -141,12 +141,13 @@ HIST = f"""
 hist AS (SELECT seq, aggregate_id, kind, money,
   row_number() OVER w AS aggregate_version,
   CAST(sum({SIGNED}) OVER w AS BIGINT) AS balance,
-  last_value(owner IGNORE NULLS) OVER w AS owner
+  last_value(owner IGNORE NULLS) OVER w AS owner,
+  count(*) FILTER (kind = 'AccountCreated') OVER w AS created
   FROM ev WHERE kind IN {ACCOUNT_KINDS}
   WINDOW w AS (PARTITION BY aggregate_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 SNAP = HIST + """,
 snap AS (SELECT aggregate_id, seq, aggregate_version, balance, owner FROM hist
-  WHERE aggregate_version % 50 = 0 AND owner IS NOT NULL)"""
+  WHERE aggregate_version % 50 = 0 AND created > 0)"""
 
 MIXED = "CASE WHEN {0} % 37 = 5 THEN 'FROZEN' WHEN {0} % 41 = 7 THEN 'CLOSED' ELSE 'OPEN' END"
 

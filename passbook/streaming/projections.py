@@ -74,15 +74,22 @@ BALANCE_ROWS = _schema(
 )
 
 
-def deduplicated(stream: DataFrame, watermark: str | None = None) -> DataFrame:
+def deduplicated(stream: DataFrame, watermark: str | None = None, spread: int = 16) -> DataFrame:
     """One row per log position. State grows with the log unless ``watermark`` bounds
-    how late a redelivery may come (by ``created_at``)."""
+    how late a redelivery may come (by ``created_at``).
+
+    Copies are dropped twice: first within ``spread`` random shares of each position,
+    so that a row delivered very often is worked off by many tasks, then across them.
+    """
+    shared = stream.withColumn("__share", F.floor(F.rand() * spread))
     if watermark is None:
-        return stream.dropDuplicates(["seq"])
+        return shared.dropDuplicates(["seq", "__share"]).dropDuplicates(["seq"]).drop("__share")
     return (
-        stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
+        shared.withColumn("created_at", F.col("created_at").cast("timestamp"))
         .withWatermark("created_at", watermark)
+        .dropDuplicatesWithinWatermark(["seq", "__share"])
         .dropDuplicatesWithinWatermark(["seq"])
+        .drop("__share")
     )
 
 
