@@ -166,20 +166,55 @@ def join_snapshot_tail(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def fold_from_snapshot(log: DataFrame, snapshots: DataFrame) -> DataFrame:
+def fold_from_snapshot(log: DataFrame, snapshots: DataFrame, width: int = WIDTH) -> DataFrame:
     """Account state from the newest snapshot and the events after it.
 
-    The snapshot enters as an opening event, so one fold covers both.
+    Events are first summed per account and range of positions, before any shuffle by
+    account, so a busy account enters the join with its snapshot as one row per range.
+    Only the range that a snapshot falls into is looked at event by event, keyed by
+    account and range.
     """
-    base = latest_snapshots(snapshots).select(
+    events = log.where(F.col("kind").isin(*ACCOUNT_KINDS)).select(
         "aggregate_id",
-        F.col("snapshot_seq").alias("seq"),
-        F.lit("AccountCreated").alias("kind"),
-        F.col("balance").alias("money"),
+        "seq",
+        F.expr(f"seq div {width}").alias("range"),
+        signed_money().alias("amount"),
+        F.when(F.col("kind").isin(*OWNER_KINDS), F.col("owner")).alias("owner"),
+        F.when(F.col("kind").isin(*OWNER_KINDS), F.col("seq")).alias("owner_seq"),
+        (F.col("kind") == "AccountCreated").alias("created"),
+    )
+    latest = latest_snapshots(snapshots).withColumn("at", F.expr(f"snapshot_seq div {width}"))
+    mark = latest.select("aggregate_id", "at", "snapshot_seq")
+    state = [
+        F.sum("amount").alias("amount"),
+        F.max_by("owner", "owner_seq").alias("owner"),
+        F.max("owner_seq").alias("owner_seq"),
+        F.max("created").alias("created"),
+    ]
+    columns = ("aggregate_id", "amount", "owner", "owner_seq", "created")
+    later = (
+        events.groupBy("aggregate_id", "range")
+        .agg(*state)
+        .join(mark, "aggregate_id", "left")
+        .where(F.col("at").isNull() | (F.col("range") > F.col("at")))
+    )
+    edge = events.join(mark.withColumnRenamed("at", "range"), ["aggregate_id", "range"]).where(
+        F.col("seq") > F.col("snapshot_seq")
+    )
+    base = latest.select(
+        "aggregate_id",
+        F.col("balance").alias("amount"),
         "owner",
+        F.col("snapshot_seq").alias("owner_seq"),
+        F.lit(True).alias("created"),
+    )
+    parts = later.select(*columns).unionByName(edge.select(*columns)).unionByName(base)
+    return (
+        parts.groupBy(F.col("aggregate_id").alias("id"))
+        .agg(*state)
+        .where("created")
+        .select("id", "owner", F.col("amount").alias("balance"), F.lit(OPEN).alias("status"))
     )
-    tail = join_snapshot_tail(log, snapshots).select("aggregate_id", "seq", "kind", "money", "owner")
-    return fold_account_state(tail.unionByName(base))
 
 
 def fold_custom(

@@ -332,8 +332,7 @@ def join_events_to_transaction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_snapshot_tail(spark: SparkSession, d: str) -> DataFrame:
-    log = account_log(spark, d)
-    return folds.join_snapshot_tail(log, folds.snapshot_states(log)).select(
+    return folds.join_snapshot_tail(account_log(spark, d), write_snapshots(spark, d)).select(
         "seq", "aggregate_id", "kind", "snapshot_seq"
     )
 
@@ -364,8 +363,7 @@ def snapshot_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_from_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    log = account_log(spark, d)
-    return folds.fold_from_snapshot(log, folds.snapshot_states(log))
+    return folds.fold_from_snapshot(account_log(spark, d), write_snapshots(spark, d))
 
 
 def check_version_unique(spark: SparkSession, d: str) -> DataFrame:
@@ -384,9 +382,7 @@ def count_tx_by_status(spark: SparkSession, d: str) -> DataFrame:
 
 def check_snapshot_fk(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots against a log that lost its withdrawals."""
-    snapshots = folds.snapshot_states(account_log(spark, d)).withColumn(
-        "id", F.concat(F.lit("ev-"), F.col("seq").cast("string"))
-    )
+    snapshots = write_snapshots(spark, d)
     kept = [k for k in ACCOUNT_KINDS if k != "MoneyWithdrawn"]
     log = canonical.raw_log(spark, d, kept).select("id")
     return checks.orphan_snapshots(snapshots, log).select("id", "aggregate_id", "aggregate_version")

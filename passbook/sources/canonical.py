@@ -186,19 +186,31 @@ def typed_events(events: DataFrame, kinds: Collection[str] | None = None) -> Dat
     cmd = commands(events).withColumn("is_tx", _is_transfer())
     cmd = cmd.withColumn("f", F.when(F.col("is_tx"), _origin()))
     cmd = cmd.withColumn("o", F.when(F.col("is_tx"), _destination()))
-    structs = []
-    for kind, aggregate, slot, applies, agg_id, fields in rows:
-        struct = F.struct(
-            (F.col("seq") * SLOTS + slot).alias("seq"),
-            agg_id.alias("aggregate_id"),
-            F.lit(aggregate).alias("aggregate_kind"),
-            F.lit(kind).alias("kind"),
-            *[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in _TYPES.items()],
-            F.col("created_at").alias("created_at"),
-        )
-        structs.append(F.when(applies, struct))
-    # A branch that does not apply is a null struct: inline gives it an all-null row.
-    return cmd.select(F.inline(F.array(*structs))).where("seq IS NOT NULL").select(*TYPED_COLUMNS)
+    # Only the numbers of the emitted events are exploded; their columns come after, so
+    # that unused ones are never computed.
+    emitted = F.array(*[F.when(r[3], F.lit(i)) for i, r in enumerate(rows)])
+    out = cmd.select("*", F.explode(emitted).alias("n")).where("n IS NOT NULL")
+
+    def by_event(values: list[Column], dtype: str) -> Column:
+        """The value of event n: one branch per distinct value."""
+        branches: dict[str, tuple[Column, list[int]]] = {}
+        for i, v in enumerate(values):
+            branches.setdefault(str(v), (v, []))[1].append(i)
+        out = None
+        for value, numbers in branches.values():
+            hit = F.col("n").isin(numbers)
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out.cast(dtype)
+
+    null = F.lit(None)
+    return out.select(
+        (F.col("seq") * SLOTS + by_event([F.lit(r[2]) for r in rows], "int")).alias("seq"),
+        by_event([r[4] for r in rows], "string").alias("aggregate_id"),
+        by_event([F.lit(r[1]) for r in rows], "string").alias("aggregate_kind"),
+        by_event([F.lit(r[0]) for r in rows], "string").alias("kind"),
+        *[by_event([r[5].get(n, null) for r in rows], t).alias(n) for n, t in _TYPES.items()],
+        "created_at",
+    )
 
 
 def account_openings(customer: DataFrame) -> DataFrame:

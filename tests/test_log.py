@@ -159,8 +159,9 @@ def test_snapshot_plus_tail_equals_full_fold(spark):
         events.append((seq, key, kind, f"w{seq}" if kind == "OwnerUpdated" else rng.randint(0, 9)))
     df = log(spark, events).fillna({"money": 0})
     snapshots = folds.snapshot_states(df, every=7, width=50)
-    got = folds.fold_from_snapshot(df, snapshots)
-    assert sorted(rows(got)) == sorted(rows(folds.fold_account_state(df)))
+    want = sorted(rows(folds.fold_account_state(df)))
+    for width in (1, 50, 1 << 20):
+        assert sorted(rows(folds.fold_from_snapshot(df, snapshots, width))) == want
     assert joins.money_events(folds.join_snapshot_tail(df, snapshots)).count() < df.count() / 3
 
 
