@@ -32,8 +32,8 @@ def above_mark(df: DataFrame, mark: DataFrame, keys: Collection[str] = ()) -> Da
     There are no more marks than topic partitions, hence the broadcast.
     """
     if not keys:
-        highest = mark.agg(F.max("mark")).scalar()
-        return df.where(highest.isNull() | (F.col("seq") > highest))
+        lowest = F.lit(-(1 << 63)).cast("long")
+        return df.where(F.col("seq") > mark.agg(F.coalesce(F.max("mark"), lowest)).scalar())
     m = mark.groupBy(*keys).agg(F.max("mark").alias("__mark"))
     return (
         df.join(F.broadcast(m), list(keys), "left")

@@ -89,7 +89,12 @@ def stream_catch_up_then_live(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    return p.rebuild(canonical.typed_log(spark, d), f"{shared_dir(spark, 'rebuild')}/build=1")
+    """A build over the first half of the log, replaced by one over all of it."""
+    folder = shared_dir(spark, "rebuild")
+    log = canonical.typed_log(spark, d)
+    for build, part in enumerate((halves(log)[0], log), start=1):
+        p.rebuild(part, folder, build)
+    return p.read_rebuilt(spark, folder)
 
 
 def stream_forward(spark: SparkSession, d: str) -> DataFrame:

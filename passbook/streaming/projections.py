@@ -32,7 +32,6 @@ from passbook.schema import (
     TERMINAL_KINDS,
     TRANSACTION_KINDS,
 )
-from passbook.session import saved
 from passbook.streaming.batches import NO_BATCH, BatchTable
 
 _S, _L, _B = T.StringType(), T.LongType(), T.BooleanType()
@@ -222,9 +221,18 @@ def read_marks(
 # Rebuild, forward, transaction status -----------------------------------------------------
 
 
-def rebuild(log: DataFrame, path: str) -> DataFrame:
-    """Replay the whole log into a new table; readers switch when it is complete."""
-    return saved(fold_balance_projection(log), path)
+def rebuild(log: DataFrame, folder: str, build: int) -> None:
+    """Replay the whole log into a build of its own; readers stay on the last one until
+    this one is committed."""
+    documents = fold_balance_projection(log)
+    documents.write.mode("overwrite").parquet(f"{folder}/build={build}")
+
+
+def read_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the newest build."""
+    builds = spark.read.option("basePath", folder).parquet(folder)
+    newest = builds.agg(F.max("build")).scalar()
+    return builds.where(F.col("build") == newest).drop("build")
 
 
 def forward(
