@@ -32,11 +32,8 @@ executor costs the current round at most.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +41,21 @@ from pyspark.sql import types as T
 from passbook.functions.ids import account_uuid, idempotency_key, transaction_uuid
 from passbook.functions.money import disabled_reason, failure_reason
 from passbook.operators.joins import lookup
+from passbook.operators.tasks import (
+    CLOSED_SIDE,
+    DEPOSIT_LEG,
+    FROZEN_SIDE,
+    NO_SIDE,
+    OPEN_SIDE,
+    OPENING_LEG,
+    SELF_SIDE,
+    UNKNOWN_SIDE,
+    WHOLE,
+    WITHDRAW_LEG,
+    arrow_schema,
+    fold_partition,
+    run_in_order,
+)
 from passbook.schema import (
     ACCOUNT,
     CLOSED,
@@ -72,24 +84,18 @@ MAX_DIRTY = 100_000
 # Positions that one task may run in order.
 SLICE = 1 << 20
 
-# State of one side of a transfer.
-_NONE, _OPEN, _SELF, _UNKNOWN, _CLOSED, _FROZEN = range(6)
-_DISABLED = {_CLOSED: CLOSED, _FROZEN: FROZEN}
-# Part of an account that is folded whole.
-_WHOLE = -1
+_DISABLED = {CLOSED_SIDE: CLOSED, FROZEN_SIDE: FROZEN}
 _LEG_COLUMNS = ("account", "cell", "seq", "leg", "money", "to_id", "dest", "ok")
-# Legs of a position in fold order; the opening balance of a part precedes them all.
-_OPENING, _WITHDRAW, _DEPOSIT = -1, 0, 1
 
 
 def _side_state(key: str, status: str) -> Column:
     s = F.col(status)
     return (
-        F.when(F.col(key).isNull(), _NONE)
-        .when(s.isNull(), _UNKNOWN)
-        .when(s == OPEN, _OPEN)
-        .when(s == CLOSED, _CLOSED)
-        .when(s == FROZEN, _FROZEN)
+        F.when(F.col(key).isNull(), NO_SIDE)
+        .when(s.isNull(), UNKNOWN_SIDE)
+        .when(s == OPEN, OPEN_SIDE)
+        .when(s == CLOSED, CLOSED_SIDE)
+        .when(s == FROZEN, FROZEN_SIDE)
         .otherwise(F.raise_error(F.concat(F.lit("unknown account status "), s)))
     )
 
@@ -114,7 +120,7 @@ def _with_sides(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
         )
         out = lookup(out, f"{side}_id", "seq", dim, "__acc")
     to_state = F.when(
-        (F.col("to_status") == OPEN) & (F.col("from_id") == F.col("to_id")), _SELF
+        (F.col("to_status") == OPEN) & (F.col("from_id") == F.col("to_id")), SELF_SIDE
     ).otherwise(_side_state("to_id", "to_status"))
     return out.select(
         "seq",
@@ -129,9 +135,9 @@ def _with_sides(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
 def _legs(open_transfers: DataFrame) -> DataFrame:
     """Legs under the present verdicts: a withdrawal each, a deposit where one passed."""
     sides = f"""inline(array(
-        named_struct('account', account, 'leg', {_WITHDRAW}, 'to_id', to_id, 'dest', dest, 'ok', ok),
-        if(dest = {_OPEN} AND ok,
-           named_struct('account', to_id, 'leg', {_DEPOSIT},
+        named_struct('account', account, 'leg', {WITHDRAW_LEG}, 'to_id', to_id, 'dest', dest, 'ok', ok),
+        if(dest = {OPEN_SIDE} AND ok,
+           named_struct('account', to_id, 'leg', {DEPOSIT_LEG},
                         'to_id', nullif(to_id, to_id), 'dest', nullif(dest, dest), 'ok', true),
            null)))"""
     return (
@@ -141,146 +147,10 @@ def _legs(open_transfers: DataFrame) -> DataFrame:
     )
 
 
-def _fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Run the legs of sorted (account, part) groups in order, batch by batch.
-
-    Emits each withdrawal with its new verdict, and one summary row per part of an
-    account that is folded in parts. A
-    group whose running balance never falls short is done with array operations;
-    the others take a plain loop from their first shortfall on.
-    """
-    group = None  # (account, part) left open by the batch before
-    balance = opening = total = 0
-
-    def summary(rows: list[tuple]) -> pa.RecordBatch:
-        n = len(rows)
-        columns = dict(zip(("account", "cell", "opening", "closing", "total"), zip(*rows)))
-        columns["tag"] = [1] * n
-        return _batch(columns, n, schema)
-
-    for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        account = batch.column(0).to_numpy(zero_copy_only=False)
-        part = batch.column(1).to_numpy(zero_copy_only=False)
-        leg = batch.column(3).to_numpy(zero_copy_only=False)
-        money = batch.column(4).to_numpy(zero_copy_only=False)
-        dest = batch.column(6).fill_null(_NONE).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(
-            np.concatenate(([True], (account[1:] != account[:-1]) | (part[1:] != part[:-1])))
-        )
-        ends = np.append(starts[1:], n)
-        closed: list[tuple] = []
-        resumed = group is not None and group == (account[0], part[0])
-        if group is not None and not resumed and group[1] != _WHOLE:
-            closed.append((*group, opening, balance, total))
-        is_w, is_o = leg == _WITHDRAW, leg == _OPENING
-        # A withdrawal that only tests the funds: self transfers and refunded ones.
-        still = is_w & ((dest == _SELF) | (dest >= _CLOSED))
-        delta = np.where(is_w, np.where(still, 0, -money), money)
-        running = np.cumsum(delta)
-        size = ends - starts
-        at_start = np.zeros(len(starts), dtype=np.int64)
-        if resumed:
-            at_start[0] = balance
-        before = running - delta - np.repeat(running[starts] - delta[starts] - at_start, size)
-        accept = ~is_w | (before >= money)
-        short = np.flatnonzero(~accept)
-        if len(short):
-            first = short[np.searchsorted(short, starts[np.unique(np.searchsorted(starts, short, "right") - 1)])]
-            for lo in first:
-                hi = int(ends[np.searchsorted(starts, lo, "right") - 1])
-                verdicts = []
-                b = int(before[lo])
-                for w, m, d in zip(
-                    is_w[lo:hi].tolist(), money[lo:hi].tolist(), delta[lo:hi].tolist()
-                ):
-                    ok = not w or b >= m
-                    verdicts.append(ok)
-                    if ok:
-                        b += d
-                accept[lo:hi] = verdicts
-        closing = at_start + np.add.reduceat(np.where(accept, delta, 0), starts)
-        moved = np.add.reduceat(np.where(is_o, 0, delta), starts)
-        opened = np.add.reduceat(np.where(is_o, money, 0), starts)
-        if resumed:
-            moved[0] += total
-            opened[0] = opening
-        for i in np.flatnonzero(part[starts[:-1]] != _WHOLE):
-            s = starts[i]
-            closed.append((account[s], int(part[s]), int(opened[i]), int(closing[i]), int(moved[i])))
-        last = starts[-1]
-        group = (account[last], part[last])
-        opening, balance, total = int(opened[-1]), int(closing[-1]), int(moved[-1])
-        pick = np.flatnonzero(is_w)
-        if len(pick):
-            taken = batch.take(pa.array(pick))
-            ok = accept[pick]
-            old = taken.column(7).to_numpy(zero_copy_only=False).astype(bool)
-            yield _batch(
-                {
-                    "tag": np.zeros(len(pick), dtype=np.int32),
-                    "account": taken.column(0),
-                    "cell": taken.column(8),
-                    "seq": taken.column(2),
-                    "money": taken.column(4),
-                    "to_id": taken.column(5),
-                    "dest": taken.column(6),
-                    "ok": ok,
-                    "changed": ok != old,
-                },
-                len(pick),
-                schema,
-            )
-        if closed:
-            yield summary(closed)
-    if group is not None and group[1] != _WHOLE:
-        yield summary([(*group, opening, balance, total)])
-
-
-def _batch(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
-    arrays = []
-    for f in schema:
-        value = columns.get(f.name)
-        if value is None:
-            arrays.append(pa.nulls(n, f.type))
-        elif isinstance(value, pa.Array):
-            arrays.append(value.cast(f.type))
-        else:
-            arrays.append(pa.array(value, type=f.type))
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
-def _run_in_order(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Verdicts of one slice; rows without a position are opening balances."""
-    balances: dict = {}
-    for batch in batches:
-        verdicts = []
-        rows = zip(*(batch.column(i).to_pylist() for i in range(5)))
-        for account, seq, money, to_id, dest in rows:
-            ok = True
-            if seq is None:
-                balances[account] = money
-            elif account is None:
-                balances[to_id] = balances.get(to_id, 0) + money
-            else:
-                held = balances.get(account, 0)
-                ok = held >= money
-                if ok and dest != _SELF and dest < _CLOSED:
-                    balances[account] = held - money
-                    if dest == _OPEN:
-                        balances[to_id] = balances.get(to_id, 0) + money
-            verdicts.append(ok)
-        out = batch.append_column("ok", pa.array(verdicts, pa.bool_()))
-        keep = pa.compute.and_(pa.compute.is_valid(out["seq"]), pa.compute.is_valid(out["account"]))
-        yield out.filter(keep).select(schema.names).cast(schema)
-
-
 def _in_order(rows: DataFrame, base: DataFrame, schema: T.StructType) -> DataFrame:
     """Run one slice: transfers and credits (no account) on the balances they touch."""
     touched = (
-        rows.selectExpr(f"inline(array(struct(account), if(dest = {_OPEN}, struct(to_id AS account), null)))")
+        rows.selectExpr(f"inline(array(struct(account), if(dest = {OPEN_SIDE}, struct(to_id AS account), null)))")
         .where("account IS NOT NULL")
         .distinct()
     )
@@ -288,13 +158,13 @@ def _in_order(rows: DataFrame, base: DataFrame, schema: T.StructType) -> DataFra
         "account", "balance AS money"
     )
     both = rows.unionByName(opening, allowMissingColumns=True)
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
     ordered = (
         both.select("account", "seq", "money", "to_id", "dest", "cell")
         .repartition(1)
         .sortWithinPartitions(F.col("seq").asc_nulls_first())
     )
-    return ordered.mapInArrow(lambda it: _run_in_order(it, arrow), schema)
+    return ordered.mapInArrow(partial(run_in_order, schema=arrow), schema)
 
 
 def _result_schema(key: T.DataType) -> T.StructType:
@@ -319,24 +189,14 @@ def _result_schema(key: T.DataType) -> T.StructType:
 def _fold(legs: DataFrame, openings: DataFrame, schema: T.StructType) -> DataFrame:
     """One round: verdict rows (tag 0) and summaries of parts (tag 1)."""
     rows = legs.unionByName(
-        openings.selectExpr("account", "part", f"{_OPENING} AS leg", "opening AS money"),
+        openings.selectExpr("account", "part", f"{OPENING_LEG} AS leg", "opening AS money"),
         allowMissingColumns=True,
     ).select("account", "part", "seq", "leg", "money", "to_id", "dest", "ok", "cell")
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
     ordered = rows.repartition("account", "part").sortWithinPartitions(
         "account", "part", F.col("seq").asc_nulls_first(), "leg"
     )
-    return ordered.mapInArrow(lambda it: _fold_partition(it, arrow), schema)
-
-
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    kinds = {
-        "integer": pa.int32(),
-        "long": pa.int64(),
-        "string": pa.string(),
-        "boolean": pa.bool_(),
-    }
-    return pa.schema([(f.name, kinds[f.dataType.typeName()]) for f in schema.fields])
+    return ordered.mapInArrow(partial(fold_partition, schema=arrow), schema)
 
 
 def _predict_openings(summaries: DataFrame, base: DataFrame, first_cell: int) -> DataFrame:
@@ -375,9 +235,9 @@ def _predict_openings(summaries: DataFrame, base: DataFrame, first_cell: int) ->
 
 def _net(legs: DataFrame) -> DataFrame:
     """What accepted legs move, per account."""
-    still = F.col("dest").isin(_SELF, *_DISABLED)
+    still = F.col("dest").isin(SELF_SIDE, *_DISABLED)
     amount = (
-        F.when(F.col("leg") == _DEPOSIT, F.col("money"))
+        F.when(F.col("leg") == DEPOSIT_LEG, F.col("money"))
         .when(F.col("ok") & ~still, -F.col("money"))
         .otherwise(F.lit(0).cast("long"))
     )
@@ -386,8 +246,8 @@ def _net(legs: DataFrame) -> DataFrame:
 
 def _heavy_accounts(sided: DataFrame, limit: int) -> DataFrame:
     sides = F.array(
-        F.when(F.col("origin") == _OPEN, F.struct(F.col("from_id").alias("account"))),
-        F.when(F.col("dest") == _OPEN, F.struct(F.col("to_id").alias("account"))),
+        F.when(F.col("origin") == OPEN_SIDE, F.struct(F.col("from_id").alias("account"))),
+        F.when(F.col("dest") == OPEN_SIDE, F.struct(F.col("to_id").alias("account"))),
     )
     return (
         sided.select(F.inline(sides))
@@ -426,7 +286,7 @@ def settle(
     bounds = sided.agg(
         F.coalesce(F.min("seq"), F.lit(0)).alias("lo"),
         F.coalesce(F.max("seq"), F.lit(0)).alias("hi"),
-        (F.count_if(F.col("origin") == _OPEN) + F.count_if(F.col("dest") == _OPEN)).alias("legs"),
+        (F.count_if(F.col("origin") == OPEN_SIDE) + F.count_if(F.col("dest") == OPEN_SIDE)).alias("legs"),
     ).first()
     lo = bounds["lo"]
     width = width or max(MIN_WIDTH, -(-(bounds["hi"] - lo + 1) // MAX_CELLS))
@@ -439,19 +299,19 @@ def settle(
 
     def in_parts(rows: DataFrame) -> DataFrame:
         if heavy is None:
-            return rows.withColumn("part", F.lit(_WHOLE).cast("long"))
-        part = F.expr(f"if(heavy, cell, {_WHOLE}L)")
+            return rows.withColumn("part", F.lit(WHOLE).cast("long"))
+        part = F.expr(f"if(heavy, cell, {WHOLE}L)")
         return rows.join(heavy, "account", "left").withColumn("part", part).drop("heavy")
 
     def dirty_accounts(changed: DataFrame) -> DataFrame:
         """Accounts that the changed verdicts pay into, and all that are folded in parts."""
-        paid = changed.where(F.col("dest") == _OPEN).select(F.col("to_id").alias("account"))
+        paid = changed.where(F.col("dest") == OPEN_SIDE).select(F.col("to_id").alias("account"))
         if heavy is not None:
             paid = paid.unionByName(heavy.select("account"))
         return F.broadcast(paid.distinct())
 
     cell = F.expr(f"(seq - {lo}L) div {width}L").cast("long")
-    open_transfers = sided.where(F.col("origin") == _OPEN).select(
+    open_transfers = sided.where(F.col("origin") == OPEN_SIDE).select(
         F.col("from_id").alias("account"),
         cell.alias("cell"),
         "seq",
@@ -460,11 +320,11 @@ def settle(
         "dest",
         F.lit(True).alias("ok"),
     )
-    credits = sided.where((F.col("origin") == _NONE) & (F.col("dest") == _OPEN)).select(
+    credits = sided.where((F.col("origin") == NO_SIDE) & (F.col("dest") == OPEN_SIDE)).select(
         F.col("to_id").alias("account"),
         cell.alias("cell"),
         "seq",
-        F.lit(_DEPOSIT).alias("leg"),
+        F.lit(DEPOSIT_LEG).alias("leg"),
         "money",
     )
     key = sided.schema["from_id"].dataType
@@ -572,7 +432,7 @@ def settle(
                 upto = min(open_from + slice_width, hi + 1)
                 inside = (F.col("seq") >= open_from) & (F.col("seq") < upto)
                 paid = credits.where(inside).selectExpr(
-                    "seq", "money", "cell", "account AS to_id", f"{_OPEN} AS dest"
+                    "seq", "money", "cell", "account AS to_id", f"{OPEN_SIDE} AS dest"
                 )
                 rows = open_transfers.where(inside).drop("ok").unionByName(
                     paid, allowMissingColumns=True
@@ -594,11 +454,11 @@ def settle(
         F.col("account").alias("from_id"),
         "to_id",
         "money",
-        F.lit(_OPEN).alias("origin"),
+        F.lit(OPEN_SIDE).alias("origin"),
         "dest",
         "ok",
     )
-    untried = sided.where(F.col("origin") != _OPEN).withColumn("ok", F.col("origin") == _NONE)
+    untried = sided.where(F.col("origin") != OPEN_SIDE).withColumn("ok", F.col("origin") == NO_SIDE)
     return _outcomes(tried.unionByName(untried))
 
 
@@ -606,16 +466,16 @@ def _outcomes(verdicts: DataFrame) -> DataFrame:
     origin, dest, ok = F.col("origin"), F.col("dest"), F.col("ok")
     disabled = F.create_map(*[F.lit(x) for kv in _DISABLED.items() for x in kv])
     stopped = dest.isin(*_DISABLED)
-    has_origin = origin != _NONE
+    has_origin = origin != NO_SIDE
     status = (
-        F.when(origin == _UNKNOWN, PENDING)
+        F.when(origin == UNKNOWN_SIDE, PENDING)
         .when(~ok, FAILED)
-        .when(dest == _UNKNOWN, PENDING)
+        .when(dest == UNKNOWN_SIDE, PENDING)
         .when(stopped, FAILED)
         .otherwise(SUCCEEDED)
     )
     reason = (
-        F.when(origin == _UNKNOWN, "")
+        F.when(origin == UNKNOWN_SIDE, "")
         .when(origin.isin(*_DISABLED), disabled_reason("From", disabled[origin]))
         .when(~ok, failure_reason("From"))
         .when(stopped, disabled_reason("To", disabled[dest]))
@@ -630,7 +490,7 @@ def _outcomes(verdicts: DataFrame) -> DataFrame:
         reason.alias("reason"),
         (ok & stopped & has_origin).alias("rollback"),
         (ok & has_origin).alias("withdrawn"),
-        (ok & dest.isin(_OPEN, _SELF)).alias("deposited"),
+        (ok & dest.isin(OPEN_SIDE, SELF_SIDE)).alias("deposited"),
         (ok & stopped & has_origin).alias("refunded"),
     )
 
