@@ -154,7 +154,7 @@ def _in_order(rows: DataFrame, base: DataFrame, schema: T.StructType) -> DataFra
         .where("account IS NOT NULL")
         .distinct()
     )
-    opening = base.join(F.broadcast(touched), "account", "left_semi").selectExpr(
+    opening = _added_up(base.join(F.broadcast(touched), "account", "left_semi")).selectExpr(
         "account", "balance AS money"
     )
     both = rows.unionByName(opening, allowMissingColumns=True)
@@ -244,6 +244,10 @@ def _net(legs: DataFrame) -> DataFrame:
     return legs.groupBy("account").agg(F.sum(amount).alias("balance"))
 
 
+def _added_up(balances: DataFrame) -> DataFrame:
+    return balances.groupBy("account").agg(F.sum("balance").alias("balance"))
+
+
 def _heavy_accounts(sided: DataFrame, limit: int) -> DataFrame:
     sides = F.array(
         F.when(F.col("origin") == OPEN_SIDE, F.struct(F.col("from_id").alias("account"))),
@@ -352,8 +356,11 @@ def settle(
     def path(kind: str) -> str:
         return f"{folder}/{kind}-{steps:05d}"
 
-    def keep(final: DataFrame, upto: int) -> None:
-        """Take the verdicts before ``upto`` as final and put their effect in the base."""
+    def keep(final: DataFrame, upto: int, merge: bool = True) -> None:
+        """Take the verdicts before ``upto`` as final and put their effect in the base.
+
+        Without ``merge`` the base grows by the accounts that moved, and is not rewritten.
+        """
         nonlocal base, open_from
         done.append(final)
         if upto <= hi:
@@ -361,8 +368,10 @@ def settle(
                 credits.where((F.col("seq") >= open_from) & (F.col("seq") < upto)),
                 allowMissingColumns=True,
             )
-            merged = _net(moved).unionByName(base).groupBy("account")
-            base = saved(merged.agg(F.sum("balance").alias("balance")), path("base"))
+            if merge:
+                base = saved(_added_up(_net(moved).unionByName(base)), path("base"))
+            else:
+                base = base.unionByName(saved(_net(moved), path("base")))
         open_from = upto
 
     while True:
@@ -437,11 +446,13 @@ def settle(
                 rows = open_transfers.where(inside).drop("ok").unionByName(
                     paid, allowMissingColumns=True
                 )
-                keep(saved(_in_order(rows, base, open_schema), path("slice")), upto)
+                ran = saved(_in_order(rows, base, open_schema), path("slice"))
+                keep(ran, upto, merge=False)
                 if upto > hi:
                     break
             if open_from > hi:
                 break
+            base = saved(_added_up(base), path("merged"))
             open_transfers = open_transfers.where(F.col("seq") >= open_from)
             dirty, slow, last_changes = None, 0, None
             slices *= 2
