@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
 
-TABLES = ("customer", "events")
+TABLES = ("customer", "events", "documents", "embeddings", "labels")
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
@@ -23,7 +23,6 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-
 def difference(spark, con, folder: str, name: str) -> str:
     """Empty when both sides give the same columns and the same bag of rows."""
     ours = contract.queries()[name](spark, folder)
