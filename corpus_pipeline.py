@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import mixing, quality
+from passbook.llm import minhash, mixing, quality
 from passbook.session import saved, shared_dir
 
 
@@ -13,12 +13,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, by five-word shingles."""
+    return minhash.first_of_each(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by weight: documents as often as it takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality", keep_good), ("mix", mix)]
+STAGES = [("quality", keep_good), ("near copies", drop_near_copies), ("mix", mix)]
 
 #: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
@@ -28,5 +33,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), shared_dir(spark, f"pipeline-{name}"))
+        docs = saved(stage(spark, docs, sf_dir), shared_dir(spark, f"pipeline-{name.replace(' ', '-')}"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from passbook.session import saved, shared_dir
 
-#: Documents in a range of keys, on average over the largest source.
-RANGE_ROWS = 1 << 12
 #: Weights of sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Words of the mix for each word of the input.
@@ -69,7 +67,6 @@ def mix(
     share: float = SHARE,
     weights: tuple = WEIGHTS,
     most: int = MOST,
-    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """``docs`` (doc_id, text, source) with size, source_size, target and taken words.
 
@@ -92,8 +89,9 @@ def mix(
     sized = saved(sized, shared_dir(spark, "mix"))
     rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     most_rows = rows.agg(F.max("n")).first()[0] or 0
+    # About as many ranges as rows in a range, so that both stay small tasks.
     digits = 1
-    while 16**digits * range_rows < most_rows:
+    while 16 ** (2 * digits) < most_rows:
         digits += 1
     cells = sized.withColumn("cell", F.substring("sort_key", 1, digits))
     aimed = targets(rows.select("source", "source_size"), share, weights, most)
