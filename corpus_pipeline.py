@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import minhash, mixing, quality
+from passbook.llm import minhash, mixing, packing, quality
 from passbook.session import saved, shared_dir
 
 
@@ -23,7 +24,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality", keep_good), ("near copies", drop_near_copies), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents, with their sequences."""
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", keep_good), ("near copies", drop_near_copies), ("mix", mix), ("pack", pack)]
 
 #: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
