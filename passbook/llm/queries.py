@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passbook.llm import binary, language, minhash, mixing, packing, quality
+from passbook.llm import binary, language, minhash, mixing, packing, quality, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages of earlier ones."""
+    found = substring.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of each document."""
     return minhash.cluster(table(spark, sf_dir, "documents"))
@@ -50,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_files": op7_token_files,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
