@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import minhash, mixing, packing, quality
+from passbook.llm import minhash, mixing, packing, pii, quality
+from passbook.llm.queries import PII_KEY
 from passbook.session import saved, shared_dir
 
 
@@ -19,6 +20,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash.first_of_each(docs)
 
 
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms for personal data."""
+    return pii.pseudonymise(docs, PII_KEY)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by weight: documents as often as it takes them."""
     return mixing.mixed_documents(docs)
@@ -29,7 +35,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", keep_good), ("near copies", drop_near_copies), ("mix", mix), ("pack", pack)]
+STAGES = [
+    ("quality", keep_good),
+    ("near copies", drop_near_copies),
+    ("pseudonyms", pseudonymise),
+    ("mix", mix),
+    ("pack", pack),
+]
 
 #: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
