@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm import binary, language, minhash, mixing, packing, pii, quality, substring
+from passbook.llm import ann, binary, language, minhash, mixing, packing, pii, quality, substring, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every twentieth one, by hashing."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 #: A real run brings its own secret.
 PII_KEY = "passbook"
 
@@ -55,6 +60,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best vectors of every fiftieth one, exactly."""
+    return topk.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of each document."""
     return minhash.cluster(table(spark, sf_dir, "documents"))
@@ -63,10 +73,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
+    "op3_cross_polytope_ann": op3_cross_polytope_ann,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_exact_topk": op9_exact_topk,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
