@@ -156,12 +156,12 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
         .withColumn("__n", F.row_number().over(same))
         .join(plan, "__key")
         .withColumn("__plan", F.element_at("__plan", F.col("__n")))
-        .withColumns({"epochs": F.col("__plan.epochs"), "cut": F.col("__plan.cut")})
+        .withColumns({"__epochs": F.col("__plan.epochs"), "__cut": F.col("__plan.cut")})
     )
-    whole = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("epochs"))
+    whole = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__epochs"))
     copies = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")),
-        F.array_repeat(F.col("cut"), F.when(F.col("cut") > 0, 1).otherwise(0)),
+        F.array_repeat(F.col("__cut"), F.when(F.col("__cut") > 0, 1).otherwise(0)),
     )
     part = F.array_join(
         F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("__copy"), F.lit(1)).cast("int")),

@@ -221,9 +221,11 @@ def _taught(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
     spark = docs.sparkSession
+    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("l_id"))
     rows = saved(
-        docs.join(labels.select(F.col("doc_id").alias("l_id")).distinct(), F.col("doc_id") == F.col("l_id"), "left_semi")
+        docs.select("doc_id", "text")
         .where(~held_out(F.col("doc_id")))
+        .join(known, F.col("doc_id") == F.col("l_id"), "left_semi")
         .select("doc_id", statistics_column(F.col("text")).alias("statistics")),
         shared_dir(spark, "quality"),
     )
