@@ -51,10 +51,6 @@ def with_leg(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull())
 
 
-def known_kinds(df: DataFrame, registry: Collection[str] = tuple(EVENT_BODIES)) -> DataFrame:
-    return df.where(F.col("kind").isin(*registry))
-
-
 def unknown_kinds(df: DataFrame, registry: Collection[str] = tuple(EVENT_BODIES)) -> DataFrame:
     return df.where(~F.col("kind").isin(*registry))
 
@@ -88,21 +84,9 @@ def split_open(df: DataFrame, side: str = "From") -> DataFrame:
     )
 
 
-def enough_funds(balance: Column, money: Column) -> Column:
-    return balance >= money
-
-
 def by_label(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(F.get_json_object("labels", f"$.{key}") == value)
 
 
-def good_ids(df: DataFrame, column: str = "aggregate_id") -> DataFrame:
-    return df.where(is_canonical_uuid(column))
-
-
 def bad_ids(df: DataFrame, column: str = "aggregate_id") -> DataFrame:
     return df.where(~is_canonical_uuid(column))
-
-
-def pending(df: DataFrame) -> DataFrame:
-    return df.where(F.col("status") == PENDING)

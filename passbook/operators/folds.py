@@ -26,6 +26,7 @@ from passbook.schema import (
     SUCCEEDED,
     TERMINAL_KINDS,
 )
+from passbook.session import saved, shared_dir
 
 OWNER_KINDS = ("AccountCreated", "OwnerUpdated")
 
@@ -159,6 +160,8 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
 def join_snapshot_tail(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Events after the newest snapshot of their aggregate (all, where there is none)."""
     s = latest_snapshots(snapshots).select("aggregate_id", "snapshot_seq")
+    # Stored, so that the join shuffles it by itself and can split a busy account.
+    s = saved(s, shared_dir(s.sparkSession, "dim"))
     return (
         log.where(F.col("kind").isin(*ACCOUNT_KINDS))
         .join(s, "aggregate_id", "left")

@@ -1,8 +1,10 @@
 """Joins of events, transactions, accounts and balances. All are equi joins on an id.
 
 One side of each is unique on the key. A key that holds a large share of the other
-side is split at run time (``spark.sql.adaptive.skewJoin``), and rows without a key
-are kept out of the exchange or spread by ``spread_nulls``.
+side is split at run time (``spark.sql.adaptive.skewJoin``). Spark does so only where
+both inputs come straight from a shuffle, so a folded side is stored first: joined as
+it is, its aggregate would take the join's place behind the shuffle. Rows without a
+key are kept out of the exchange or spread by ``spread_nulls``.
 """
 
 from __future__ import annotations
@@ -10,12 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passbook.functions.ids import idempotency_key
-from passbook.schema import MONEY_KINDS, REACTOR_KINDS
+from passbook.schema import MONEY_KINDS
+from passbook.session import saved, shared_dir
 
 SPREAD = 1024
 
 
+def stored(dim: DataFrame) -> DataFrame:
+    """The table written and read again, so that the join shuffles it by itself."""
+    return saved(dim, shared_dir(dim.sparkSession, "dim"))
+
+
 def money_events(log: DataFrame) -> DataFrame:
     return log.where(F.col("kind").isin(*MONEY_KINDS))
 
@@ -40,7 +47,7 @@ def event_to_balance(log: DataFrame, balances: DataFrame) -> DataFrame:
     docs = balances.select(
         F.col("id").alias("aggregate_id"), "owner", F.col("balance").alias("final_balance")
     )
-    return money_events(log).drop("owner").join(docs, "aggregate_id", "left")
+    return money_events(log).drop("owner").join(stored(docs), "aggregate_id", "left")
 
 
 def unknown_account(log: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -62,7 +69,8 @@ def failed_to_transaction(log: DataFrame, transactions: DataFrame) -> DataFrame:
 def leg_account(transactions: DataFrame, accounts: DataFrame, side: str) -> DataFrame:
     """Transactions with the account on one side (``from_id`` or ``to_id``)."""
     acc = accounts.select(F.col("id").alias(side), "owner", "status")
-    return transactions.where(F.col(side).isNotNull()).join(acc, side, "left")
+    legs = stored(transactions.where(F.col(side).isNotNull()))
+    return legs.join(stored(acc), side, "left")
 
 
 def new_keys(log: DataFrame, stored: DataFrame) -> DataFrame:
@@ -121,11 +129,3 @@ def events_to_transaction(log: DataFrame, transactions: DataFrame) -> DataFrame:
         F.col("id").alias("tx_id"), F.col("money").alias("tx_money"), "from_id", "to_id"
     )
     return money_events(log).drop("from_id", "to_id").join(tx, "tx_id", "left")
-
-
-def reactor_events(log: DataFrame) -> DataFrame:
-    return log.where(F.col("kind").isin(*REACTOR_KINDS))
-
-
-def refund_key(tx_id: str = "tx_id") -> Column:
-    return idempotency_key(tx_id, "rollback")

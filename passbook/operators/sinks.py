@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.operators.folds import last_versions, snapshot_states
@@ -11,6 +13,80 @@ from passbook.operators.scans import assign_versions
 from passbook.schema import CATCH_UP, OPEN, SNAPSHOT_THRESHOLD
 from passbook.session import saved
 
+VERSIONS = "version long, folder string"
+
+
+class StoredTable:
+    """A table that writers replace and readers see whole.
+
+    Each version's rows stand in a folder of their own. A row in ``versions`` names the
+    folder once it is complete, so a reader sees the old rows or the new ones, and a lost
+    writer leaves nothing that is read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark = spark
+        self.path = path
+
+    def create(self, empty: DataFrame) -> StoredTable:
+        """The first version, with the columns of ``empty``."""
+        self._put(empty.limit(0), 0)
+        return self
+
+    def _latest(self) -> tuple[int, str]:
+        named = self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions")
+        row = named.agg(F.max(F.struct("version", "folder")).alias("last")).first()
+        return row.last.version, row.last.folder
+
+    def _put(self, df: DataFrame, version: int) -> None:
+        folder = f"{self.path}/rows-{version}-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        self.spark.createDataFrame([(version, folder)], VERSIONS).coalesce(1).write.mode("append").parquet(
+            f"{self.path}/versions"
+        )
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self._latest()[1])
+
+    def replace(self, df: DataFrame) -> DataFrame:
+        """Make ``df``, which may be made from ``read()``, the table's rows."""
+        self._put(df, self._latest()[0] + 1)
+        return self.read()
+
+
+def store_new(table: StoredTable, new: DataFrame, key: str = "tx_id") -> DataFrame:
+    """Add rows of unknown ids to the table; each requested id with whether it was ``inserted``."""
+    known = table.read()
+    fresh = saved(create_if_new(new, known, key), f"{table.path}/new-{uuid.uuid4().hex}")
+    table.replace(known.unionByName(fresh.select(*known.columns)))
+    asked = new.select(key).distinct()
+    return asked.join(fresh.select(key, F.lit(True).alias("inserted")), key, "left").select(
+        key, F.coalesce("inserted", F.lit(False)).alias("inserted")
+    )
+
+
+def store_documents(table: StoredTable, documents: DataFrame) -> DataFrame:
+    """Replace or add whole balance documents; returns the table."""
+    return table.replace(index_balance_full(table.read(), documents))
+
+
+def store_changes(table: StoredTable, partial: DataFrame) -> DataFrame:
+    """Merge partial balance documents into the table; returns the table."""
+    return table.replace(update_balance_partial(table.read(), partial))
+
+
+def store_tokens(table: StoredTable, tokens: DataFrame) -> DataFrame:
+    """Set the tokens (id, token) of their keys, later positions over earlier ones."""
+    position = parse_token(F.col("token"))[1]
+    both = table.read().unionByName(tokens.select("id", "token"))
+    return table.replace(both.groupBy("id").agg(F.max_by("token", position).alias("token")))
+
+
+def resume_token(table: StoredTable, keys: DataFrame) -> DataFrame:
+    """The token of each of ``keys`` (id); empty where nothing is stored yet."""
+    found = keys.join(table.read(), "id", "left")
+    return found.select("id", F.coalesce("token", F.lit("")).alias("token"))
+
 
 def append_events(new: DataFrame, stored: DataFrame | None, path: str) -> DataFrame:
     """Append new events with the next versions of their aggregates.

@@ -22,6 +22,23 @@ WHOLE = -1
 OPENING_LEG, WITHDRAW_LEG, DEPOSIT_LEG = -1, 0, 1
 
 
+# A 64-bit sum that wrapped is off by 2**64, a floating-point one by rounding only.
+WRAPPED = 2.0**62
+
+
+def checked(exact: np.ndarray, rough: np.ndarray) -> np.ndarray:
+    """``exact`` 64-bit sums; raises where they differ from their floating-point twins."""
+    if len(exact) and (np.abs(exact.astype(float) - rough) > WRAPPED).any():
+        raise OverflowError("a balance does not fit 64 bits")
+    return exact
+
+
+def within(balance: int) -> int:
+    if not -(2**63) <= balance < 2**63:
+        raise OverflowError("a balance does not fit 64 bits")
+    return balance
+
+
 def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Run the legs of sorted (account, part) groups in order, batch by batch.
 
@@ -66,6 +83,9 @@ def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
         if resumed:
             at_start[0] = balance
         before = running - delta - np.repeat(running[starts] - delta[starts] - at_start, size)
+        rough = delta.astype(float)
+        sums = np.cumsum(rough)
+        checked(before + delta, sums - np.repeat(sums[starts] - rough[starts] - at_start.astype(float), size))
         accept = ~is_w | (before >= money)
         short = np.flatnonzero(~accept)
         if len(short):
@@ -80,10 +100,15 @@ def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
                     ok = not w or b >= m
                     verdicts.append(ok)
                     if ok:
-                        b += d
+                        b = within(b + d)
                 accept[lo:hi] = verdicts
-        closing = at_start + np.add.reduceat(np.where(accept, delta, 0), starts)
-        moved = np.add.reduceat(np.where(is_o, 0, delta), starts)
+        taken_up = np.where(accept, delta, 0)
+        closing = checked(
+            at_start + np.add.reduceat(taken_up, starts),
+            at_start.astype(float) + np.add.reduceat(taken_up.astype(float), starts),
+        )
+        others = np.where(is_o, 0, delta)
+        moved = checked(np.add.reduceat(others, starts), np.add.reduceat(others.astype(float), starts))
         opened = np.add.reduceat(np.where(is_o, money, 0), starts)
         if resumed:
             moved[0] += total
@@ -144,14 +169,14 @@ def run_in_order(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterat
             if seq is None:
                 balances[account] = money
             elif account is None:
-                balances[to_id] = balances.get(to_id, 0) + money
+                balances[to_id] = within(balances.get(to_id, 0) + money)
             else:
                 held = balances.get(account, 0)
                 ok = held >= money
                 if ok and dest != SELF_SIDE and dest < CLOSED_SIDE:
                     balances[account] = held - money
                     if dest == OPEN_SIDE:
-                        balances[to_id] = balances.get(to_id, 0) + money
+                        balances[to_id] = within(balances.get(to_id, 0) + money)
             verdicts.append(ok)
         out = batch.append_column("ok", pa.array(verdicts, pa.bool_()))
         keep = pyarrow.compute.and_(pyarrow.compute.is_valid(out["seq"]), pyarrow.compute.is_valid(out["account"]))

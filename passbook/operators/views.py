@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passbook.operators.folds import fold_account_state
-from passbook.schema import LIST_PAGE, SEARCH_RESPONSE
+from passbook.schema import SEARCH_RESPONSE
 
 
 def account_view(accounts: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def saga_legs(transactions: DataFrame, keep: tuple[str, ...] = ("seq", "money"))
     return transactions.select(*keep, F.inline(legs)).where("leg IS NOT NULL")
 
 
-def list_by_owner(balances: DataFrame, limit: int | None = LIST_PAGE) -> DataFrame:
-    """Documents by owner; the served page is 10 rows, ``None`` lists all."""
+def list_by_owner(balances: DataFrame, limit: int | None = None) -> DataFrame:
+    """All documents by owner, or the first ``limit``; ``LIST_PAGE`` is the served page."""
     out = balances.orderBy("owner", "id")
     return out if limit is None else out.limit(limit)
 

@@ -12,12 +12,14 @@ from passbook.schema import (
     ACCOUNT,
     ACCOUNT_KINDS,
     EVENT_BODIES,
+    LIST_PAGE,
     MONEY_KINDS,
     OPEN,
     PROJECTED_KINDS,
     REACTOR_KINDS,
     TERMINAL_KINDS,
     TRANSACTION_KINDS,
+    event_log_schema,
 )
 from passbook.session import saved, shared_dir
 from passbook.sources import canonical, files
@@ -126,9 +128,9 @@ def append_events(spark: SparkSession, d: str) -> DataFrame:
     """Two appends; the second repeats the deposits of the first."""
     path = shared_dir(spark, "append")
     keep = ("seq", "aggregate_id", "kind", "idempotency_key")
-    raw = canonical.raw_log(spark, d, ACCOUNT_KINDS).select(*keep)
-    early = ("AccountCreated", "OwnerUpdated", "MoneyDeposited")
-    stored = sinks.append_events(raw.where(F.col("kind").isin(*early)), None, f"{path}/append=1")
+    raw = canonical.raw_log(spark, d).select(*keep)
+    early = F.col("kind") != "MoneyWithdrawn"
+    stored = sinks.append_events(raw.where(early), None, f"{path}/append=1")
     later = raw.where(F.col("kind").isin(*MONEY_KINDS))
     added = sinks.append_events(later, stored, f"{path}/append=2")
     return stored.unionByName(added).drop("idempotency_key")
@@ -179,6 +181,44 @@ def upsert_resume_token(spark: SparkSession, d: str) -> DataFrame:
     return sinks.resume_tokens(applied, "balance")
 
 
+def store_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated requests against a table that holds the outside deposits."""
+    requests = canonical.transfers(spark, d).select(
+        fn.transaction_uuid("seq").alias("tx_id"), "seq", "money", "from_id"
+    )
+    stored = sinks.StoredTable(spark, shared_dir(spark, "transactions")).create(requests)
+    sinks.store_new(stored, requests.where(F.col("from_id").isNull()))
+    return sinks.store_new(stored, canonical.redelivered(requests))
+
+
+def store_balances(spark: SparkSession, d: str) -> DataFrame:
+    """Openings, then all movements as partial changes, then the whole documents."""
+    opened = sinks.opening_documents(projected_log(spark, d))
+    stored = sinks.StoredTable(spark, shared_dir(spark, "documents")).create(opened)
+    sinks.store_documents(stored, opened)
+    moved = (
+        canonical.typed_log(spark, d, MONEY_KINDS)
+        .groupBy(F.col("aggregate_id").alias("id"))
+        .agg(F.sum(fn.signed_money()).alias("balance"), F.max("seq").alias("sequence"))
+    )
+    sinks.store_changes(stored, moved)
+    return sinks.store_documents(stored, balances(spark, d))
+
+
+def store_resume_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of two topics after both halves of the log, and of a topic nobody read."""
+    applied = canonical.typed_log(spark, d).select(
+        "seq", F.concat(F.lower("aggregate_kind"), F.lit(".1")).alias("topic")
+    )
+    early, late = canonical.halves(applied)
+    tokens = sinks.resume_tokens(early, "balance")
+    stored = sinks.StoredTable(spark, shared_dir(spark, "tokens")).create(tokens)
+    sinks.store_tokens(stored, tokens)
+    sinks.store_tokens(stored, sinks.resume_tokens(late, "balance"))
+    keys = applied.select(F.concat("topic", F.lit("/balance")).alias("id")).distinct()
+    return sinks.resume_token(stored, keys.union(spark.createDataFrame([("other.1/balance",)], "id string")))
+
+
 def write_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return sinks.write_snapshots(account_log(spark, d), shared_dir(spark, "snapshots"))
 
@@ -193,8 +233,7 @@ def filter_aggregate_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filter_event_kind(spark: SparkSession, d: str) -> DataFrame:
-    log = canonical.typed_log(spark, d, REACTOR_KINDS)
-    return filters.of_kinds(log, REACTOR_KINDS).select("seq", "tx_id", "kind")
+    return filters.of_kinds(canonical.typed_log(spark, d), REACTOR_KINDS).select("seq", "tx_id", "kind")
 
 
 def filter_high_water_mark(spark: SparkSession, d: str) -> DataFrame:
@@ -341,13 +380,11 @@ def join_snapshot_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sum_deposits(spark: SparkSession, d: str) -> DataFrame:
-    log = canonical.typed_log(spark, d, ["MoneyDeposited"])
-    return folds.sum_of(log, "MoneyDeposited", "deposited")
+    return folds.sum_of(canonical.typed_log(spark, d), "MoneyDeposited", "deposited")
 
 
 def sum_withdrawals(spark: SparkSession, d: str) -> DataFrame:
-    log = canonical.typed_log(spark, d, ["MoneyWithdrawn"])
-    return folds.sum_of(log, "MoneyWithdrawn", "withdrawn")
+    return folds.sum_of(canonical.typed_log(spark, d), "MoneyWithdrawn", "withdrawn")
 
 
 def max_sequence(spark: SparkSession, d: str) -> DataFrame:
@@ -413,11 +450,11 @@ def check_version_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_by_owner(spark: SparkSession, d: str) -> DataFrame:
-    return views.list_by_owner(balances(spark, d), None)
+    return views.list_by_owner(balances(spark, d))
 
 
 def list_by_owner_page(spark: SparkSession, d: str) -> DataFrame:
-    return views.list_by_owner(balances(spark, d))
+    return views.list_by_owner(balances(spark, d), LIST_PAGE)
 
 
 def top1_by_sequence(spark: SparkSession, d: str) -> DataFrame:
@@ -584,14 +621,16 @@ def update_owner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replay_idempotent(spark: SparkSession, d: str) -> DataFrame:
-    """Settlement of a feed with repeats, after dropping known step keys."""
+    """Settlement of a feed with repeats, run twice: the second run finds nothing new."""
+    key = fn.idempotency_key(fn.transaction_uuid("seq"), "withdraw").alias("idempotency_key")
     feed = canonical.redelivered(canonical.transfers(spark, d))
-    keyed = feed.withColumn(
-        "idempotency_key", fn.idempotency_key(fn.transaction_uuid("seq"), "withdraw")
-    )
+    keyed = feed.select("*", key)
+    accounts = mixed_accounts(spark, d)
     nothing = spark.createDataFrame([], T.StructType([T.StructField("idempotency_key", T.StringType())]))
-    once = joins.new_keys(keyed, nothing).drop("idempotency_key")
-    return settlement.settle(once, mixed_accounts(spark, d))
+    first = settlement.settle(joins.new_keys(keyed, nothing).drop("idempotency_key"), accounts)
+    first = saved(first, shared_dir(spark, "first-run"))
+    again = joins.new_keys(keyed, first.select(key)).drop("idempotency_key")
+    return first.unionByName(settlement.settle(again, accounts))
 
 
 def stuck_transfers(spark: SparkSession, d: str) -> DataFrame:
@@ -604,6 +643,38 @@ def conserve_money(spark: SparkSession, d: str) -> DataFrame:
     return settlement.conserve_money(settled, held)
 
 
+# The whole way ---------------------------------------------------------------------------
+
+
+def settled_log(spark: SparkSession, d: str) -> DataFrame:
+    """Commands settled, their events appended to a stored log, and the log decoded again."""
+    path = shared_dir(spark, "settled-log")
+    emitted = settlement.emitted_events(outcomes(spark, d)).drop("idempotency_key")
+    opened = canonical.typed_log(spark, d, ["AccountCreated"])
+    typed = opened.unionByName(emitted, allowMissingColumns=True)
+    rows = canonical.log_rows(typed)
+    versioned = sinks.append_events(rows, None, f"{path}/appended")
+    kept = versioned.withColumn("aggregate_version", F.col("aggregate_version").cast("int"))
+    kept.select(*event_log_schema().names).write.parquet(f"{path}/log")
+    return fn.decode_body(files.read_event_log(spark, f"{path}/log")).drop("id")
+
+
+def end_to_end_balances(spark: SparkSession, d: str) -> DataFrame:
+    """Balances that the read model shows after all commands were settled."""
+    return folds.fold_balance_projection(settled_log(spark, d)).select("id", "balance", "owner")
+
+
+def end_to_end_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """For each account, both models of the settled log and whether they agree."""
+    log = saved(settled_log(spark, d), shared_dir(spark, "decoded"))
+    write_side = folds.fold_account_state(log)
+    read_side = saved(folds.fold_balance_projection(log), shared_dir(spark, "read-side"))
+    differs = joins.reconcile(write_side, read_side).select("id", F.lit(True).alias("differs"))
+    return read_side.select("id", F.col("balance").alias("read_balance")).join(differs, "id", "left").select(
+        "id", "read_balance", F.coalesce("differs", F.lit(False)).alias("differs")
+    )
+
+
 # User-defined kinds and folds ------------------------------------------------------------
 
 
@@ -611,11 +682,10 @@ def decode_custom_kind(spark: SparkSession, d: str) -> DataFrame:
     """A log with a kind of the user's own, decoded next to the built-in kinds."""
     limit = T.StructType([T.StructField("limit", T.LongType())])
     registry = fn.register_kind(canonical.UNKNOWN_KIND, limit)
-    log = canonical.typed_log(spark, d, [canonical.UNKNOWN_KIND, "OwnerUpdated"])
     body = F.when(
         F.col("kind") == canonical.UNKNOWN_KIND, F.to_json(F.struct(F.col("money").alias("limit")))
-    ).otherwise(F.to_json(F.struct("owner")))
-    raw = log.select("seq", "kind", body.alias("body"))
+    ).otherwise(F.coalesce(fn.encode_body(canonical.body_fields()), F.lit("{}")))
+    raw = canonical.typed_log(spark, d).select("seq", "kind", body.alias("body"))
     return fn.decode_body(raw, registry).select("seq", "kind", "limit", "owner")
 
 
@@ -713,6 +783,11 @@ QUERIES = {
         create_accounts,
         update_owner,
         replay_idempotent,
+        store_transactions,
+        store_balances,
+        store_resume_tokens,
+        end_to_end_balances,
+        end_to_end_reconcile,
         stuck_transfers,
         conserve_money,
         decode_custom_kind,

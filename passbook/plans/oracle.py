@@ -7,16 +7,18 @@ CMD = """
 cmd AS (SELECT event_id, ts, user_id u, event_type et, CAST(round(value * 100) AS BIGINT) money,
   CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events),
 tx AS (SELECT event_id seq, ts, money, k, et, CASE WHEN et <> 'view' THEN u END f,
-  CASE et WHEN 'view' THEN u WHEN 'click' THEN k WHEN 'error' THEN 1000000000 + k END o
+  CASE et WHEN 'view' THEN u WHEN 'click' THEN k WHEN 'error' THEN -1 - k END o
   FROM cmd WHERE et IN ('view', 'purchase', 'click') OR (et = 'error' AND k < 50))"""
 
 
 def acc(x: str) -> str:
-    return f"('00000000-0000-4000-8000-' || lpad(lower(hex({x})), 12, '0'))"
+    h = f"lpad(lower(hex(CAST({x} AS BIGINT))), 16, '0')"
+    return f"('00000000-' || substr({h}, 1, 4) || '-4000-8000-' || substr({h}, 5))"
 
 
 def txid(x: str) -> str:
-    return f"('00000000-0000-4000-9000-' || lpad(lower(hex({x})), 12, '0'))"
+    h = f"lpad(lower(hex(CAST({x} AS BIGINT))), 16, '0')"
+    return f"('00000000-' || substr({h}, 1, 4) || '-4000-9000-' || substr({h}, 5))"
 
 
 NIL = "'00000000-0000-0000-0000-000000000000'"
@@ -43,7 +45,7 @@ def _ev(source: str, seq: str, agg: str, agg_kind: str, kind: str, where: str =
 _TX = {"tx_id": txid("seq")}
 _MOVE = {"tx_id": txid("seq"), "money": "money"}
 _PARTS = [
-    _ev("customer", "(c_custkey - 1000000000) * 10", acc("c_custkey"), "Account", "AccountCreated",
+    _ev("customer", "-1 - c_custkey", acc("c_custkey"), "Account", "AccountCreated",
         money="0", owner="c_name"),
     _ev("tx", "seq * 10", txid("seq"), "Transaction", "TransactionCreated",
         money="money", tx_id=txid("seq"), from_id=acc("f"), to_id=acc("o")),
@@ -155,8 +157,8 @@ MIXED = "CASE WHEN {0} % 37 = 5 THEN 'FROZEN' WHEN {0} % 41 = 7 THEN 'CLOSED' EL
 SETTLED = f"""WITH RECURSIVE {CMD},
 t AS (SELECT row_number() OVER (ORDER BY seq) i, seq, money, f, o,
   {MIXED.format('f')} fs,
-  CASE WHEN o >= 1000000000 THEN 'UNKNOWN' ELSE {MIXED.format('o')} END os FROM tx),
-n AS (SELECT max(greatest(coalesce(f, 0), CASE WHEN o < 1000000000 THEN o ELSE 0 END)) + 1 m FROM t),
+  CASE WHEN o < 0 THEN 'UNKNOWN' ELSE {MIXED.format('o')} END os FROM tx),
+n AS (SELECT max(greatest(coalesce(f, 0), CASE WHEN o >= 0 THEN o ELSE 0 END)) + 1 m FROM t),
 r(i, seq, st, b) AS (
   SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR,
     list_transform(range(m), lambda x: 0::BIGINT) FROM n
@@ -212,7 +214,7 @@ ORACLE: dict[str, str] = {
     "append_events": on_log(
         f"""SELECT seq, aggregate_id, kind, row_number() OVER (PARTITION BY aggregate_id
           ORDER BY kind = 'MoneyWithdrawn', seq) AS aggregate_version
-        FROM ev WHERE kind IN {ACCOUNT_KINDS}"""
+        FROM ev"""
     ),
     "create_if_new": f"WITH {CMD} SELECT {txid('seq')} AS tx_id, seq, money FROM tx WHERE f IS NOT NULL",
     "publish_partitioned": on_log(
@@ -234,6 +236,12 @@ ORACLE: dict[str, str] = {
         f"""SELECT 'accounts.1/balance' AS id, 'CatchUp:' || max(seq) AS token FROM ev
         WHERE kind IN {PROJECTED}"""
     ),
+    "store_transactions": f"WITH {CMD} SELECT {txid('seq')} AS tx_id, f IS NOT NULL AS inserted FROM tx",
+    "store_balances": _STREAM_BAL,
+    "store_resume_tokens": on_log(
+        """SELECT lower(aggregate_kind) || '.1/balance' AS id, 'CatchUp:' || max(seq) AS token
+        FROM ev GROUP BY 1 UNION ALL SELECT 'other.1/balance', ''"""
+    ),
     "write_snapshots": on_log("SELECT *, 'ev-' || seq AS id FROM snap", SNAP),
     "filter_aggregate_kind": on_log(
         "SELECT seq, aggregate_id, kind FROM ev WHERE aggregate_kind = 'Account'"
@@ -441,6 +449,12 @@ ORACLE: dict[str, str] = {
     "settle_transfers": SETTLED + "SELECT * FROM res",
     "stream_reactor": SETTLED + "SELECT * FROM res",
     "replay_idempotent": SETTLED + "SELECT * FROM res",
+    "end_to_end_balances": SETTLED
+    + f"""SELECT {acc('c_custkey')} AS id, coalesce(b[c_custkey + 1], 0) AS balance, c_name AS owner
+        FROM customer, (SELECT b FROM r WHERE i = (SELECT max(i) FROM r))""",
+    "end_to_end_reconcile": SETTLED
+    + f"""SELECT {acc('c_custkey')} AS id, coalesce(b[c_custkey + 1], 0) AS read_balance, false AS differs
+        FROM customer, (SELECT b FROM r WHERE i = (SELECT max(i) FROM r))""",
     "classify_transfers": f"""WITH {CMD} SELECT seq, CASE WHEN f IS NULL THEN 'deposit'
         WHEN o IS NULL THEN 'withdraw' ELSE 'transfer' END AS type, money FROM tx""",
     "create_accounts": on_log(
@@ -464,8 +478,7 @@ ORACLE: dict[str, str] = {
         SELECT deposited, withdrawn, stuck, held, held - (deposited - withdrawn - stuck) AS difference
         FROM flows, final""",
     "decode_custom_kind": on_log(
-        """SELECT seq, kind, CASE WHEN kind = 'LimitRaised' THEN money END AS "limit", owner FROM ev
-        WHERE kind IN ('LimitRaised', 'OwnerUpdated')"""
+        """SELECT seq, kind, CASE WHEN kind = 'LimitRaised' THEN money END AS "limit", owner FROM ev"""
     ),
     "fold_custom": on_log(
         f"""SELECT aggregate_id, CAST(coalesce(sum(money), 0) AS BIGINT) AS turnover,

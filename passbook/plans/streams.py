@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passbook.plans.batch import mixed_accounts, published
+from passbook.schema import event_log_schema
 from passbook.session import shared_dir
 from passbook.sources import canonical, files
 from passbook.sources.canonical import halves, redelivered, stream_typed_log
@@ -22,10 +23,14 @@ def _staged(spark: SparkSession, folder: str, part: DataFrame) -> DataFrame:
 
 def tail_event_log(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_dir(spark, "tail")
-    rows = canonical.log_rows(stream_typed_log(spark, d))
-    writer = rows.writeStream.format("parquet").option("path", f"{folder}/log")
+    raw = canonical.raw_log(spark, d)
+    # Versions play no part in following the log; the stored log has them.
+    versioned = raw.withColumn("aggregate_version", F.lit(0)).select(*event_log_schema().names)
+    versioned.write.parquet(f"{folder}/log")
+    rows = files.tail_event_log(spark, f"{folder}/log", max_files=2)
+    writer = rows.writeStream.format("parquet").option("path", f"{folder}/tail")
     p.until_caught_up(p.start(writer, "tail", folder))
-    return spark.read.parquet(f"{folder}/log").select("seq", "aggregate_id", "kind", "body")
+    return spark.read.parquet(f"{folder}/tail").select("seq", "aggregate_id", "kind", "body")
 
 
 def subscribe_topic(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Every customer is an account. ``view`` is a deposit, ``purchase`` a withdrawal,
 ``click`` a transfer to account ``k``; ``error`` is a transfer to an account that
 does not exist (``k < 50``) or an event of an unregistered kind, and ``signup``
-renames the owner. ``seq`` of a command is its ``event_id``; the event in slot s
+renames the owner. Accounts that do not exist have the negative keys ``-1 - k``. ``seq`` of a command is its ``event_id``; the event in slot s
 of a command sits at log position ``seq * 10 + s``.
 
 ``typed_log`` takes every command as accepted, whatever the balance: it is the
@@ -29,13 +29,10 @@ from passbook.schema import (
     FROZEN,
     OPEN,
     TRANSACTION,
-    TYPED_COLUMNS,
 )
 from passbook.sources.files import stream_table
 
 # Fixed values of the mapping.
-UNKNOWN_BASE = 1_000_000_000
-ACCOUNT_SEQ_SHIFT = 1_000_000_000
 SLOTS = 10
 UNKNOWN_KIND = "LimitRaised"
 OPENED_AT = "2024-01-01 00:00:00"
@@ -84,7 +81,7 @@ def _destination() -> Column:
     return (
         F.when(kind == "view", F.col("user_id"))
         .when(kind == "click", F.col("k"))
-        .when(kind == "error", F.col("k") + UNKNOWN_BASE)
+        .when(kind == "error", -1 - F.col("k"))
     )
 
 
@@ -214,10 +211,14 @@ def typed_events(events: DataFrame, kinds: Collection[str] | None = None) -> Dat
 
 
 def account_openings(customer: DataFrame) -> DataFrame:
-    """One ``AccountCreated`` per customer, placed before all commands."""
+    """One ``AccountCreated`` per customer, placed before all commands.
+
+    Customer keys and command positions are not negative, so the position ``-1 - key`` is
+    the customer's own and comes before every command.
+    """
     fields = {"money": F.lit(0), "owner": F.col("c_name")}
     return customer.select(
-        ((F.col("c_custkey") - ACCOUNT_SEQ_SHIFT) * SLOTS).alias("seq"),
+        (-1 - F.col("c_custkey")).alias("seq"),
         account_uuid("c_custkey").alias("aggregate_id"),
         F.lit(ACCOUNT).alias("aggregate_kind"),
         F.lit("AccountCreated").alias("kind"),
@@ -236,16 +237,19 @@ def typed_log(spark: SparkSession, sf_dir: str, kinds: Collection[str] | None =
     return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
 
+def body_fields() -> dict[str, Column]:
+    """Body fields that typed events hold under other names."""
+    return {
+        "id": F.col("aggregate_id"),
+        "TransactionID": F.col("tx_id"),
+        "from": F.col("from_id"),
+        "to": F.col("to_id"),
+    }
+
+
 def log_rows(typed: DataFrame) -> DataFrame:
     """Typed events as raw log rows with JSON body, idempotency key and labels."""
-    body = encode_body(
-        {
-            "id": F.col("aggregate_id"),
-            "TransactionID": F.col("tx_id"),
-            "from": F.col("from_id"),
-            "to": F.col("to_id"),
-        }
-    )
+    body = encode_body(body_fields())
     key = (
         F.when(F.col("kind") == "MoneyWithdrawn", idempotency_key("tx_id", "withdraw"))
         .when(F.col("kind") == "MoneyDeposited", idempotency_key("tx_id", "deposit"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passbook import functions as fn
+from passbook.functions import ids as ids_module
 from passbook.functions.codec import encode_body
 from passbook.operators import checks, filters, folds, joins, scans, sinks, views
 from passbook.schema import NIL_UUID
 from passbook.session import shared_dir
-from passbook.sources import files
+from passbook.sources import canonical, files
 
 TX = "00000000-0000-4000-9000-000000000001"
 TYPED = "seq long, aggregate_id string, kind string, money long, owner string"
@@ -288,3 +289,30 @@ def test_custom_fold(spark):
         latest={"name": {"AccountCreated": F.col("owner"), "OwnerUpdated": F.col("owner")}},
     )
     assert sorted(rows(got)) == [("a", 80, "Anna"), ("b", 0, "Bob"), ("x", 5, None)]
+
+
+def test_ids_of_large_and_negative_keys_differ(spark):
+    keys = [0, 7, 2**48, 2**48 + 1, 2**52, 2**63 - 1, -1, -2]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    for make in (fn.account_uuid, fn.transaction_uuid):
+        ids = [r[0] for r in rows.select(make("k")).collect()]
+        assert len(set(ids)) == len(keys) and all(len(i) == 36 for i in ids)
+        assert rows.where(ids_module.is_canonical_uuid(make("k"))).count() == len(keys)
+
+
+def test_openings_precede_commands_for_any_key(spark):
+    big = spark.createDataFrame([(0, "a"), (10**9, "b"), (10**15, "c")], "c_custkey long, c_name string")
+    found = [r.seq for r in canonical.account_openings(big).collect()]
+    assert all(s < 0 for s in found) and len(set(found)) == 3
+
+
+def test_stored_table_keeps_the_last_complete_version(spark, tmp_path):
+    rows = spark.createDataFrame([("a/p", "CatchUp:5"), ("b/p", "CatchUp:2")], "id string, token string")
+    table = sinks.StoredTable(spark, str(tmp_path / "t")).create(rows)
+    sinks.store_tokens(table, rows)
+    sinks.store_tokens(table, spark.createDataFrame([("a/p", "CatchUp:3"), ("b/p", "CatchUp:9")], rows.schema))
+    # A writer that was lost before it named its rows.
+    rows.write.parquet(str(tmp_path / "t" / "rows-9-lost"))
+    keys = spark.createDataFrame([("a/p",), ("b/p",), ("c/p",)], "id string")
+    found = {r.id: r.token for r in sinks.resume_token(table, keys).collect()}
+    assert found == {"a/p": "CatchUp:5", "b/p": "CatchUp:9", "c/p": ""}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.operators import filters, folds, scans, settlement, views
+from passbook.operators import filters, folds, joins, scans, settlement, views
 from passbook.plans import batch
 from passbook.session import shared_dir
 from passbook.sources import canonical, files
@@ -79,3 +79,55 @@ def test_rounds_of_settlement_leave_no_lineage(spark, sf_dir):
     )
     text = plan(out)
     assert "MapInArrow" not in text and "Exchange" not in text
+
+
+HOT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.shuffle.partitions": "8",
+}
+
+
+@pytest.fixture
+def hot_joins(spark):
+    before = {k: spark.conf.get(k, None) for k in HOT}
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def busy_log(spark):
+    """60 percent of the money events belong to account 1."""
+    n = F.col("id")
+    account = F.when(n % 5 < 3, 1).otherwise(n % 400 + 2)
+    path = shared_dir(spark, "busy")
+    opened = n < 402
+    spark.range(40_000).repartition(16).select(
+        F.when(opened, n - 1000).otherwise(n).alias("seq"),
+        F.when(opened, n).otherwise(account).cast("string").alias("aggregate_id"),
+        F.when(opened, "AccountCreated").when(n % 3 == 0, "MoneyWithdrawn").otherwise("MoneyDeposited").alias("kind"),
+        F.when(opened, 0).otherwise(n % 100).alias("money"),
+        F.when(opened, F.concat(F.lit("owner "), n.cast("string"))).alias("owner"),
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_a_busy_account_is_split_in_joins(spark, hot_joins):
+    log = busy_log(spark)
+    balances = folds.fold_balance_projection(log)
+    accounts = folds.fold_account_state(log)
+    snapshots = folds.snapshot_states(log)
+    transfers = log.where("kind = 'MoneyWithdrawn'").select("seq", "money", F.col("aggregate_id").alias("from_id"))
+    for frame in (
+        joins.event_to_balance(log, balances),
+        joins.leg_account(transfers, accounts, "from_id"),
+        folds.join_snapshot_tail(log, snapshots),
+    ):
+        frame.collect()
+        assert "skew=true" in plan(frame)

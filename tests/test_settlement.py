@@ -199,3 +199,14 @@ def test_refund_is_paid_once(spark):
 def test_unknown_status_is_an_error(spark):
     with pytest.raises(Exception, match="unknown account status"):
         settle(spark, [(1, "a", None, 1)], {"a": "MELTED"}).agg(F.count("*")).collect()
+
+
+def test_balances_beyond_64_bits_raise(spark):
+    """Two deposits of 2**62 and one of 2**63 - 1 do not fit; a wrapped balance would reject the withdrawal."""
+    transfers = [(1, None, "a", 2**62), (2, None, "a", 2**62), (3, "a", None, 1)]
+    with pytest.raises(Exception, match="64 bits"):
+        settle(spark, transfers, {"a": "OPEN"}).collect()
+
+
+def test_balances_up_to_64_bits(spark):
+    check(spark, [(1, None, "a", 2**62), (2, None, "a", 2**62 - 1), (3, "a", None, 2**62)], {"a": "OPEN"})
