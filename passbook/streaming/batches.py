@@ -26,6 +26,11 @@ class BatchTable:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
+    def previous(self, batch_id: int) -> DataFrame:
+        """What the batch before this one wrote, and nothing else; batches are numbered on end."""
+        schema = T.StructType([f for f in self.schema.fields if f.name in self.columns])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/batch_id={batch_id - 1}")
+
     def read(self, before: int | None = None, after: int = NO_BATCH) -> DataFrame:
         """All batches, or only those a retry of batch ``before`` may start from."""
         df = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path)

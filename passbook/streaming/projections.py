@@ -160,14 +160,16 @@ def mark_projection(
     """Apply events above the highest sequence applied so far, and drop the others.
 
     The mark is kept per topic partition; ``global_mark`` keeps one for all, which is
-    safe only with one ordered partition. A batch writes what it adds to each account;
-    the mark is the highest sequence in the same rows, so both are saved by one write.
+    safe only with one ordered partition. A batch writes what it adds to each account and
+    the marks of all topic partitions by then, in one write; the next batch reads the marks
+    of this one only, so its work does not grow with the batches before.
     """
     table = BatchTable(stream.sparkSession, f"{folder}/{name}", DELTA_ROWS).create()
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         keys = [] if global_mark else ["topic"]
-        mark = _marks(table.read(before=batch_id)).withColumnRenamed("sequence", "mark")
+        known = _marks(table.previous(batch_id))
+        mark = known.withColumnRenamed("sequence", "mark")
         fresh = above_mark(batch, mark, keys).dropDuplicates(["seq"])
         changes = (
             fresh.where(F.col("kind").isin(*PROJECTED_KINDS))
@@ -179,7 +181,7 @@ def mark_projection(
                 F.max(F.when(F.col("kind") == "AccountCreated", F.col("owner"))).alias("owner"),
             )
         )
-        token = changes.groupBy("topic").agg(F.max("sequence").alias("sequence"))
+        token = _marks_of(known.unionByName(changes.select("topic", "sequence")))
         table.write(changes.unionByName(token, allowMissingColumns=True), batch_id)
 
     return run_projection(
@@ -189,7 +191,11 @@ def mark_projection(
 
 def _marks(rows: DataFrame) -> DataFrame:
     """Highest applied sequence per topic partition, from the token rows (no id)."""
-    return rows.where("id IS NULL").groupBy("topic").agg(F.max("sequence").alias("sequence"))
+    return _marks_of(rows.where("id IS NULL"))
+
+
+def _marks_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("topic").agg(F.max("sequence").alias("sequence"))
 
 
 def read_marked(spark: SparkSession, folder: str, name: str = "marks") -> DataFrame:

@@ -9,6 +9,7 @@ from passbook.operators import folds
 from passbook.session import shared_dir
 from passbook.sources import files
 from passbook.streaming import projections as p
+from passbook.streaming.batches import BatchTable
 
 LOG = (
     "seq long, aggregate_id string, aggregate_kind string, kind string, money long, owner string, "
@@ -137,3 +138,23 @@ def test_status_keeps_first_terminal_event(spark):
         ("t1", "FAILED", "From account: not enough funds"),
         ("t2", "PENDING", ""),
     ]
+
+
+def test_a_batch_reads_the_marks_of_the_one_before_only(spark):
+    """Marks of a topic partition that is silent for some batches are carried on."""
+    folder = shared_dir(spark, "test-marks")
+    log = ledger(spark, 400)
+    quiet = log.where("seq % 2 = 0 AND seq < 100").withColumn("topic", F.lit("a.1"))
+    busy = log.where("seq % 2 = 1").withColumn("topic", F.lit("b.1"))
+    p.until_caught_up(p.mark_projection(feed(spark, folder, quiet), folder))
+    for k in range(3):
+        part = busy.where(f"seq >= {k * 100} AND seq < {k * 100 + 100}")
+        p.until_caught_up(p.mark_projection(feed(spark, folder, part), folder))
+    before = {r.id: r.token for r in p.read_marks(spark, folder).collect()}
+    assert len(before) == 2
+    p.until_caught_up(p.mark_projection(feed(spark, folder, quiet.where("seq < 50")), folder))
+    assert {r.id: r.token for r in p.read_marks(spark, folder).collect()} == before
+    written = BatchTable(spark, f"{folder}/marks", p.DELTA_ROWS).read()
+    last = written.agg(F.max("batch_id")).first()[0]
+    assert written.where((F.col("batch_id") == last) & F.col("id").isNull()).count() == 2
+    assert written.where((F.col("batch_id") == last) & F.col("id").isNotNull()).isEmpty()
