@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passbook.functions.ids import is_canonical_uuid
 from passbook.functions.money import disabled_reason
-from passbook.schema import ACCOUNT, EVENT_BODIES, OPEN, PENDING, REACTOR_KINDS, TERMINAL_KINDS
+from passbook.schema import ACCOUNT, EVENT_BODIES, OPEN, REACTOR_KINDS, TERMINAL_KINDS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
