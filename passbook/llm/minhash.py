@@ -9,9 +9,9 @@
    estimated similarity; pairs far below the threshold go.
 4. Each document's best pair is confirmed on the full sets, and confirmed pairs are joined to
    components. Then the best pair of each two components that still meet at a centre is. At
-   last, in buckets that still hold documents of several components, all pairs between
-   components are estimated and confirmed. A link inside a component changes nothing, so no
-   group of copies is ever paired with itself, and no other candidate is left out.
+   last, the documents of buckets that still hold several components are paired by their
+   rarest shingles, which leaves out no link, and pairs between components are confirmed. A
+   link inside a component changes nothing, so no group of copies is paired with itself.
 
 Bands miss a pair at the threshold of 0.8 with a chance of 5e-8, and the estimate is allowed
 six standard deviations.
@@ -171,6 +171,90 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return second.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b, ca, cb, agree) of ``nodes`` (node, component) of different components that
+    may be linked, with the number of first shingles that they share.
+
+    Every linked pair is among them. Shingles are put in order of their frequency; linked sets
+    share one of their first few, and not too late in either set. Rare shingles come first,
+    so a text that differs from a large group in many places meets none of it. For each
+    shingle, only documents outside its most frequent component look for partners.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in arrays.blocks(whole):
+                value, bounds = shingle_sets(arrays.texts_of(batch.column("text")), n)
+                sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.record_batch(
+                    [batch.column("node"), batch.column("component"), sets], names=["node", "component", "shingles"]
+                )
+
+    spark = nodes.sparkSession
+    sets = nodes.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "component", "text")
+    each = sets.mapInArrow(listed, "node long, component long, shingles array<long>").select(
+        "node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")
+    )
+    times = each.groupBy("shingle").agg(F.count("*").alias("times"))
+    size = F.col("size")
+    first = (size - F.ceil(size * percent / 100) + 1).cast("int")
+    ordered = (
+        each.join(times, "shingle")
+        .groupBy("node", "component", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all"))
+        .select("node", "component", "size", F.posexplode(F.slice("all", F.lit(1), first)).alias("place", "s"))
+        .where("s.times > 1")
+        .select("node", "component", "size", "place", F.col("s.shingle").alias("shingle"))
+    )
+    ordered = saved(ordered, shared_dir(spark, "minhash-prefix"))
+    most = saved(
+        ordered.groupBy("shingle", "component")
+        .agg(F.count("*").alias("n"))
+        .groupBy("shingle")
+        .agg(F.max_by("component", "n").alias("most"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("shingle", "most"),
+        shared_dir(spark, "minhash-most"),
+    )
+    met = saved(ordered.join(most, "shingle"), shared_dir(spark, "minhash-prefix"))
+    few = met.where("component <> most").select(
+        "shingle",
+        F.col("node").alias("a"),
+        F.col("component").alias("ca"),
+        F.col("size").alias("a_size"),
+        F.col("place").alias("a_place"),
+    )
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("size") - F.col("place"))
+    return (
+        few.join(met, "shingle")
+        .where(
+            (F.col("ca") != F.col("component"))
+            & ((F.col("component") == F.col("most")) | (F.col("a") < F.col("node")))
+            & ((100 + percent) * left >= percent * (F.col("a_size") + F.col("size")))
+        )
+        .groupBy("a", F.col("node").alias("b"), "ca", F.col("component").alias("cb"))
+        .agg(F.count("*").alias("agree"))
+    )
+
+
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after joining the components of ``edges`` (a, b)."""
+    joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return saved(
+        labels.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")),
+        shared_dir(labels.sparkSession, "minhash-label"),
+    )
+
+
+def best_of_components(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b, ca, cb, agree) the one with most agreement for each two components."""
+    order = F.col("agree").cast("long") * F.lit(1 << 32) + F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 32) - 1))
+    best = pairs.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(
+        F.max_by(F.struct("a", "b"), order).alias("p")
+    )
+    return best.select("p.a", "p.b")
+
+
 def cluster(docs: DataFrame, n: int = 4, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, n_shingles, component_id, kept).
 
@@ -193,8 +277,12 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = PERCENT) -> DataFrame:
         .where("n > 1")
         .join(sets.select("doc_id", "h1", "h2", "n_shingles"), "doc_id")
         .join(classes, ["h1", "h2", "n_shingles"])
-        .where("doc_id <> node")
-        .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        .select("doc_id", "node")
+        .distinct()
+    )
+    split = saved(
+        split.join(split.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")),
+        shared_dir(spark, "minhash-split"),
     )
     nodes = saved(
         sets.join(classes, ["h1", "h2", "n_shingles"])
@@ -228,37 +316,28 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = PERCENT) -> DataFrame:
     )
     shared = met.select(F.col("node").alias("doc_id")).distinct()
     texts = saved(docs.select("doc_id", "text").join(shared, "doc_id"), shared_dir(spark, "minhash-text"))
-    rank = F.col("agree").cast("long") * F.lit(1 << 32) + F.xxhash64("b").bitwiseAND(F.lit((1 << 32) - 1))
-    best = stars.groupBy("a").agg(F.max_by("b", rank).alias("b"))
-    links = saved(confirmed(best, texts, n, percent).unionByName(split), shared_dir(spark, "minhash-link"))
-    labels = components(links)
+    every = met.select("node").union(split.select("b")).union(split.select("a")).distinct()
+    labels = saved(every.withColumn("component", F.col("node")), shared_dir(spark, "minhash-label"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links (a, b) among the pairs, stored."""
+        return saved(confirmed(pairs, texts, n, percent), shared_dir(spark, "minhash-link"))
 
     def between(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ...) of different components, with them as ca and cb."""
+        """The pairs (a, b, ...) of nodes in different components, with them as ca and cb."""
         of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        return (
-            pairs.join(of_a, "a", "left")
-            .join(of_b, "b", "left")
-            .withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-            .where("ca <> cb")
-        )
+        return pairs.join(of_a, "a").join(of_b, "b").where("ca <> cb")
 
-    pair = F.struct("a", "b")
-    order = F.col("agree").cast("long") * F.lit(1 << 32) + F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 32) - 1))
-    best = (
-        between(stars)
-        .groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2"))
-        .agg(F.max_by(pair, order).alias("p"))
-        .select("p.a", "p.b")
-    )
-    more = saved(confirmed(best, texts, n, percent), shared_dir(spark, "minhash-link"))
-    links = links.unionByName(more)
-    labels = components(links)
+    def joined(links: DataFrame) -> DataFrame:
+        """The labels after the links."""
+        return relabelled(labels, between(links).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
 
-    member = labels.select("node", "component")
-    placed = met.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = saved(placed.select("band", "key", "node", "component"), shared_dir(spark, "minhash-placed"))
+    rank = F.col("agree").cast("long") * F.lit(1 << 32) + F.xxhash64("b").bitwiseAND(F.lit((1 << 32) - 1))
+    best = stars.groupBy("a").agg(F.max_by("b", rank).alias("b"))
+    labels = joined(linked(best).unionByName(split))
+    labels = joined(linked(best_of_components(between(stars))))
+    placed = saved(met.select("band", "key", "node").join(labels, "node"), shared_dir(spark, "minhash-placed"))
     mixed = (
         placed.groupBy("band", "key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -266,23 +345,20 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = PERCENT) -> DataFrame:
         .select("band", "key")
     )
     mixed = saved(mixed, shared_dir(spark, "minhash-mixed"))
-    open_ = saved(placed.join(mixed, ["band", "key"]).join(sig, "node"), shared_dir(spark, "minhash-open"))
-    other = open_.select(
-        "band",
-        "key",
-        F.col("node").alias("b"),
-        F.col("component").alias("cb"),
-        F.col("sig").alias("b_sig"),
-    )
-    rest = (
-        open_.join(other, ["band", "key"])
-        .where((F.col("component") < F.col("cb")) & (agreement(F.col("sig"), F.col("b_sig")) >= least))
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
+    open_ = placed.join(mixed, ["band", "key"]).select("node", "component").distinct()
+    open_ = saved(open_, shared_dir(spark, "minhash-open"))
+    rest = saved(prefix_pairs(open_, texts, n, percent), shared_dir(spark, "minhash-rest"))
+    labels = joined(linked(best_of_components(rest)))
+    # What the best pairs did not join is confirmed pair by pair.
+    now = open_.join(labels.withColumnRenamed("component", "now"), "node").select("component", "now").distinct()
+    now = saved(now, shared_dir(spark, "minhash-now"))
+    apart = (
+        rest.join(now.select(F.col("component").alias("ca"), F.col("now").alias("na")), "ca")
+        .join(now.select(F.col("component").alias("cb"), F.col("now").alias("nb")), "cb")
+        .where("na <> nb")
+        .select("a", "b")
     )
-    rest = saved(rest, shared_dir(spark, "minhash-rest"))
-    links = links.unionByName(saved(confirmed(rest, texts, n, percent), shared_dir(spark, "minhash-link")))
-    labels = components(links)
+    labels = joined(linked(saved(apart, shared_dir(spark, "minhash-apart"))))
     of_class = saved(
         classes.join(labels, "node", "left").withColumn("component_id", F.coalesce("component", "node")),
         shared_dir(spark, "minhash-component"),
