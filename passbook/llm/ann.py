@@ -4,8 +4,8 @@ A fast pseudo-rotation (three rounds of random signs and a Hadamard transform) t
 vector, and its nearest signed axis is the hash; a second rotation cuts the cells finer when
 there are many vectors. Several tables have rotations of their own. A query visits, in each
 table, the cells whose axes are nearest to it, and all vectors of those cells are compared
-exactly. Vectors of any length are searched by inner product: candidates are brought to one
-length by a coordinate more, in which queries are zero.
+exactly, and more cells while these hold too few. Vectors of any length are searched by inner
+product: they are hashed by direction, in bands of similar length that are searched each.
 
 A cell is dealt in chunks of bounded size, and its queries go to each of them. What comes back
 from a chunk is a query's few best classes.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passbook.llm import arrays
@@ -28,8 +28,12 @@ from passbook.session import saved, shared_dir
 TABLES, PROBES, FINE_PROBES = 8, 20, 80
 #: Vectors for each cell before the second rotation is used, and vectors in a chunk.
 CELL_ROWS, CHUNK_ROWS = 4096, 4096
-#: Lengths within this factor count as equal for the hashes.
-EQUAL = 0.99
+#: A query goes on to further cells until a table's hold this many times k classes.
+ENOUGH = 20
+#: Queries that share the chunks of a cell in a small band.
+QUERY_ROWS = 16384
+#: Lengths of a band are within this factor.
+BAND = 1.1
 #: Seed of the signs.
 SEED = 31
 
@@ -61,58 +65,111 @@ def axis_values(rows: np.ndarray, table: int, axes: int) -> list[np.ndarray]:
     return parts
 
 
-def cells(values: list[np.ndarray], n: int) -> np.ndarray:
-    """The ``n`` nearest cells of each row: least sum of squared gaps to the nearest axes."""
+def costs(values: list[np.ndarray]) -> np.ndarray:
+    """For each row and cell the sum of squared gaps to the nearest axes."""
     gaps = [np.square(v.max(axis=1, keepdims=True) - v) for v in values]
-    cost = gaps[0]
-    if len(gaps) > 1:
-        # Only the nearest axes of the second rotation can be in a near cell.
-        cost = (gaps[0][:, :, None] + gaps[1][:, None, :]).reshape(len(gaps[0]), -1)
+    if len(gaps) == 1:
+        return gaps[0]
+    return (gaps[0][:, :, None] + gaps[1][:, None, :]).reshape(len(gaps[0]), -1)
+
+
+def visited(cost: np.ndarray, held: np.ndarray, n: int, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the occupied cells each of them visits: the ``n`` of least cost, and further
+    ones, nearest first, until they hold ``enough`` classes or none is left.
+
+    ``held`` is the number of classes in each cell.
+    """
     n = min(n, cost.shape[1])
     near = np.argpartition(cost, n - 1, axis=1)[:, :n] if n < cost.shape[1] else np.argsort(cost, axis=1)
-    return near
+    few = held[near].sum(axis=1) < min(enough, int(held.sum()))
+    at, pick = np.nonzero((held[near] > 0) & ~few[:, None])
+    rows, found = [at], [near[at, pick]]
+    if few.any():
+        order = np.argsort(cost[few], axis=1, kind="stable")
+        before = np.cumsum(held[order], axis=1) - held[order]
+        at, pick = np.nonzero((held[order] > 0) & (before < enough))
+        rows.append(np.flatnonzero(few)[at])
+        found.append(order[at, pick])
+    return np.concatenate(rows), np.concatenate(found)
+
 
+def units(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Parts of a batch with vectors of one length: the part, the length, directions, bands."""
+    dims = np.asarray(pa.compute.list_value_length(whole.column("v")))
+    for dim in np.unique(dims).tolist():
+        batch = whole.filter(pa.array(dims == dim))
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            rows = np.asarray(part.column("v").flatten(), float).reshape(-1, dim)
+            most = np.abs(rows).max(axis=1, keepdims=True)
+            rows = rows / most
+            size = np.linalg.norm(rows, axis=1, keepdims=True)
+            band = np.rint((np.log(most) + np.log(size)) / np.log(BAND)).astype(np.int32).ravel()
+            yield part, dim, rows / size, band
 
-def hashed(known: DataFrame, longest: float, axes: int, n: int, as_query: bool) -> DataFrame:
-    """(cid, tab, cell, dim, first, v) for each of the ``n`` nearest cells in each table.
 
-    ``longest`` is the largest length where lengths differ, 0 where all are about equal and
-    the direction says it all.
+def placed_in(known: DataFrame, axes: int) -> DataFrame:
+    """(cid, tab, cell, dim, band, first, v) for the nearest cell in each table."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part, dim, unit, band in units(whole):
+                for table in range(TABLES):
+                    cell = costs(axis_values(unit, table, axes)).argmin(axis=1)
+                    yield pa.record_batch(
+                        [
+                            part.column("cid"),
+                            pa.array(np.full(len(unit), table, np.int32)),
+                            pa.array(cell.astype(np.int64)),
+                            pa.array(np.full(len(unit), dim, np.int32)),
+                            pa.array(band),
+                            part.column("first"),
+                            part.column("v"),
+                        ],
+                        names=["cid", "tab", "cell", "dim", "band", "first", "v"],
+                    )
+
+    return known.select("cid", F.col("ids")[0].alias("first"), "v").mapInArrow(
+        spread, "cid long, tab int, cell long, dim int, band int, first long, v array<double>"
+    )
+
+
+def probed(asking: DataFrame, sizes: DataFrame, axes: int, n: int, enough: int) -> DataFrame:
+    """(cid, tab, cell, dim, band, v) for each cell that a query visits, of ``n`` and further
+    ones in each table and band until there are ``enough`` classes.
+
+    ``sizes`` (dim, band, tab, cell, n) go to all tasks, at most cells x tables x bands rows.
     """
+    held: dict[int, dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]] = {}
+    listed = sizes.groupBy("dim", "band", "tab").agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n"))
+    for r in listed.collect():
+        held.setdefault(r.dim, {}).setdefault(r.tab, {})[r.band] = (np.array(r.cell, np.int64), np.array(r.n, np.int64))
+    shared = asking.sparkSession.sparkContext.broadcast(held)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            dims = np.asarray(pa.compute.list_value_length(whole.column("v")))
-            for dim in np.unique(dims).tolist():
-                batch = whole.filter(pa.array(dims == dim))
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    rows = np.asarray(part.column("v").flatten(), float).reshape(-1, dim)
-                    size = np.linalg.norm(rows, axis=1, keepdims=True)
-                    unit = rows / size
-                    if longest and as_query:
-                        unit = np.concatenate([unit, np.zeros((len(rows), 1))], axis=1)
-                    elif longest:
-                        unit = rows / longest
-                        more = np.sqrt(np.maximum(0.0, 1.0 - np.square(unit).sum(axis=1, keepdims=True)))
-                        unit = np.concatenate([unit, more], axis=1)
-                    for table in range(TABLES):
-                        near = cells(axis_values(unit, table, axes), n)
-                        pick = pa.array(np.repeat(np.arange(len(rows)), near.shape[1]))
+            for part, dim, unit, _ in units(whole):
+                for table in range(TABLES):
+                    cost = costs(axis_values(unit, table, axes))
+                    for band, (cell, count) in shared.value[dim].get(table, {}).items():
+                        of_cell = np.zeros(cost.shape[1], np.int64)
+                        of_cell[cell] = count
+                        rows, near = visited(cost, of_cell, n, enough)
+                        pick = pa.array(rows)
                         yield pa.record_batch(
                             [
                                 part.column("cid").take(pick),
-                                pa.array(np.full(near.size, table, np.int32)),
-                                pa.array(near.ravel().astype(np.int64)),
-                                pa.array(np.full(near.size, dim, np.int32)),
-                                part.column("first").take(pick),
+                                pa.array(np.full(len(rows), table, np.int32)),
+                                pa.array(near.astype(np.int64)),
+                                pa.array(np.full(len(rows), dim, np.int32)),
+                                pa.array(np.full(len(rows), band, np.int32)),
                                 part.column("v").take(pick),
                             ],
-                            names=["cid", "tab", "cell", "dim", "first", "v"],
+                            names=["cid", "tab", "cell", "dim", "band", "v"],
                         )
 
-    return known.select("cid", F.col("ids")[0].alias("first"), "v").mapInArrow(
-        spread, "cid long, tab int, cell long, dim int, first long, v array<double>"
+    return asking.select("cid", "v").mapInArrow(
+        spread, "cid long, tab int, cell long, dim int, band int, v array<double>"
     )
 
 
@@ -134,26 +191,36 @@ def nearest(rows: DataFrame, chosen: Column, k: int = 20) -> DataFrame:
     valid = valid.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     known = classes(valid, k)
     asked = queries_of(valid, known, chosen)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    facts = known.agg(
-        F.count("*").alias("n"),
-        F.max(norm).alias("longest"),
-        F.min(norm).alias("shortest"),
-        F.max(F.size("v")).alias("dim"),
-    ).first()
+    facts = known.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     first_cells = 2 << max(0, (facts.dim or 1) - 1).bit_length()
     axes = 0
     while facts.n > CELL_ROWS * first_cells * max(1, 2 * axes) and 2 * axes < first_cells // 2:
         axes = max(2, 2 * axes)
-    longest = facts.longest if facts.n and facts.shortest < EQUAL * facts.longest else 0.0
-    placed = saved(hashed(known, longest, axes, 1, False), shared_dir(spark, "cells"))
-    sizes = placed.groupBy("dim", "tab", "cell").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-    sizes = saved(sizes, shared_dir(spark, "cell-sizes"))
-    where = ["dim", "tab", "cell"]
-    members = placed.join(sizes, where).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    placed = saved(placed_in(known, axes), shared_dir(spark, "cells"))
     asking = known.join(asked.select("cid").distinct(), "cid")
-    probes = hashed(asking, longest, axes, FINE_PROBES if axes else PROBES, True).join(sizes, where)
-    probes = probes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    n_asking, enough = asking.count(), ENOUGH * k
+    where = ["dim", "band", "tab", "cell"]
+    # A band that holds no more than enough is one cell of one table.
+    in_bands = placed.where("tab = 0").groupBy("dim", "band").agg(F.count("*").alias("in_band"))
+    placed = placed.join(in_bands, ["dim", "band"]).where((F.col("in_band") > enough) | (F.col("tab") == 0))
+    placed = placed.withColumn("cell", F.when(F.col("in_band") > enough, F.col("cell")).otherwise(0)).drop("in_band")
+    sizes = placed.groupBy(*where).agg(F.count("*").alias("n"))
+    # The fewer classes a band has, the more queries visit each of its cells.
+    in_band = F.sum("n").over(Window.partitionBy("dim", "band", "tab"))
+    asked_here = F.least(F.lit(1.0), F.lit(enough) / in_band) * n_asking
+    sizes = sizes.withColumn("parts", F.greatest(F.lit(1), F.ceil(asked_here / QUERY_ROWS)).cast("int"))
+    sizes = sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK_ROWS).cast("int"))
+    sizes = saved(sizes, shared_dir(spark, "cell-sizes"))
+    dealt = sizes.drop("n")
+
+    def shares(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    members = placed.join(dealt, where).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    members = members.withColumn("part", shares("parts"))
+    probes = probed(asking, sizes, axes, FINE_PROBES if axes else PROBES, enough).join(dealt, where)
+    probes = probes.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "cid"), F.col("parts")).cast("int"))
+    probes = probes.withColumn("chunk", shares("chunks"))
     most = k + 1
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -184,7 +251,7 @@ def nearest(rows: DataFrame, chosen: Column, k: int = 20) -> DataFrame:
             }
         )
 
-    keys = [*where, "chunk"]
+    keys = [*where, "chunk", "part"]
     lists = (
         probes.select(*keys, "cid", "v")
         .groupBy(*keys)
