@@ -3,13 +3,15 @@
 The library encodes a text slowly word by word, and most words occur again and again. A text
 is cut where no token and no rule of its tokenizer reaches across, each distinct piece is
 encoded by the library, and ids are put together by numpy. Pieces stay known to the Python
-worker in a table of fixed size. What comes out is what the library gives for whole texts;
-the tests compare them.
+worker in a table of fixed size. Texts that hold an added token of the file, such as
+``<|endoftext|>``, are encoded by the library whole. What comes out is what the library gives
+for whole texts; the tests compare them.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -34,7 +36,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.markers = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))).encode()) if added else None
         self.spaced = spaced
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.key = np.zeros(SLOTS, np.uint64)
@@ -52,6 +55,33 @@ class Encoder:
 
     def encode(self, texts: arrays.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the bounds of the texts in it."""
+        marked = self._marked(texts)
+        if not len(marked):
+            return self._by_pieces(texts)
+        # Texts with markers go to the library whole, the others stay in their places.
+        size = np.diff(texts.bounds)
+        keep = np.ones(len(texts), bool)
+        keep[marked] = False
+        rest = arrays.Texts(texts.data[np.repeat(keep, size)], np.append(0, np.cumsum(np.where(keep, size, 0))))
+        ids, bounds = self._by_pieces(rest)
+        parts, count, at = [], np.diff(bounds), 0
+        for i in marked.tolist():
+            whole = self.tokenizer.encode(texts.get(i).decode(), add_special_tokens=False).ids
+            parts += [ids[at : bounds[i]], np.array(whole, np.uint32)]
+            count[i], at = len(whole), bounds[i]
+        return np.concatenate([*parts, ids[at:]]), np.append(0, np.cumsum(count))
+
+    def _marked(self, texts: arrays.Texts) -> np.ndarray:
+        """Texts that hold a token which the library takes out before anything else."""
+        if self.markers is None:
+            return np.zeros(0, np.int64)
+        spans = [m.span() for m in self.markers.finditer(texts.data.tobytes())]
+        # A match over the end of a text may hide one: both texts are encoded whole.
+        at = np.array([[start, end - 1] for start, end in spans], np.int64).ravel()
+        return np.unique(np.searchsorted(texts.bounds, at, side="right") - 1)
+
+    def _by_pieces(self, texts: arrays.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without markers."""
         start, end, plain = self._pieces(texts)
         n = len(start)
         if not n:
