@@ -31,7 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents, with their sequences."""
+    """The pieces of the mixed documents with their token ids and sequences."""
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

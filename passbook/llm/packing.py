@@ -234,12 +234,10 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+    """``docs`` (doc_id, text) as (doc_id, piece, start, length, ids, sequence_id, offset).
 
-    Null and empty texts are one piece with the end id. No rows in, no rows out; other
-    columns are ignored.
+    A sequence is the ``ids`` of its rows by offset. Null and empty texts are one piece with
+    the end id. No rows in, no rows out; other columns are ignored.
     """
-    cut = pieces(docs, tokenizer, sequence).select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
-    )
+    cut = pieces(docs, tokenizer, sequence)
     return pack(saved(cut, shared_dir(docs.sparkSession, "pieces")), sequence)

@@ -41,7 +41,9 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences that the pieces of each document are packed into."""
-    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "piece", "start", "length", crc, "sequence_id", "offset")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
