@@ -26,7 +26,20 @@ SECRET = (
     r"(?<=(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)"
     r"[\"']?[ ]?[=:][ ]?[\"']?)[A-Za-z0-9+/_\-]{8,}"
 )
-IBAN = BEFORE + r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?" + BEHIND
+#: Lengths of IBANs by country; others are looked for by their form alone.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBANS = tuple(
+    rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}"
+    + (rf"[ ]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, names in IBAN_LENGTHS.items()
+)
+ANY_IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?"
+IBAN = BEFORE + f"(?:(?:{'|'.join(IBANS)}){BEHIND}|{ANY_IBAN})" + BEHIND
 ISO_DATE = BEFORE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + BEHIND
 SLASH_DATE = BEFORE + r"[0-9]{2}/[0-9]{2}/[0-9]{4}" + BEHIND
 DOT_DATE = BEFORE + r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}" + BEHIND
@@ -35,7 +48,17 @@ SSN = BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + BEHIND
 PHONE = r"(?<![A-Za-z0-9+])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}" + BEHIND
 PHONE_ABROAD = r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5}" + BEHIND
 CARD = BEFORE + r"[0-9](?:[ \-]?[0-9]){12,18}" + BEHIND
-KINDS = (EMAIL, ACCESS_KEY, SECRET, IBAN, ISO_DATE, SLASH_DATE, DOT_DATE, IPV4, SSN, PHONE, PHONE_ABROAD, CARD)
+#: Formats of cards, the longest first.
+CARDS = (
+    r"[0-9]{4}(?:[ \-]?[0-9]{4}){3}[ \-]?[0-9]{3}",
+    r"[0-9]{4}(?:[ \-]?[0-9]{4}){3}",
+    r"[0-9]{4}[ \-]?[0-9]{6}[ \-]?[0-9]{5}",
+    r"[0-9]{4}[ \-]?[0-9]{6}[ \-]?[0-9]{4}",
+    r"[0-9]{13,19}",
+)
+KINDS = (EMAIL, ACCESS_KEY, SECRET, IBAN, ISO_DATE, SLASH_DATE, DOT_DATE, IPV4, SSN, PHONE, PHONE_ABROAD)
+#: Texts that may hold an IBAN or a card.
+LONG_NUMBER = r"(?:[0-9][ \-]?){12}[0-9]|[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}"
 PATTERN = "|".join(KINDS)
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -302,17 +325,51 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(is_(SSN), _ssn(m, key))
         .when(is_(PHONE), _phone(m, key))
         .when(is_(PHONE_ABROAD), _phone_abroad(m, key))
-        .when(is_(CARD), _card(m, key))
         .otherwise(_secret(m, key))
     )
 
 
+def _starting(*forms: str) -> tuple[str, ...]:
+    """Patterns whose first group is what begins at each place, also inside of other matches."""
+    return tuple(rf"{BEFORE}(?=({form}){BEHIND})" for form in forms)
+
+
+def _replaced(state: Column, patterns: tuple[str, ...], new) -> Column:
+    """struct(text, free) with ``new`` for what the patterns find in ``free`` and ``new`` changes."""
+    found = F.array_distinct(F.concat(*(F.regexp_extract_all(state["free"], F.lit(p), F.lit(1)) for p in patterns)))
+    pairs = F.transform(found, lambda c: F.struct(c.alias("old"), new(c).alias("new")))
+
+    def put(s: Column, pair: Column) -> Column:
+        there = F.concat(F.lit(BEFORE), pair["old"], F.lit(BEHIND))
+        return F.struct(
+            F.regexp_replace(s["text"], there, pair["new"]).alias("text"),
+            F.regexp_replace(s["free"], there, F.repeat(F.lit("@"), F.length(pair["old"]))).alias("free"),
+        )
+
+    return F.aggregate(F.filter(pairs, lambda pair: pair["old"] != pair["new"]), state, put)
+
+
 def pseudonymised(text: Column, key: str) -> Column:
-    """``text`` with a pseudonym for each match; null stays null."""
+    """``text`` with a pseudonym for each match; null stays null.
+
+    A match that fails its check stays, and so do its characters in ``free``, where IBANs and
+    cards are looked for once more at every place; what is replaced is ``@`` there.
+    """
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     new = F.transform(found, lambda m: pseudonym(m, key))
-    parts = F.zip_with(F.split(text, PATTERN, -1), new, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
-    return F.when(text.rlike(r"[0-9@]|[=:][ ]?[\"']?[A-Za-z]"), F.array_join(parts, "")).otherwise(text)
+
+    def joined(matches: Column) -> Column:
+        parts = F.zip_with(F.split(text, PATTERN, -1), matches, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+        return F.array_join(parts, "")
+
+    def again(done: Column) -> Column:
+        taken = F.zip_with(found, done, lambda m, n: F.when(m == n, m).otherwise(F.repeat(F.lit("@"), F.length(m))))
+        start = F.struct(joined(done).alias("text"), joined(taken).alias("free"))
+        ibans = let(start, lambda s: _replaced(s, _starting(*IBANS), lambda c: _iban(c, key)))
+        cards = let(ibans, lambda s: _replaced(s, (*_starting(*CARDS), f"({CARD})"), lambda c: _card(c, key)))
+        return F.when(text.rlike(LONG_NUMBER), cards["text"]).otherwise(joined(done))
+
+    return F.when(text.rlike(r"[0-9@]|[=:][ ]?[\"']?[A-Za-z]"), let(new, again)).otherwise(text)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
