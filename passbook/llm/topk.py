@@ -84,7 +84,7 @@ def _sufficient(lists: int):
             return _none()
         cid, first = np.asarray(right["cid"]), np.asarray(right["first"])
         score = products(_matrix(left["v"]), _matrix(right["v"]))
-        share = -(-np.asarray(left["cutoff"], np.int64) // lists)
+        share = -(-np.asarray(left["cutoff"], np.int64) // min(lists, left["dim"][0].as_py()))
         q, at = np.nonzero(score >= share[:, None])
         counts = np.bincount(q, minlength=left.num_rows)
         return _lists(left["cid"], counts, cid[at], first[at], score[q, at])
