@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
 
-TABLES = ("customer", "events", "documents", "embeddings", "labels")
+TABLES = ("customer", "events", "documents", "embeddings", "labels", "benchmark")
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
