@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm import ann, binary, language, minhash, mixing, packing, pii, quality, substring, topk
+from passbook.llm import (
+    ann,
+    binary,
+    language,
+    merkle,
+    minhash,
+    mixing,
+    packing,
+    pii,
+    quality,
+    resample,
+    simhash,
+    substring,
+    topk,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +86,21 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of each document, and the ranks of those drawn for the benchmark."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and its component of near ones."""
+    return simhash.cluster(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of each document, and the check of a copy."""
+    return merkle.prove(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -83,4 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
