@@ -2,32 +2,26 @@
 
 Whether a withdrawal passes depends on every earlier verdict of its account, and a
 deposit on the verdict of another account, so no window function gives the answer.
-It is found as a fixpoint over whole DataFrames:
-
-* Each round turns the open transfers, with the verdicts of the last round, into
-  legs, shuffles them once by account and folds each account in order. A withdrawal
-  passes if the balance before it covers it.
-* An account with more legs than a limit is folded in parts, one per cell of
-  positions, so that no task holds more of it than a cell. A part starts from the
-  balance predicted for the end of the one before. A fold that opened at o, closed
-  at e and would move t with all withdrawals accepted predicts for another opening
-  x the closing ``max(x + min(t, e - o), e)``: exact for x = o, and exact when
-  nothing is rejected. These compose as running sums and maxima, so openings are
-  two window functions over one row per part.
-* Once few verdicts change, only the accounts that their deposits reach are folded
-  again; all other verdicts pass through without a shuffle.
-* A verdict depends on earlier positions only. By induction on the position, a
-  round whose verdicts and openings repeat equals the serial run, and each round
-  settles at least one more part or transfer. Positions before the first difference
-  are final and leave the loop, with their effect kept as opening balances.
-* Accounts that live near zero and pay each other can pass a change back and forth
-  for very many rounds. When the changes stop shrinking, the next slice of at most
-  ``SLICE`` positions is run in order by one task that holds just the balances the
-  slice touches, and the rounds go on behind it. The number of slices between rounds
-  doubles while that does not help.
-
-Every round is written to the shared folder, which cuts its lineage; a lost
-executor costs the current round at most.
+Verdicts are found out of order, from bounds on balances:
+
+* A round turns the open transfers into legs, shuffles them once by account and follows
+  a lower and an upper balance along each account. A deposit that is still open moves
+  one bound only. A withdrawal that the lower bound covers has passed, one that the
+  upper bound does not cover has failed, whatever the open ones will do; such verdicts
+  are final. The others stay open, with the certain money since the open withdrawal
+  before them as their ``gap``, so a decided transfer is a leg of no later round.
+* The first open transfer of all sees exact balances, so each round decides some. With
+  few new verdicts, only the accounts that they pay into are folded again.
+* An account with more legs than a limit is folded in parts, one per cell of positions,
+  so that no task holds more of it than a cell. The bounds at the start of a part come
+  from sums over the parts before it, and from where the last round left the part before.
+* Accounts that live near zero and pay each other leave chains of transfers that wait for
+  each other. When rounds decide little, the open transfers are cut into groups of accounts
+  that pay each other, and each group is run in order, all groups side by side; of a group
+  with more transfers than ``SLICE`` only the first ones, before the rounds go on.
+
+Each round writes the verdicts it found and the transfers still open to the shared folder,
+which cuts its lineage; a lost executor costs the current round at most.
 """
 
 from __future__ import annotations
@@ -40,21 +34,29 @@ from pyspark.sql import types as T
 
 from passbook.functions.ids import account_uuid, idempotency_key, transaction_uuid
 from passbook.functions.money import disabled_reason, failure_reason
+from passbook.operators.groups import connected
 from passbook.operators.joins import lookup
 from passbook.operators.tasks import (
+    ACCEPTED,
+    CERTAIN_LEG,
     CLOSED_SIDE,
     DEPOSIT_LEG,
     FROZEN_SIDE,
+    HIGHEST,
+    LOWEST,
     NO_SIDE,
     OPEN_SIDE,
     OPENING_LEG,
+    PART_ROW,
     SELF_SIDE,
+    UNDECIDED,
     UNKNOWN_SIDE,
     WHOLE,
     WITHDRAW_LEG,
+    WITHDRAWAL_ROW,
     arrow_schema,
     fold_partition,
-    run_in_order,
+    run_groups,
 )
 from passbook.schema import (
     ACCOUNT,
@@ -81,11 +83,11 @@ MAX_HEAVY = 10_000
 # With no more changed verdicts than this, a round folds only the accounts they pay into,
 # which are then few enough to broadcast.
 MAX_DIRTY = 100_000
-# Positions that one task may run in order.
+# Transfers of one group that are run in order at a time.
 SLICE = 1 << 20
 
 _DISABLED = {CLOSED_SIDE: CLOSED, FROZEN_SIDE: FROZEN}
-_LEG_COLUMNS = ("account", "cell", "seq", "leg", "money", "to_id", "dest", "ok")
+_LEG_COLUMNS = ("account", "cell", "seq", "leg", "money", "gap", "to_id", "dest")
 
 
 def _side_state(key: str, status: str) -> Column:
@@ -132,39 +134,17 @@ def _with_sides(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
-def _legs(open_transfers: DataFrame) -> DataFrame:
-    """Legs under the present verdicts: a withdrawal each, a deposit where one passed."""
-    sides = f"""inline(array(
-        named_struct('account', account, 'leg', {WITHDRAW_LEG}, 'to_id', to_id, 'dest', dest, 'ok', ok),
-        if(dest = {OPEN_SIDE} AND ok,
-           named_struct('account', to_id, 'leg', {DEPOSIT_LEG},
-                        'to_id', nullif(to_id, to_id), 'dest', nullif(dest, dest), 'ok', true),
+def _legs(open_transfers: DataFrame, certain: DataFrame) -> DataFrame:
+    """A withdrawal of each open transfer, the deposit it may make, and certain money."""
+    both = f"""inline(array(
+        named_struct('account', account, 'leg', {WITHDRAW_LEG}, 'gap', gap, 'to_id', to_id, 'dest', dest),
+        if(dest = {OPEN_SIDE},
+           named_struct('account', to_id, 'leg', {DEPOSIT_LEG}, 'gap', nullif(gap, gap),
+                        'to_id', nullif(to_id, to_id), 'dest', nullif(dest, dest)),
            null)))"""
-    return (
-        open_transfers.selectExpr("cell", "seq", "money", sides)
-        .where("leg IS NOT NULL")
-        .select(*_LEG_COLUMNS)
-    )
-
-
-def _in_order(rows: DataFrame, base: DataFrame, schema: T.StructType) -> DataFrame:
-    """Run one slice: transfers and credits (no account) on the balances they touch."""
-    touched = (
-        rows.selectExpr(f"inline(array(struct(account), if(dest = {OPEN_SIDE}, struct(to_id AS account), null)))")
-        .where("account IS NOT NULL")
-        .distinct()
-    )
-    opening = _added_up(base.join(F.broadcast(touched), "account", "left_semi")).selectExpr(
-        "account", "balance AS money"
-    )
-    both = rows.unionByName(opening, allowMissingColumns=True)
-    arrow = arrow_schema(schema)
-    ordered = (
-        both.select("account", "seq", "money", "to_id", "dest", "cell")
-        .repartition(1)
-        .sortWithinPartitions(F.col("seq").asc_nulls_first())
-    )
-    return ordered.mapInArrow(partial(run_in_order, schema=arrow), schema)
+    own = open_transfers.selectExpr("cell", "seq", "money", both).where("leg IS NOT NULL")
+    sure = certain.select("account", "cell", "seq", F.lit(CERTAIN_LEG).alias("leg"), "money")
+    return own.unionByName(sure, allowMissingColumns=True).select(*_LEG_COLUMNS)
 
 
 def _result_schema(key: T.DataType) -> T.StructType:
@@ -175,77 +155,129 @@ def _result_schema(key: T.DataType) -> T.StructType:
             T.StructField("cell", T.LongType()),
             T.StructField("seq", T.LongType()),
             T.StructField("money", T.LongType()),
+            T.StructField("gap", T.LongType()),
             T.StructField("to_id", key),
             T.StructField("dest", T.IntegerType()),
-            T.StructField("ok", T.BooleanType()),
-            T.StructField("changed", T.BooleanType()),
-            T.StructField("opening", T.LongType()),
-            T.StructField("closing", T.LongType()),
-            T.StructField("total", T.LongType()),
+            T.StructField("verdict", T.IntegerType()),
+            T.StructField("low", T.LongType()),
+            T.StructField("high", T.LongType()),
         ]
     )
 
 
-def _fold(legs: DataFrame, openings: DataFrame, schema: T.StructType) -> DataFrame:
-    """One round: verdict rows (tag 0) and summaries of parts (tag 1)."""
-    rows = legs.unionByName(
-        openings.selectExpr("account", "part", f"{OPENING_LEG} AS leg", "opening AS money"),
-        allowMissingColumns=True,
-    ).select("account", "part", "seq", "leg", "money", "to_id", "dest", "ok", "cell")
+def _fold(legs: DataFrame, schema: T.StructType) -> DataFrame:
+    """One round over legs with their part: withdrawals and ends of parts, told by ``tag``."""
+    rows = legs.select("account", "part", "seq", "leg", "money", "gap", "to_id", "dest", "cell")
     arrow = arrow_schema(schema)
     ordered = rows.repartition("account", "part").sortWithinPartitions(
-        "account", "part", F.col("seq").asc_nulls_first(), "leg"
+        "account", "part", F.col("leg") != OPENING_LEG, F.col("seq").asc_nulls_first(), "leg"
     )
     return ordered.mapInArrow(partial(fold_partition, schema=arrow), schema)
 
 
-def _predict_openings(summaries: DataFrame, base: DataFrame, first_cell: int) -> DataFrame:
-    """Opening balance of each part from ``first_cell`` on, from the closings before it.
+def _openings(legs: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """Bounds of the balance at the start of each part: account, part, money (low), gap (high).
 
-    ``used`` is the opening that the last fold had. A window holds one row per part
-    of an account, at most ``MAX_CELLS``, and one for the balance before them all.
+    ``legs`` are those of accounts folded in parts, ``ends`` the parts' ends of the last round.
+    Open withdrawals all pass or all fail in the sums; certain and open losses add up to a
+    floor, as no withdrawal goes below zero. Sums are decimals, and are cut to 64 bits. A
+    window holds one row per part of an account, at most ``MAX_CELLS``.
     """
-    rows = summaries.select(
+    wide = T.DecimalType(38, 0)
+    money, zero = F.col("money").cast(wide), F.lit(0).cast(wide)
+    withdraws = F.col("leg") == WITHDRAW_LEG
+    sure = F.when(F.col("leg") == CERTAIN_LEG, money).when(withdraws, F.col("gap").cast(wide)).otherwise(zero)
+    paid = F.when(F.col("leg") == DEPOSIT_LEG, money).otherwise(zero)
+    still = F.col("dest").isin(SELF_SIDE, *_DISABLED)
+    taken = F.when(withdraws & ~still, money).otherwise(zero)
+    sums = legs.groupBy("account", "part").agg(
+        F.sum(sure + F.least(paid, zero) - F.greatest(taken, zero)).alias("low"),
+        F.sum(sure + F.greatest(paid, zero) - F.least(taken, zero)).alias("high"),
+        F.sum(F.least(sure, zero) + F.least(paid, zero)).alias("floor"),
+    )
+    w = Window.partitionBy("account").orderBy("part")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    summed = sums.select(
         "account",
-        "cell",
-        F.col("opening").alias("used"),
-        F.least("total", F.col("closing") - F.col("opening")).alias("moves"),
-        F.col("closing").alias("floor"),
-    ).unionByName(
-        base.select(
+        "part",
+        F.greatest(F.sum("low").over(before), F.sum("floor").over(before)).alias("low"),
+        F.sum("high").over(before).alias("high"),
+    )
+    if ends is not None:
+        w = Window.partitionBy("account").orderBy("cell")
+        known = ends.select(
             "account",
-            F.lit(first_cell - 1).cast("long").alias("cell"),
-            F.lit(0).cast("long").alias("used"),
-            F.col("balance").alias("moves"),
-            F.col("balance").alias("floor"),
+            F.col("cell").alias("part"),
+            F.lag("low").over(w).cast(wide).alias("known_low"),
+            F.lag("high").over(w).cast(wide).alias("known_high"),
         )
-    )
-    w = Window.partitionBy("account").orderBy("cell")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("path", F.sum("moves").over(upto))
-    closing = F.col("path") + F.greatest(
-        F.lit(0).cast("long"), F.max(F.col("floor") - F.col("path")).over(upto)
-    )
-    return (
-        summed.withColumn("close", closing)
-        .select("account", "cell", "used", F.coalesce(F.lag("close").over(w), F.lit(0)).alias("opening"))
-        .where(F.col("cell") >= first_cell)
+        summed = summed.join(known, ["account", "part"], "left").select(
+            "account", "part", F.greatest("low", "known_low").alias("low"), F.least("high", "known_high").alias("high")
+        )
+    low, high = F.lit(LOWEST).cast(wide), F.lit(HIGHEST).cast(wide)
+    return summed.where("low IS NOT NULL").select(
+        "account",
+        "part",
+        F.lit(OPENING_LEG).alias("leg"),
+        F.greatest(low, F.least(high, "low")).cast("long").alias("money"),
+        F.greatest(low, F.least(high, "high")).cast("long").alias("gap"),
     )
 
 
-def _net(legs: DataFrame) -> DataFrame:
-    """What accepted legs move, per account."""
+def _run_groups(
+    open_transfers: DataFrame, certain: DataFrame, most: int, schema: T.StructType, folder: str
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Run groups of accounts that pay each other in order, side by side.
+
+    Of a group with more than ``most`` transfers only the first ones are run. Returns the
+    verdicts, and the open transfers and certain money that are left, None if there are none.
+    """
+    paid = F.when(F.col("dest") == OPEN_SIDE, F.col("to_id")).otherwise(F.col("account"))
+    labels = connected(open_transfers.select(F.col("account").alias("a"), paid.alias("b")))
+    of_account = labels.withColumnRenamed("node", "account")
+    mine = saved(open_transfers.join(of_account, "account"), f"{folder}-mine")
+    sure = saved(certain.join(of_account, "account"), f"{folder}-sure")
+    large = mine.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    large = saved(large, f"{folder}-large")
+    later = None
+    if not large.isEmpty():
+        # The cut of a group is the position below which a power of 1/2 of it stands.
+        halves = F.array(*(F.lit(0.5**k) for k in range(1, 41)))
+        step = F.ceil(F.log2(F.col("n") / F.lit(most))).cast("int")
+        cuts = (
+            mine.join(F.broadcast(large), "group")  # a row for each `most` transfers at most
+            .groupBy("group")
+            .agg(F.element_at(F.percentile_approx("seq", halves, 100_000), F.first(F.greatest(step, F.lit(1)))).alias("cut"))
+        )
+        cuts = F.broadcast(saved(cuts, f"{folder}-cuts"))
+        mine, sure = (x.join(cuts, "group", "left") for x in (mine, sure))
+        later = mine.where(F.col("seq") > F.col("cut")).select(*open_transfers.columns)
+        kept = sure.where("cut IS NOT NULL").select(*certain.columns)
+        first = F.col("cut").isNull() | F.col("seq").isNull() | (F.col("seq") <= F.col("cut"))
+        mine, sure = mine.where(first), sure.where(first)
+    rows = mine.withColumn("leg", F.lit(WITHDRAW_LEG)).unionByName(
+        sure.withColumn("leg", F.lit(CERTAIN_LEG)), allowMissingColumns=True
+    )
+    ordered = rows.repartition("group").sortWithinPartitions("group", F.col("seq").asc_nulls_first(), "leg")
+    names = [*open_transfers.columns, "verdict", *(["cut"] if later is not None else [])]
+    kinds = {f.name: f for f in schema.fields} | {"cut": T.StructField("cut", T.LongType())}
+    out = T.StructType([kinds[n] for n in names])
+    ran = saved(ordered.mapInArrow(partial(run_groups, schema=arrow_schema(out)), out), f"{folder}-ran")
+    if later is None:
+        return ran, None, None
+    again = ran.where("cut IS NOT NULL")
+    passed = F.col("verdict") == ACCEPTED
     still = F.col("dest").isin(SELF_SIDE, *_DISABLED)
-    amount = (
-        F.when(F.col("leg") == DEPOSIT_LEG, F.col("money"))
-        .when(F.col("ok") & ~still, -F.col("money"))
-        .otherwise(F.lit(0).cast("long"))
-    )
-    return legs.groupBy("account").agg(F.sum(amount).alias("balance"))
+    own = F.col("gap") - F.when(passed & ~F.coalesce(still, F.lit(False)), F.col("money")).otherwise(0)
+    moved = again.select("account", "cell", "seq", own.alias("money"))
+    return ran, later, kept.unionByName(moved).unionByName(_paid(again))
 
 
-def _added_up(balances: DataFrame) -> DataFrame:
-    return balances.groupBy("account").agg(F.sum("balance").alias("balance"))
+def _paid(decided: DataFrame) -> DataFrame:
+    """Certain money that accepted transfers bring: account, cell, seq, money."""
+    return decided.where((F.col("verdict") == ACCEPTED) & (F.col("dest") == OPEN_SIDE)).select(
+        F.col("to_id").alias("account"), "cell", "seq", "money"
+    )
 
 
 def _heavy_accounts(sided: DataFrame, limit: int) -> DataFrame:
@@ -278,19 +310,20 @@ def settle(
     ``accounts``: account_id, status. ``opening``: account_id, balance before the
     first transfer (0 where missing). ``width`` is the number of positions per cell,
     ``split_legs`` the number of legs above which an account is folded in parts, and
-    ``max_dirty`` the number of changes up to which only their accounts are folded;
-    ``slice_width`` is the number of positions run in order where rounds do not help.
+    ``max_dirty`` the number of new verdicts up to which only their accounts are folded;
+    ``slice_width`` is the number of transfers of a group that are run in order at a time,
+    where rounds decide little.
 
     Returns seq, from_id, to_id, money, status, reason, rollback, withdrawn,
     deposited, refunded.
     """
-    spark = transfers.sparkSession
-    folder = shared_dir(spark, "settle")
+    folder = shared_dir(transfers.sparkSession, "settle")
     sided = saved(_with_sides(transfers, accounts), f"{folder}/sided")
     bounds = sided.agg(
         F.coalesce(F.min("seq"), F.lit(0)).alias("lo"),
         F.coalesce(F.max("seq"), F.lit(0)).alias("hi"),
         (F.count_if(F.col("origin") == OPEN_SIDE) + F.count_if(F.col("dest") == OPEN_SIDE)).alias("legs"),
+        F.count_if(F.col("origin") == OPEN_SIDE).alias("tries"),
     ).first()
     lo = bounds["lo"]
     width = width or max(MIN_WIDTH, -(-(bounds["hi"] - lo + 1) // MAX_CELLS))
@@ -301,15 +334,18 @@ def settle(
         heavy = saved(_heavy_accounts(sided, limit), f"{folder}/heavy")
         heavy = None if heavy.isEmpty() else F.broadcast(heavy.withColumn("heavy", F.lit(True)))
 
-    def in_parts(rows: DataFrame) -> DataFrame:
+    def in_parts(legs: DataFrame, ends: DataFrame | None) -> DataFrame:
+        """The legs with their part, and the bounds that parts start from."""
         if heavy is None:
-            return rows.withColumn("part", F.lit(WHOLE).cast("long"))
+            return legs.withColumn("part", F.lit(WHOLE).cast("long"))
         part = F.expr(f"if(heavy, cell, {WHOLE}L)")
-        return rows.join(heavy, "account", "left").withColumn("part", part).drop("heavy")
+        legs = legs.join(heavy, "account", "left").withColumn("part", part)
+        openings = _openings(legs.where("heavy"), ends)
+        return legs.drop("heavy").unionByName(openings, allowMissingColumns=True)
 
-    def dirty_accounts(changed: DataFrame) -> DataFrame:
-        """Accounts that the changed verdicts pay into, and all that are folded in parts."""
-        paid = changed.where(F.col("dest") == OPEN_SIDE).select(F.col("to_id").alias("account"))
+    def reached(decided: DataFrame) -> DataFrame:
+        """Accounts that the decided transfers pay into, and all that are folded in parts."""
+        paid = decided.where(F.col("dest") == OPEN_SIDE).select(F.col("to_id").alias("account"))
         if heavy is not None:
             paid = paid.unionByName(heavy.select("account"))
         return F.broadcast(paid.distinct())
@@ -320,157 +356,76 @@ def settle(
         cell.alias("cell"),
         "seq",
         "money",
+        F.lit(0).cast("long").alias("gap"),
         "to_id",
         "dest",
-        F.lit(True).alias("ok"),
     )
-    credits = sided.where((F.col("origin") == NO_SIDE) & (F.col("dest") == OPEN_SIDE)).select(
-        F.col("to_id").alias("account"),
-        cell.alias("cell"),
-        "seq",
-        F.lit(DEPOSIT_LEG).alias("leg"),
-        "money",
+    certain = sided.where((F.col("origin") == NO_SIDE) & (F.col("dest") == OPEN_SIDE)).select(
+        F.col("to_id").alias("account"), cell.alias("cell"), "seq", "money"
     )
-    key = sided.schema["from_id"].dataType
-    schema = _result_schema(key)
-    names = ("account", "cell", "seq", "money", "to_id", "dest", "ok")
-    open_schema = T.StructType([schema[n] for n in names])
-    if opening is None:
-        empty = T.StructType([T.StructField("account", key), T.StructField("balance", T.LongType())])
-        base = spark.createDataFrame([], empty)
-    else:
-        base = saved(
-            opening.select(F.col("account_id").alias("account"), "balance"), f"{folder}/opening"
+    if opening is not None:
+        first = opening.select(
+            F.col("account_id").alias("account"),
+            F.lit(0).cast("long").alias("cell"),
+            F.lit(None).cast("long").alias("seq"),
+            F.col("balance").alias("money"),
         )
-
-    hi = bounds["hi"]
+        certain = certain.unionByName(first)
+    schema = _result_schema(sided.schema["from_id"].dataType)
+    names = open_transfers.columns
     done: list[DataFrame] = []
-    open_from = lo  # positions before it are final
-    predicted = None  # openings of parts, where accounts are folded in parts
-    dirty = None  # accounts to fold; the verdicts of all others stand
+    left = bounds["tries"]  # open transfers
+    dirty = None  # accounts to fold; nothing is new for the others
+    ends = None  # bounds at the ends of parts, of the last round
     steps = 0
-    slow = 0  # rounds in a row whose changes did not halve
-    slices = 1
-    last_changes = None
-
-    def path(kind: str) -> str:
-        return f"{folder}/{kind}-{steps:05d}"
-
-    def keep(final: DataFrame, upto: int, merge: bool = True) -> None:
-        """Take the verdicts before ``upto`` as final and put their effect in the base.
-
-        Without ``merge`` the base grows by the accounts that moved, and is not rewritten.
-        """
-        nonlocal base, open_from
-        done.append(final)
-        if upto <= hi:
-            moved = _legs(final).unionByName(
-                credits.where((F.col("seq") >= open_from) & (F.col("seq") < upto)),
-                allowMissingColumns=True,
-            )
-            if merge:
-                base = saved(_added_up(_net(moved).unionByName(base)), path("base"))
-            else:
-                base = base.unionByName(saved(_net(moved), path("base")))
-        open_from = upto
-
-    while True:
-        first_cell = (open_from - lo) // width
-        legs = _legs(open_transfers).unionByName(
-            credits.where(F.col("seq") >= open_from), allowMissingColumns=True
-        )
-        openings = in_parts(
-            base.withColumn("cell", F.lit(first_cell).cast("long"))
-        ).withColumnRenamed("balance", "opening")
-        if predicted is not None:
-            # The base opens the first part, the predictions open those after it.
-            openings = openings.unionByName(
-                predicted.where(F.col("cell") > first_cell).withColumn("part", F.col("cell"))
-            )
-        if dirty is None:
-            folded = _fold(in_parts(legs), openings, schema)
-        else:
-            mine = legs.join(dirty, "account", "left_semi")
-            folded = _fold(in_parts(mine), openings.join(dirty, "account", "left_semi"), schema)
+
+    while left:
+        legs = _legs(open_transfers, certain)
+        if dirty is not None:
+            legs = legs.join(dirty, "account", "left_semi")
+        folded = _fold(in_parts(legs, ends), schema)
+        if dirty is not None:
             others = open_transfers.join(dirty, "account", "left_anti").selectExpr(
-                "*", "0 AS tag", "false AS changed"
+                "*", f"{WITHDRAWAL_ROW} AS tag", f"{UNDECIDED} AS verdict"
             )
             folded = folded.unionByName(others, allowMissingColumns=True)
         seen = Observation()
-        folded = folded.observe(
-            seen,
-            F.min(F.when(F.col("changed"), F.col("seq"))).alias("first"),
-            F.count_if("changed").alias("count"),
-        )
-        result = saved(folded, path("round"))
-        verdicts = result.where("tag = 0").select(*names)
-        front = hi + 1 if seen.get["first"] is None else seen.get["first"]
-        changes = verdict_changes = seen.get["count"]
-        if heavy is not None:
-            own = base.join(heavy, "account", "left_semi")
-            differs = F.col("used") != F.col("opening")
-            seen = Observation()
-            predicted = saved(
-                _predict_openings(result.where("tag = 1"), own, first_cell).observe(
-                    seen,
-                    F.min(F.when(differs, F.col("cell"))).alias("first"),
-                    F.count_if(differs).alias("count"),
-                ),
-                path("openings"),
-            ).select("account", "cell", "opening")
-            if seen.get["first"] is not None:
-                front = min(front, lo + seen.get["first"] * width)
-            changes += seen.get["count"]
+        new = (F.col("tag") == WITHDRAWAL_ROW) & (F.col("verdict") != UNDECIDED)
+        result = saved(folded.observe(seen, F.count_if(new).alias("decided")), f"{folder}/round-{steps:05d}")
+        decided = result.where(new).select(*names, "verdict")
+        found, open_before = seen.get["decided"], left
+        done.append(decided)
+        left -= found
         steps += 1
-        if changes == 0:
-            keep(verdicts, hi + 1)
+        if not left:
             break
-        slow = slow + 1 if last_changes is not None and changes * 2 > last_changes else 0
-        last_changes = changes
-        stalled = slow >= 2
-        # Retire settled positions when they are a good part of what is open.
-        if stalled or (last_cell > 0 and (front - open_from) * 16 >= hi + 1 - open_from):
-            if front > open_from:
-                keep(verdicts.where(F.col("seq") < front), front)
-        open_transfers = verdicts.where(F.col("seq") >= open_from)
-        few = verdict_changes <= max_dirty and verdict_changes * 8 <= bounds["legs"]
-        dirty = dirty_accounts(result.where("changed")) if few else None
-        if stalled:
-            for _ in range(slices):
-                steps += 1
-                upto = min(open_from + slice_width, hi + 1)
-                inside = (F.col("seq") >= open_from) & (F.col("seq") < upto)
-                paid = credits.where(inside).selectExpr(
-                    "seq", "money", "cell", "account AS to_id", f"{OPEN_SIDE} AS dest"
-                )
-                rows = open_transfers.where(inside).drop("ok").unionByName(
-                    paid, allowMissingColumns=True
-                )
-                ran = saved(_in_order(rows, base, open_schema), path("slice"))
-                keep(ran, upto, merge=False)
-                if upto > hi:
-                    break
-            if open_from > hi:
-                break
-            base = saved(_added_up(base), path("merged"))
-            open_transfers = open_transfers.where(F.col("seq") >= open_from)
-            dirty, slow, last_changes = None, 0, None
-            slices *= 2
-
-    tried = done[0]
-    for part in done[1:]:
-        tried = tried.unionByName(part)
-    tried = tried.select(
-        "seq",
-        F.col("account").alias("from_id"),
-        "to_id",
-        "money",
-        F.lit(OPEN_SIDE).alias("origin"),
-        "dest",
-        "ok",
-    )
+        ends = result.where(F.col("tag") == PART_ROW)
+        open_transfers = result.where((F.col("tag") == WITHDRAWAL_ROW) & (F.col("verdict") == UNDECIDED)).select(*names)
+        pending = ends.where(F.col("gap") != 0).select("account", "cell", "seq", F.col("gap").alias("money"))
+        certain = _paid(decided).unionByName(pending)
+        dirty = reached(decided) if found <= max_dirty else None
+        if found * 8 > open_before:
+            continue
+        ran, later, kept = _run_groups(open_transfers, certain, slice_width, schema, f"{folder}/groups-{steps:05d}")
+        done.append(ran.select(*names, "verdict"))
+        if later is None:
+            break
+        left -= ran.count()
+        open_transfers, certain, dirty = later, kept, None
+
     untried = sided.where(F.col("origin") != OPEN_SIDE).withColumn("ok", F.col("origin") == NO_SIDE)
-    return _outcomes(tried.unionByName(untried))
+    for part in done:
+        tried = part.select(
+            "seq",
+            F.col("account").alias("from_id"),
+            "to_id",
+            "money",
+            F.lit(OPEN_SIDE).alias("origin"),
+            "dest",
+            (F.col("verdict") == ACCEPTED).alias("ok"),
+        )
+        untried = untried.unionByName(tried)
+    return _outcomes(untried)
 
 
 def _outcomes(verdicts: DataFrame) -> DataFrame:

@@ -18,43 +18,146 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NO_SIDE, OPEN_SIDE, SELF_SIDE, UNKNOWN_SIDE, CLOSED_SIDE, FROZEN_SIDE = range(6)
 # Part of an account that is folded whole.
 WHOLE = -1
-# Legs of a position in fold order; the opening balance of a part precedes them all.
-OPENING_LEG, WITHDRAW_LEG, DEPOSIT_LEG = -1, 0, 1
+# Legs of a position in fold order. An opening row holds the bounds of a part's first
+# balance as money and gap; certain money moves for sure, a deposit if its transfer passes.
+OPENING_LEG, CERTAIN_LEG, WITHDRAW_LEG, DEPOSIT_LEG = range(-1, 3)
+# What a round says of a withdrawal.
+UNDECIDED, ACCEPTED, REJECTED = range(3)
+# Rows of a round: a withdrawal, or the end of an account's part.
+WITHDRAWAL_ROW, PART_ROW = range(2)
 
-
-# A 64-bit sum that wrapped is off by 2**64, a floating-point one by rounding only.
-WRAPPED = 2.0**62
-
-
-def checked(exact: np.ndarray, rough: np.ndarray) -> np.ndarray:
-    """``exact`` 64-bit sums; raises where they differ from their floating-point twins."""
-    if len(exact) and (np.abs(exact.astype(float) - rough) > WRAPPED).any():
-        raise OverflowError("a balance does not fit 64 bits")
-    return exact
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
+# Sums of amounts beyond this are made with Python's numbers, which do not wrap.
+WIDE = 2.0**61
+# With fewer groups than this, the rest of a batch is scanned group by group.
+FEW = 24
 
 
 def within(balance: int) -> int:
-    if not -(2**63) <= balance < 2**63:
+    if not LOWEST <= balance <= HIGHEST:
         raise OverflowError("a balance does not fit 64 bits")
     return balance
 
 
+def bounds_of_legs(leg, money, gap, moves, starts, ends, low, high, pending):
+    """Verdict and new gap of each leg; bounds and pending money of each group after them.
+
+    ``low`` and ``high`` bound the balance of a group before its first leg, ``pending`` is
+    the certain money since its last undecided withdrawal. A withdrawal that the lower bound
+    covers is accepted, one that the upper bound does not cover is rejected; what is left
+    widens the bounds: accepted it leaves at least 0, rejected it leaves less than it asked.
+    """
+    n = len(leg)
+    verdict, new_gap = np.zeros(n, np.int8), np.zeros(n, np.int64)
+    low, high, pending = (list(map(int, x)) for x in (low, high, pending))
+    first = starts.copy()
+    size = ends - starts
+    is_w = leg == WITHDRAW_LEG
+    reach = np.abs(money.astype(float)) + np.abs(gap.astype(float))
+    most = np.add.reduceat(reach, starts) + np.array([max(abs(a), abs(b), abs(c)) for a, b, c in zip(low, high, pending)], float)
+    narrow = most < WIDE
+    if narrow.any():
+        # As long as the lower bound covers all withdrawals, all of them are accepted.
+        sure = np.where(leg == CERTAIN_LEG, money, np.where(is_w, gap, 0))
+        taken = np.where(is_w & moves, money, 0)
+        paid = np.where(leg == DEPOSIT_LEG, money, 0)
+
+        def path(steps: np.ndarray, at_start: list[int]) -> np.ndarray:
+            with np.errstate(over="ignore"):  # wide groups are not read
+                total = np.cumsum(steps)
+                opens = np.array([x if ok else 0 for x, ok in zip(at_start, narrow)], np.int64)
+                return total - np.repeat(total[starts] - steps[starts] - opens, size)
+
+        lower = path(sure - taken + np.minimum(paid, 0), low)
+        short = np.flatnonzero(is_w & (lower + taken < money))
+        group = np.repeat(np.arange(len(starts)), size)
+        stop = ends.copy()
+        np.minimum.at(stop, group[short], short)
+        stop = np.where(narrow, stop, starts)
+        done = np.arange(n) < np.repeat(stop, size)
+        verdict[done & is_w] = ACCEPTED
+        upper = path(sure - taken + np.maximum(paid, 0), high)
+        since = path(sure - taken, pending)
+        for g in np.flatnonzero(stop > starts).tolist():
+            at = stop[g] - 1
+            low[g], high[g], pending[g] = int(lower[at]), int(upper[at]), int(since[at])
+        first = stop
+    active = np.flatnonzero(narrow & (first < ends))
+    if len(active) >= FEW:
+        _scan_together(leg, money, gap, moves, first, ends, low, high, pending, active, verdict, new_gap)
+    for g in np.flatnonzero(first < ends).tolist():
+        part = slice(first[g], ends[g])
+        a, b, c = low[g], high[g], pending[g]
+        columns = (x[part].tolist() for x in (leg, money, gap, moves))
+        for i, (kind, m, extra, moving) in enumerate(zip(*columns), start=int(first[g])):
+            if kind == CERTAIN_LEG:
+                a, b, c = a + m, b + m, c + m
+            elif kind == DEPOSIT_LEG:
+                a, b = (a + m, b) if m < 0 else (a, b + m)
+            else:
+                a, b, c = a + extra, b + extra, c + extra
+                if a > HIGHEST or b < LOWEST:
+                    within(a if a > HIGHEST else b)
+                if a >= m:
+                    verdict[i] = ACCEPTED
+                    if moving:
+                        a, b, c = a - m, b - m, c - m
+                elif b < m:
+                    verdict[i] = REJECTED
+                else:
+                    new_gap[i], c = within(c), 0
+                    if moving:
+                        a, b = min(a, 0), max(b - m, m - 1)
+        low[g], high[g], pending[g] = a, b, c
+    return verdict, new_gap, low, high, pending
+
+
+def _scan_together(leg, money, gap, moves, first, ends, low, high, pending, active, verdict, new_gap) -> None:
+    """The scan of many groups at once, a leg of each at a time, until few groups are left."""
+    a, b, c = (np.array([x[g] for g in active], np.int64) for x in (low, high, pending))
+    at = first[active].copy()
+    live = np.arange(len(active))
+    while len(live) >= FEW:
+        i = at[live]
+        kind, m, extra, moving = leg[i], money[i], gap[i], moves[i]
+        w = kind == WITHDRAW_LEG
+        sure = np.where(kind == CERTAIN_LEG, m, np.where(w, extra, 0))
+        paid = np.where(kind == DEPOSIT_LEG, m, 0)
+        la, lb, lc = a[live] + sure + np.minimum(paid, 0), b[live] + sure + np.maximum(paid, 0), c[live] + sure
+        yes, no = w & (la >= m), w & (lb < m)
+        open_ = w & ~yes & ~no
+        verdict[i] = np.where(yes, ACCEPTED, np.where(no, REJECTED, UNDECIDED))
+        new_gap[i] = np.where(open_, lc, 0)
+        out = np.where(yes & moving, m, 0)
+        spread = open_ & moving
+        a[live] = np.where(spread, np.minimum(la, 0), la - out)
+        b[live] = np.where(spread, np.maximum(lb - m, m - 1), lb - out)
+        c[live] = np.where(open_, 0, lc - out)
+        at[live] += 1
+        live = live[at[live] < ends[active[live]]]
+    for k, g in enumerate(active.tolist()):
+        low[g], high[g], pending[g] = int(a[k]), int(b[k]), int(c[k])
+    first[active] = at
+
+
 def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Run the legs of sorted (account, part) groups in order, batch by batch.
+    """Bound the balances along the legs of sorted (account, part) groups, batch by batch.
 
-    Emits each withdrawal with its new verdict, and one summary row per part of an
-    account that is folded in parts. A
-    group whose running balance never falls short is done with array operations;
-    the others take a plain loop from their first shortfall on.
+    Emits each withdrawal with its verdict and gap, and one row per part of an account that
+    is folded in parts: the bounds after it, and the money that is pending there.
     """
-    group = None  # (account, part) left open by the batch before
-    balance = opening = total = 0
+    held = None  # (account, part) left open by the batch before
+    state = (0, 0, 0)
+    at = None  # last position of the open group
+
+    def end(rows: list[tuple]) -> pa.RecordBatch:
+        columns = dict(zip(("account", "cell", "low", "high", "gap", "seq"), zip(*rows)))
+        columns["tag"] = [PART_ROW] * len(rows)
+        return _batch(columns, len(rows), schema)
 
-    def summary(rows: list[tuple]) -> pa.RecordBatch:
-        n = len(rows)
-        columns = dict(zip(("account", "cell", "opening", "closing", "total"), zip(*rows)))
-        columns["tag"] = [1] * n
-        return _batch(columns, n, schema)
+    def part_row(group: tuple, bounds: tuple, seq: int | None) -> tuple:
+        low, high, pending = bounds
+        return (*group, max(LOWEST, min(low, HIGHEST)), max(LOWEST, min(high, HIGHEST)), within(pending), seq)
 
     for batch in batches:
         n = batch.num_rows
@@ -64,85 +167,56 @@ def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
         part = batch.column(1).to_numpy(zero_copy_only=False)
         leg = batch.column(3).to_numpy(zero_copy_only=False)
         money = batch.column(4).to_numpy(zero_copy_only=False)
-        dest = batch.column(6).fill_null(NO_SIDE).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(
-            np.concatenate(([True], (account[1:] != account[:-1]) | (part[1:] != part[:-1])))
-        )
+        gap = batch.column(5).fill_null(0).to_numpy(zero_copy_only=False)
+        dest = batch.column(7).fill_null(NO_SIDE).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate(([True], (account[1:] != account[:-1]) | (part[1:] != part[:-1]))))
         ends = np.append(starts[1:], n)
-        closed: list[tuple] = []
-        resumed = group is not None and group == (account[0], part[0])
-        if group is not None and not resumed and group[1] != WHOLE:
-            closed.append((*group, opening, balance, total))
-        is_w, is_o = leg == WITHDRAW_LEG, leg == OPENING_LEG
-        # A withdrawal that only tests the funds: self transfers and refunded ones.
-        still = is_w & ((dest == SELF_SIDE) | (dest >= CLOSED_SIDE))
-        delta = np.where(is_w, np.where(still, 0, -money), money)
-        running = np.cumsum(delta)
-        size = ends - starts
-        at_start = np.zeros(len(starts), dtype=np.int64)
+        ended: list[tuple] = []
+        resumed = held is not None and held == (account[0], part[0])
+        if held is not None and not resumed and held[1] != WHOLE:
+            ended.append(part_row(held, state, at))
+        low, high, pending = ([0] * len(starts) for _ in range(3))
         if resumed:
-            at_start[0] = balance
-        before = running - delta - np.repeat(running[starts] - delta[starts] - at_start, size)
-        rough = delta.astype(float)
-        sums = np.cumsum(rough)
-        checked(before + delta, sums - np.repeat(sums[starts] - rough[starts] - at_start.astype(float), size))
-        accept = ~is_w | (before >= money)
-        short = np.flatnonzero(~accept)
-        if len(short):
-            first = short[np.searchsorted(short, starts[np.unique(np.searchsorted(starts, short, "right") - 1)])]
-            for lo in first:
-                hi = int(ends[np.searchsorted(starts, lo, "right") - 1])
-                verdicts = []
-                b = int(before[lo])
-                for w, m, d in zip(
-                    is_w[lo:hi].tolist(), money[lo:hi].tolist(), delta[lo:hi].tolist()
-                ):
-                    ok = not w or b >= m
-                    verdicts.append(ok)
-                    if ok:
-                        b = within(b + d)
-                accept[lo:hi] = verdicts
-        taken_up = np.where(accept, delta, 0)
-        closing = checked(
-            at_start + np.add.reduceat(taken_up, starts),
-            at_start.astype(float) + np.add.reduceat(taken_up.astype(float), starts),
+            low[0], high[0], pending[0] = state
+        opens = leg[starts] == OPENING_LEG
+        for g in np.flatnonzero(opens).tolist():
+            low[g], high[g] = int(money[starts[g]]), int(gap[starts[g]])
+        opening = leg == OPENING_LEG
+        money, gap = np.where(opening, 0, money), np.where(opening, 0, gap)
+        leg = np.where(opening, CERTAIN_LEG, leg)
+        # A withdrawal that only tests the funds: self transfers and refunded ones.
+        moves = ~((dest == SELF_SIDE) | (dest >= CLOSED_SIDE))
+        verdict, new_gap, low, high, pending = bounds_of_legs(
+            leg, money, gap, moves, starts, ends, low, high, pending
         )
-        others = np.where(is_o, 0, delta)
-        moved = checked(np.add.reduceat(others, starts), np.add.reduceat(others.astype(float), starts))
-        opened = np.add.reduceat(np.where(is_o, money, 0), starts)
-        if resumed:
-            moved[0] += total
-            opened[0] = opening
-        for i in np.flatnonzero(part[starts[:-1]] != WHOLE):
-            s = starts[i]
-            closed.append((account[s], int(part[s]), int(opened[i]), int(closing[i]), int(moved[i])))
-        last = starts[-1]
-        group = (account[last], part[last])
-        opening, balance, total = int(opened[-1]), int(closing[-1]), int(moved[-1])
-        pick = np.flatnonzero(is_w)
+        seq = batch.column(2)
+        lasts = seq.take(pa.array(ends - 1)).to_pylist()
+        for g in np.flatnonzero(part[starts[:-1]] != WHOLE).tolist():
+            ended.append(part_row((account[starts[g]], int(part[starts[g]])), (low[g], high[g], pending[g]), lasts[g]))
+        held = (account[starts[-1]], int(part[starts[-1]]))
+        state, at = (low[-1], high[-1], pending[-1]), lasts[-1]
+        pick = np.flatnonzero(leg == WITHDRAW_LEG)
         if len(pick):
             taken = batch.take(pa.array(pick))
-            ok = accept[pick]
-            old = taken.column(7).to_numpy(zero_copy_only=False).astype(bool)
             yield _batch(
                 {
-                    "tag": np.zeros(len(pick), dtype=np.int32),
+                    "tag": np.full(len(pick), WITHDRAWAL_ROW, np.int32),
                     "account": taken.column(0),
                     "cell": taken.column(8),
                     "seq": taken.column(2),
                     "money": taken.column(4),
-                    "to_id": taken.column(5),
-                    "dest": taken.column(6),
-                    "ok": ok,
-                    "changed": ok != old,
+                    "gap": new_gap[pick],
+                    "to_id": taken.column(6),
+                    "dest": taken.column(7),
+                    "verdict": verdict[pick].astype(np.int32),
                 },
                 len(pick),
                 schema,
             )
-        if closed:
-            yield summary(closed)
-    if group is not None and group[1] != WHOLE:
-        yield summary([(*group, opening, balance, total)])
+        if ended:
+            yield end(ended)
+    if held is not None and held[1] != WHOLE:
+        yield end([part_row(held, state, at)])
 
 
 def _batch(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -158,29 +232,33 @@ def _batch(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def run_in_order(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Verdicts of one slice; rows without a position are opening balances."""
-    balances: dict = {}
+def run_groups(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Verdicts of the withdrawals of sorted groups, one after the other.
+
+    Columns: group, seq, leg, account, money, gap, then those of ``schema`` that are kept.
+    Balances are held for the accounts of one group at a time.
+    """
+    group, balances = None, {}
     for batch in batches:
         verdicts = []
-        rows = zip(*(batch.column(i).to_pylist() for i in range(5)))
-        for account, seq, money, to_id, dest in rows:
-            ok = True
-            if seq is None:
-                balances[account] = money
-            elif account is None:
-                balances[to_id] = within(balances.get(to_id, 0) + money)
-            else:
-                held = balances.get(account, 0)
-                ok = held >= money
-                if ok and dest != SELF_SIDE and dest < CLOSED_SIDE:
-                    balances[account] = held - money
-                    if dest == OPEN_SIDE:
-                        balances[to_id] = within(balances.get(to_id, 0) + money)
-            verdicts.append(ok)
-        out = batch.append_column("ok", pa.array(verdicts, pa.bool_()))
-        keep = pyarrow.compute.and_(pyarrow.compute.is_valid(out["seq"]), pyarrow.compute.is_valid(out["account"]))
-        yield out.filter(keep).select(schema.names).cast(schema)
+        rows = zip(*(batch.column(c).to_pylist() for c in ("group", "leg", "account", "money", "gap", "to_id", "dest")))
+        for own, leg, account, money, gap, to_id, dest in rows:
+            if own != group:
+                group, balances = own, {}
+            if leg == CERTAIN_LEG:
+                balances[account] = balances.get(account, 0) + money
+                verdicts.append(UNDECIDED)
+                continue
+            held = within(balances.get(account, 0) + gap)
+            ok = held >= money
+            if ok and dest != SELF_SIDE and dest < CLOSED_SIDE:
+                held -= money
+                if dest == OPEN_SIDE:
+                    balances[to_id] = balances.get(to_id, 0) + money
+            balances[account] = held
+            verdicts.append(ACCEPTED if ok else REJECTED)
+        out = batch.append_column("verdict", pa.array(verdicts, pa.int32()))
+        yield out.filter(pyarrow.compute.equal(out["leg"], WITHDRAW_LEG)).select(schema.names).cast(schema)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

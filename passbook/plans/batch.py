@@ -599,6 +599,14 @@ def settle_transfers(spark: SparkSession, d: str) -> DataFrame:
     return outcomes(spark, d)
 
 
+def settle_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same with limits that small tables reach: accounts folded in parts, rounds that
+    fold only some accounts, and groups of accounts run in turns."""
+    return settlement.settle(
+        canonical.transfers(spark, d), mixed_accounts(spark, d), width=500, split_legs=40, max_dirty=200, slice_width=50
+    )
+
+
 def classify_transfers(spark: SparkSession, d: str) -> DataFrame:
     return settlement.classify_transfers(canonical.transfers(spark, d)).select("seq", "type", "money")
 
@@ -779,6 +787,7 @@ QUERIES = {
         fail_transactions,
         refund_rollbacks,
         settle_transfers,
+        settle_in_parts,
         classify_transfers,
         create_accounts,
         update_owner,

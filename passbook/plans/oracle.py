@@ -447,6 +447,7 @@ ORACLE: dict[str, str] = {
         {txid('seq')} AS tx_id, {txid('seq')} || '/rollback' AS idempotency_key
         FROM res WHERE refunded AND seq % 3 <> 0""",
     "settle_transfers": SETTLED + "SELECT * FROM res",
+    "settle_in_parts": SETTLED + "SELECT * FROM res",
     "stream_reactor": SETTLED + "SELECT * FROM res",
     "replay_idempotent": SETTLED + "SELECT * FROM res",
     "end_to_end_balances": SETTLED

@@ -33,6 +33,7 @@ SETTLED = {
     "refund_rollbacks",
     "replay_idempotent",
     "settle_deposits",
+    "settle_in_parts",
     "settle_transfers",
     "settle_withdrawals",
     "stuck_transfers",

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import serial
-from passbook.operators import settlement
+from passbook.operators import groups, settlement, tasks
 
 TRANSFERS = "seq long, from_id string, to_id string, money long"
 ACCOUNTS = "account_id string, status string"
@@ -210,3 +211,87 @@ def test_balances_beyond_64_bits_raise(spark):
 
 def test_balances_up_to_64_bits(spark):
     check(spark, [(1, None, "a", 2**62), (2, None, "a", 2**62 - 1), (3, "a", None, 2**62)], {"a": "OPEN"})
+
+
+def test_amounts_beyond_64_bits_that_nobody_can_pay(spark):
+    """Three withdrawals of 2**62 from an empty account are rejected; together they do not fit 64 bits."""
+    rows = check(spark, [(i, "a", "b", 2**62) for i in (1, 2, 3)], OPEN2)
+    assert {r[0] for r in rows.values()} == {"FAILED"}
+    check(spark, [(1, None, "a", 2**62), *((i, "a", "b", 2**62) for i in (2, 3, 4)), (5, "b", "a", 2**62)], OPEN2)
+
+
+def poor_ledger(n, seed=1):
+    """Accounts near zero that pay each other, and a chain along which one sum is passed on:
+    from exactly zero, in order, until somebody asks for one more."""
+    rng = random.Random(seed)
+    names, chain = [f"a{i}" for i in range(3000)], [f"c{i}" for i in range(20_000)]
+    out = [(i + 1, None, a, rng.randint(0, 40)) for i, a in enumerate(names[:1000])]
+    out.append((len(out) + 1, None, "c0", 25))
+    passed = 0
+    for seq in range(len(out) + 1, n + 1):
+        kind = rng.random()
+        if kind < 0.3 and passed + 1 < len(chain):
+            out.append((seq, chain[passed], chain[passed + 1], 25 if rng.random() < 0.9999 else 26))
+            passed += 1
+        elif kind < 0.9:
+            out.append((seq, rng.choice(names), rng.choice(names), rng.randint(1, 40)))
+        else:
+            side = (None, rng.choice(names)) if kind < 0.95 else (rng.choice(names), None)
+            out.append((seq, *side, rng.randint(1, 30)))
+    return out, dict.fromkeys([*names, *chain], "OPEN")
+
+
+def test_100000_transfers_of_poor_accounts(spark):
+    transfers, accounts = poor_ledger(100_000)
+    rows = check(spark, transfers, accounts)
+    assert sum(r[0] == "FAILED" for r in rows.values()) > 50_000
+
+
+@pytest.mark.parametrize("options", [{"slice_width": 700}, {"split_legs": 60, "width": 1000, "slice_width": 900}])
+def test_large_groups_are_run_in_turns(spark, options):
+    transfers, accounts = poor_ledger(4000, seed=2)
+    check(spark, transfers, accounts, **options)
+
+
+def test_connected_groups(spark):
+    """A long path, a star, a pair of equal edges and a node with an edge to itself."""
+    edges = [(f"p{i:03}", f"p{i + 1:03}") for i in range(150)] + [("s", f"s{i}") for i in range(30)]
+    edges += [("x", "y"), ("y", "x"), ("lone", "lone")]
+    random.Random(1).shuffle(edges)
+    got = dict(tuple(r) for r in groups.connected(spark.createDataFrame(edges, "a string, b string")).collect())
+    want = {f"p{i:03}": "p000" for i in range(151)} | {f"s{i}": "s" for i in range(30)} | {"s": "s"}
+    assert got == want | {"x": "x", "y": "x", "lone": "lone"}
+
+
+def test_bounds_agree_leg_by_leg_and_together():
+    """Many groups at once and one by one give the same; each verdict holds for the open ones
+    passing as well as failing."""
+    rng = np.random.default_rng(3)
+    n, size = 60, 25
+    leg = rng.integers(0, 3, n * size)
+    money, gap = rng.integers(-5, 30, n * size), np.where(leg == 1, rng.integers(-9, 9, n * size), 0)
+    moves = rng.random(n * size) < 0.9
+    starts = np.arange(n) * size
+    zero = [0] * n
+    together = tasks.bounds_of_legs(leg, money, gap, moves, starts, starts + size, zero, zero, zero)
+    for g in range(n):
+        part = slice(g * size, g * size + size)
+        alone = tasks.bounds_of_legs(
+            leg[part], money[part], gap[part], moves[part], np.array([0]), np.array([size]), [0], [0], [0]
+        )
+        assert all((np.asarray(x)[part] == y).all() for x, y in zip(together[:2], alone[:2], strict=True))
+        assert [x[g] for x in together[2:]] == [x[0] for x in alone[2:]]
+        for _ in range(20):
+            balance = 0
+            for k in range(part.start, part.stop):
+                if leg[k] == 0:
+                    balance += money[k]
+                elif leg[k] == 2:
+                    balance += money[k] * rng.integers(0, 2)
+                else:
+                    balance += gap[k]
+                    ok = balance >= money[k]
+                    assert together[0][k] in (0, 1 if ok else 2)
+                    if ok and moves[k]:
+                        balance -= money[k]
+            assert together[2][g] <= balance <= together[3][g]
