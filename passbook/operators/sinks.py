@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passbook.operators.folds import last_versions, snapshot_states
 from passbook.operators.joins import new_keys
-from passbook.operators.scans import assign_versions
+from passbook.operators.scans import Running, assign_versions, running
 from passbook.schema import CATCH_UP, OPEN, SNAPSHOT_THRESHOLD
 from passbook.session import saved
 
@@ -88,17 +88,23 @@ def resume_token(table: StoredTable, keys: DataFrame) -> DataFrame:
     return found.select("id", F.coalesce("token", F.lit("")).alias("token"))
 
 
+def versioned_events(new: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """New events with the next versions of their aggregates, without repeated ones.
+
+    A row whose idempotency key is stored, or stands at an earlier position, is left out.
+    """
+    if stored is None:
+        stored = new.limit(0).withColumn("aggregate_version", F.lit(0).cast("long"))
+    return assign_versions(new_keys(new, stored), last_versions(stored))
+
+
 def append_events(new: DataFrame, stored: DataFrame | None, path: str) -> DataFrame:
     """Append new events with the next versions of their aggregates.
 
     Rows whose idempotency key is stored or repeated are left out. ``path`` is the
     folder of this append; returns the appended rows.
     """
-    if stored is None:
-        versioned = assign_versions(new)
-    else:
-        versioned = assign_versions(new_keys(new, stored), last_versions(stored))
-    return saved(versioned, path)
+    return saved(versioned_events(new, stored), path)
 
 
 def create_if_new(new: DataFrame, known: DataFrame, key: str = "tx_id") -> DataFrame:
@@ -121,12 +127,21 @@ def partitioned_topic(topic: str, partitions: int, key: str = "aggregate_id") ->
     return F.concat(F.lit(f"{topic}."), topic_partition(partitions, key).cast("string"))
 
 
+def numbered(log: DataFrame, topic: str, partitions: int, ends: DataFrame | None = None) -> DataFrame:
+    """``log`` with ``topic`` (its partition) and ``offset``: from 1 on end in each partition,
+    in order of ``seq``, after the last offsets in ``ends`` (topic, offset)."""
+    routed = log.withColumn("topic", partitioned_topic(topic, partitions))
+    return running(routed, "topic", "seq", [Running("offset", F.lit(1))], start=ends)
+
+
 def publish_partitioned(log: DataFrame, topic: str, partitions: int, path: str) -> None:
-    """One folder per topic partition. Rows are written where they are: a busy
-    aggregate fills many files of its partition, not one task."""
-    log.withColumn("topic", partitioned_topic(topic, partitions)).write.partitionBy(
-        "topic"
-    ).parquet(path)
+    """Rows of each topic partition with their offsets, in files of offsets on end.
+
+    A busy aggregate fills many files of its partition, not one task.
+    """
+    rows = numbered(log, topic, partitions)
+    ordered = rows.repartitionByRange("topic", "offset").sortWithinPartitions("topic", "offset")
+    ordered.write.partitionBy("topic").parquet(path)
 
 
 def row_to_json(log: DataFrame) -> DataFrame:

@@ -145,8 +145,21 @@ def create_if_new(spark: SparkSession, d: str) -> DataFrame:
 
 
 def published(log: DataFrame) -> DataFrame:
-    return log.groupBy("aggregate_id").agg(
-        F.count("*").alias("events"), F.countDistinct("topic").alias("partitions")
+    """What each aggregate finds in its topic: how many events from where to where, whether
+    they stand in one partition and in order, and whether that one has all its offsets."""
+    follows = scans.running(log, "topic", "offset", [scans.Running("before", F.col("seq"), "lag")])
+    ends = log.groupBy("topic").agg((F.max("offset") == F.count("*")).alias("dense"))
+    return (
+        follows.join(F.broadcast(ends), "topic")  # a row for each topic partition
+        .groupBy("aggregate_id")
+        .agg(
+            F.count("*").alias("events"),
+            F.min("seq").alias("first_seq"),
+            F.max("seq").alias("last_seq"),
+            F.countDistinct("topic").alias("partitions"),
+            F.bool_and(F.col("before").isNull() | (F.col("before") < F.col("seq"))).alias("ordered"),
+            F.bool_and("dense").alias("dense"),
+        )
     )
 
 
@@ -654,17 +667,27 @@ def conserve_money(spark: SparkSession, d: str) -> DataFrame:
 # The whole way ---------------------------------------------------------------------------
 
 
-def settled_log(spark: SparkSession, d: str) -> DataFrame:
-    """Commands settled, their events appended to a stored log, and the log decoded again."""
-    path = shared_dir(spark, "settled-log")
-    emitted = settlement.emitted_events(outcomes(spark, d)).drop("idempotency_key")
+def settled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Commands settled, and their events appended to a stored log with their keys."""
+    emitted = settlement.emitted_events(outcomes(spark, d))
     opened = canonical.typed_log(spark, d, ["AccountCreated"])
-    typed = opened.unionByName(emitted, allowMissingColumns=True)
-    rows = canonical.log_rows(typed)
-    versioned = sinks.append_events(rows, None, f"{path}/appended")
+    rows = canonical.log_rows(opened.unionByName(emitted, allowMissingColumns=True))
+    path = shared_dir(spark, "settled-log")
+    versioned = sinks.versioned_events(rows, None)
     kept = versioned.withColumn("aggregate_version", F.col("aggregate_version").cast("int"))
-    kept.select(*event_log_schema().names).write.parquet(f"{path}/log")
-    return fn.decode_body(files.read_event_log(spark, f"{path}/log")).drop("id")
+    kept.select(*event_log_schema().names).write.parquet(path)
+    return files.read_event_log(spark, path)
+
+
+def settled_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log of ``settled_rows``, decoded again."""
+    return fn.decode_body(settled_rows(spark, d)).drop("id")
+
+
+def end_to_end_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The events of the settled log that carry an idempotency key."""
+    keyed = settled_rows(spark, d).where(F.col("idempotency_key") > "")
+    return keyed.select("idempotency_key", "kind", "aggregate_id")
 
 
 def end_to_end_balances(spark: SparkSession, d: str) -> DataFrame:
@@ -796,6 +819,7 @@ QUERIES = {
         store_balances,
         store_resume_tokens,
         end_to_end_balances,
+        end_to_end_keys,
         end_to_end_reconcile,
         stuck_transfers,
         conserve_money,

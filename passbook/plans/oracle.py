@@ -192,6 +192,9 @@ _FAILED_SEQ = "seq * 10 + CASE WHEN reason LIKE 'From%' THEN 1 ELSE 2 END"
 _FOLD_FROM = "SELECT * FROM bal"
 _STREAM_BAL = on_log(_FOLD_FROM, BAL)
 
+PUBLISHED = """SELECT aggregate_id, count(*) AS events, min(seq) AS first_seq, max(seq) AS last_seq,
+    CAST(1 AS BIGINT) AS partitions, true AS ordered, true AS dense FROM ev GROUP BY 1"""
+
 ORACLE: dict[str, str] = {
     "scan_event_log": on_log(
         f"""SELECT seq, 'ev-' || seq AS id, aggregate_id,
@@ -218,10 +221,10 @@ ORACLE: dict[str, str] = {
     ),
     "create_if_new": f"WITH {CMD} SELECT {txid('seq')} AS tx_id, seq, money FROM tx WHERE f IS NOT NULL",
     "publish_partitioned": on_log(
-        "SELECT aggregate_id, count(*) AS events, CAST(1 AS BIGINT) AS partitions FROM ev GROUP BY 1"
+        PUBLISHED
     ),
     "stream_forward": on_log(
-        "SELECT aggregate_id, count(*) AS events, CAST(1 AS BIGINT) AS partitions FROM ev GROUP BY 1"
+        PUBLISHED
     ),
     "row_to_json_notify": on_log(
         f"""SELECT '{{"seq":' || seq || ',"aggregate_id":"' || aggregate_id || '","kind":"' || kind ||
@@ -456,6 +459,17 @@ ORACLE: dict[str, str] = {
     "end_to_end_reconcile": SETTLED
     + f"""SELECT {acc('c_custkey')} AS id, coalesce(b[c_custkey + 1], 0) AS read_balance, false AS differs
         FROM customer, (SELECT b FROM r WHERE i = (SELECT max(i) FROM r))""",
+    "end_to_end_keys": SETTLED
+    + f"""SELECT {txid('seq')} || '/withdraw' AS idempotency_key,
+          CASE WHEN withdrawn THEN 'MoneyWithdrawn' ELSE 'TransactionFailed' END AS kind,
+          CASE WHEN withdrawn THEN {acc('from_id')} ELSE {txid('seq')} END AS aggregate_id
+        FROM res WHERE from_id IS NOT NULL
+        UNION ALL SELECT {txid('seq')} || '/deposit',
+          CASE WHEN deposited THEN 'MoneyDeposited' ELSE 'TransactionFailed' END,
+          CASE WHEN deposited THEN {acc('to_id')} ELSE {txid('seq')} END
+        FROM res WHERE deposited OR (status = 'FAILED' AND (withdrawn OR from_id IS NULL))
+        UNION ALL SELECT {txid('seq')} || '/rollback', 'MoneyDeposited', {acc('from_id')}
+        FROM res WHERE refunded""",
     "classify_transfers": f"""WITH {CMD} SELECT seq, CASE WHEN f IS NULL THEN 'deposit'
         WHEN o IS NULL THEN 'withdraw' ELSE 'transfer' END AS type, money FROM tx""",
     "create_accounts": on_log(

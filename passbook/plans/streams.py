@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passbook.operators import sinks
 from passbook.plans.batch import mixed_accounts, published
 from passbook.schema import event_log_schema
-from passbook.session import shared_dir
+from passbook.session import saved, shared_dir
 from passbook.sources import canonical, files
 from passbook.sources.canonical import halves, redelivered, stream_typed_log
+from passbook.streaming import frontier
 from passbook.streaming import projections as p
 from passbook.streaming.batches import BatchTable
 
@@ -56,22 +58,30 @@ def stream_dedup_redelivery(spark: SparkSession, d: str) -> DataFrame:
     return p.read_projection(spark, folder)
 
 
-def _topic(log: DataFrame) -> DataFrame:
-    return log.withColumn("topic", F.lit("accounts.1"))
+def _published(spark: SparkSession, log: DataFrame, folder: str) -> None:
+    """Add the log to the one topic partition in ``folder``, in files that many tasks wrote."""
+    numbers = sinks.numbered(log, "accounts", 1)
+    numbers.repartition(8, "seq").write.mode("append").parquet(f"{folder}/topic")
 
 
-def _marked(spark: SparkSession, d: str) -> str:
-    """Both halves of the log; rows of the first come late, with the second."""
-    folder = shared_dir(spark, "marks")
-    log = _topic(canonical.typed_log(spark, d))
-    early, late = halves(log)
-    for part in (early, late.unionByName(early.where(F.pmod("seq", F.lit(7)) == 0))):
-        p.until_caught_up(p.mark_projection(_staged(spark, f"{folder}/feed", part), folder))
-    return folder
+def _consumed(spark: SparkSession, folder: str, checkpoint: str | None = None) -> None:
+    """The topic as it is by now, file by file."""
+    schema = spark.read.parquet(f"{folder}/topic").schema
+    feed = files.stream_table(spark, f"{folder}/topic", schema, max_files=1)
+    p.until_caught_up(frontier.frontier_projection(feed, folder, checkpoint=checkpoint))
 
 
 def stream_drop_late(spark: SparkSession, d: str) -> DataFrame:
-    return p.read_marked(spark, _marked(spark, d))
+    """A topic read in the order in which tasks wrote its files, and then every seventh row
+    again: rows wait for those before them, and late copies are dropped."""
+    folder = shared_dir(spark, "late")
+    log = canonical.typed_log(spark, d)
+    _published(spark, log, folder)
+    _consumed(spark, folder)
+    again = spark.read.parquet(f"{folder}/topic").where(F.pmod("seq", F.lit(7)) == 0)
+    saved(again, f"{folder}/again").write.mode("append").parquet(f"{folder}/topic")
+    _consumed(spark, folder)
+    return frontier.read_frontier(spark, folder)
 
 
 def stream_resume(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +116,7 @@ def stream_forward(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_dir(spark, "forward")
     rows = canonical.log_rows(stream_typed_log(spark, d))
     p.until_caught_up(p.forward(rows, "accounts", 4, folder))
-    return published(spark.read.parquet(f"{folder}/accounts"))
+    return published(p.read_topic(spark, rows.schema, "accounts", folder))
 
 
 def stream_transaction_status(spark: SparkSession, d: str) -> DataFrame:
@@ -127,18 +137,16 @@ def stream_reactor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_atomic_commit(spark: SparkSession, d: str) -> DataFrame:
-    """The token and the effects it stands for, after a batch was run a second time."""
+    """The token and the effects it stands for, after the checkpoint was lost: the engine then
+    reads everything again, and nothing of it counts twice."""
     folder = shared_dir(spark, "atomic")
-    log = _topic(canonical.typed_log(spark, d))
-    feed = _staged(spark, f"{folder}/feed", log)
-    p.until_caught_up(p.mark_projection(feed, folder))
-    # A lost checkpoint makes the engine run batch 0 again: it replaces what it wrote.
-    again = p.mark_projection(feed, f"{folder}", name="marks", checkpoint="marks-again")
-    p.until_caught_up(again)
-    effects = p.read_marked(spark, folder).agg(
+    _published(spark, canonical.typed_log(spark, d), folder)
+    _consumed(spark, folder)
+    _consumed(spark, folder, checkpoint="again")
+    effects = frontier.read_frontier(spark, folder).agg(
         F.sum("balance").alias("held"), F.sum("version").alias("events")
     )
-    token = p.read_marks(spark, folder)
+    token = frontier.read_tokens(spark, folder)
     return token.select(
         "id",
         "token",

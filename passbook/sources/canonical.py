@@ -248,13 +248,18 @@ def body_fields() -> dict[str, Column]:
 
 
 def log_rows(typed: DataFrame) -> DataFrame:
-    """Typed events as raw log rows with JSON body, idempotency key and labels."""
+    """Typed events as raw log rows with JSON body, idempotency key and labels.
+
+    Events that come with their ``idempotency_key`` keep it.
+    """
     body = encode_body(body_fields())
     key = (
         F.when(F.col("kind") == "MoneyWithdrawn", idempotency_key("tx_id", "withdraw"))
         .when(F.col("kind") == "MoneyDeposited", idempotency_key("tx_id", "deposit"))
         .otherwise(F.lit(""))
     )
+    if "idempotency_key" in typed.columns:
+        key = F.coalesce("idempotency_key", F.lit(""))
     return typed.select(
         "seq",
         F.concat(F.lit("ev-"), F.col("seq").cast("string")).alias("id"),

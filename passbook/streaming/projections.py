@@ -2,7 +2,7 @@
 
 Every function starts a query and returns it; ``until_caught_up`` waits for a run
 over what is there now. Queries resume from their checkpoint. Sinks write one folder
-per micro-batch and replace it on retry, so effects are applied once.
+per micro-batch and keep it on retry, so effects are applied once.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from passbook.functions.money import signed_money
 from passbook.operators import settlement
 from passbook.operators.filters import above_mark
 from passbook.operators.folds import fold_balance_projection
-from passbook.operators.sinks import partitioned_topic
+from passbook.operators.sinks import numbered
 from passbook.schema import (
     ACCOUNT,
     CATCH_UP,
@@ -110,7 +110,7 @@ def balance_projection(
     every: str | None = None,
 ) -> StreamingQuery:
     """Keep balances per account; each batch writes the accounts that it changed."""
-    table = BatchTable(stream.sparkSession, f"{folder}/{name}", BALANCE_ROWS).create()
+    table = BatchTable(stream.sparkSession, f"{folder}/{name}", BALANCE_ROWS, _newest).create()
 
     def transform(df: DataFrame) -> DataFrame:
         applied = df.where(
@@ -121,14 +121,17 @@ def balance_projection(
     return run_projection(stream, name, transform, table.write, folder, "update", every)
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each id the row that was written last."""
+    values = [c for c in rows.columns if c not in ("id", "batch_id")]
+    return rows.groupBy("id").agg(F.max(F.struct("batch_id", *values)).alias("doc")).select("id", "doc.*")
+
+
 def read_projection(spark: SparkSession, folder: str, name: str = "balance") -> DataFrame:
     """The documents: of each account the last written row; unknown accounts are left out."""
     rows = BatchTable(spark, f"{folder}/{name}", BALANCE_ROWS).read()
-    values = [f.name for f in BALANCE_ROWS.fields if f.name != "id"]
     return (
-        rows.groupBy("id")
-        .agg(F.max(F.struct("batch_id", *values)).alias("doc"))
-        .select("id", "doc.*")
+        _newest(rows)
         .where("owner IS NOT NULL")
         .select(
             "id",
@@ -160,11 +163,13 @@ def mark_projection(
     """Apply events above the highest sequence applied so far, and drop the others.
 
     The mark is kept per topic partition; ``global_mark`` keeps one for all, which is
-    safe only with one ordered partition. A batch writes what it adds to each account and
-    the marks of all topic partitions by then, in one write; the next batch reads the marks
-    of this one only, so its work does not grow with the batches before.
+    safe only with one ordered partition. Rows of a topic partition must come in the order
+    of ``seq``; where they may not, ``frontier_projection`` waits for those that are missing.
+    A batch writes what it adds to each account and the marks of all topic partitions by
+    then, in one write; the next batch reads the marks of this one only, so its work does
+    not grow with the batches before.
     """
-    table = BatchTable(stream.sparkSession, f"{folder}/{name}", DELTA_ROWS).create()
+    table = BatchTable(stream.sparkSession, f"{folder}/{name}", DELTA_ROWS, _summed).create()
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         keys = [] if global_mark else ["topic"]
@@ -189,6 +194,16 @@ def mark_projection(
     )
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    """What many batches added to an account as one row; of marks the highest."""
+    return rows.groupBy("topic", "id").agg(
+        F.sum("events").alias("events"),
+        F.max("sequence").alias("sequence"),
+        F.sum("amount").alias("amount"),
+        F.max("owner").alias("owner"),
+    )
+
+
 def _marks(rows: DataFrame) -> DataFrame:
     """Highest applied sequence per topic partition, from the token rows (no id)."""
     return _marks_of(rows.where("id IS NULL"))
@@ -244,14 +259,29 @@ def read_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
 def forward(
     stream: DataFrame, topic: str, partitions: int, folder: str, every: str | None = None
 ) -> StreamingQuery:
-    """Log rows to the folders of their topic partitions."""
-    writer = (
-        stream.withColumn("topic", partitioned_topic(topic, partitions))
-        .writeStream.format("parquet")
-        .partitionBy("topic")
-        .option("path", f"{folder}/{topic}")
-    )
-    return start(writer, f"forward-{topic}", folder, every)
+    """Log rows to a topic, numbered on end in each of its partitions.
+
+    A batch writes its rows in order of ``seq`` and then how far each partition is numbered,
+    from which the next batch goes on; both are kept as they are when the batch is repeated.
+    """
+    spark = stream.sparkSession
+    rows = T.StructType([*stream.schema.fields, T.StructField("topic", _S), T.StructField("offset", _L)])
+    table = BatchTable(spark, f"{folder}/{topic}", rows).create()
+    ends = BatchTable(spark, f"{folder}/{topic}-ends", _schema(("topic", _S), ("offset", _L))).create()
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        known = ends.previous(batch_id)
+        table.write(numbered(batch, topic, partitions, known), batch_id)
+        last = table.rows_of(batch_id).select("topic", "offset").unionByName(known)
+        ends.write(last.groupBy("topic").agg(F.max("offset").alias("offset")), batch_id)
+
+    return run_projection(stream, f"forward-{topic}", lambda df: df, apply, folder, every=every)
+
+
+def read_topic(spark: SparkSession, schema: T.StructType, topic: str, folder: str) -> DataFrame:
+    """The rows that ``forward`` wrote, with topic partition and offset."""
+    rows = T.StructType([*schema.fields, T.StructField("topic", _S), T.StructField("offset", _L)])
+    return BatchTable(spark, f"{folder}/{topic}", rows).read().drop("batch_id")
 
 
 STATUS_ROWS = _schema(("id", _S), ("first_seq", _L), ("kind", _S), ("reason", _S), ("created", _B))
@@ -261,7 +291,7 @@ def transaction_status(
     stream: DataFrame, folder: str, name: str = "status", every: str | None = None
 ) -> StreamingQuery:
     """Status per transaction: the first terminal event counts, later ones change nothing."""
-    table = BatchTable(stream.sparkSession, f"{folder}/{name}", STATUS_ROWS).create()
+    table = BatchTable(stream.sparkSession, f"{folder}/{name}", STATUS_ROWS, _newest).create()
 
     def transform(df: DataFrame) -> DataFrame:
         ended = F.when(
@@ -290,8 +320,8 @@ def read_status(spark: SparkSession, folder: str, name: str = "status") -> DataF
     rows = BatchTable(spark, f"{folder}/{name}", STATUS_ROWS).read()
     kind = F.col("row.kind")
     return (
-        rows.groupBy("id")
-        .agg(F.max(F.struct("batch_id", "kind", "reason", "created")).alias("row"))
+        _newest(rows)
+        .select("id", F.struct("kind", "reason", "created").alias("row"))
         .where("row.created")
         .select(
             "id",

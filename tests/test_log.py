@@ -316,3 +316,11 @@ def test_stored_table_keeps_the_last_complete_version(spark, tmp_path):
     keys = spark.createDataFrame([("a/p",), ("b/p",), ("c/p",)], "id string")
     found = {r.id: r.token for r in sinks.resume_token(table, keys).collect()}
     assert found == {"a/p": "CatchUp:5", "b/p": "CatchUp:9", "c/p": ""}
+
+
+def test_first_append_leaves_out_repeated_keys(spark, sf_dir):
+    """Every seventh row delivered twice, nothing stored yet."""
+    raw = canonical.redelivered(canonical.raw_log(spark, sf_dir))
+    got = sinks.append_events(raw, None, f"{shared_dir(spark, 'test')}/append")
+    keyed = got.where("idempotency_key > ''")
+    assert keyed.count() == keyed.select("idempotency_key").distinct().count() > 0

@@ -28,6 +28,7 @@ SETTLED = {
     "complete_transactions",
     "conserve_money",
     "count_tx_by_status",
+    "end_to_end_keys",
     "fail_transactions",
     "filter_sufficient_funds",
     "refund_rollbacks",

@@ -2,12 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import serial
-from passbook.operators import folds
+from passbook.operators import folds, sinks
 from passbook.session import shared_dir
 from passbook.sources import files
+from passbook.streaming import frontier
 from passbook.streaming import projections as p
 from passbook.streaming.batches import BatchTable
 
@@ -158,3 +160,78 @@ def test_a_batch_reads_the_marks_of_the_one_before_only(spark):
     last = written.agg(F.max("batch_id")).first()[0]
     assert written.where((F.col("batch_id") == last) & F.col("id").isNull()).count() == 2
     assert written.where((F.col("batch_id") == last) & F.col("id").isNotNull()).isEmpty()
+
+
+def topic_feed(spark, folder, log, partitions=4, tasks=8):
+    """The log in a topic, written by several tasks, as a stream of one file a batch."""
+    rows = sinks.numbered(log, "accounts", partitions)
+    rows.repartition(tasks, "seq").write.mode("append").parquet(f"{folder}/topic")
+    return files.stream_table(spark, f"{folder}/topic", rows.schema, max_files=1)
+
+
+@pytest.mark.parametrize("width", [7, 1 << 16])
+def test_no_event_is_lost_whatever_file_comes_first(spark, width):
+    """The log over 8 tasks and 4 topic partitions, a file a batch, then all of it again, then
+    with a new checkpoint: the batch fold each time."""
+    log = ledger(spark, 400)
+    want = documents(folds.fold_balance_projection(log))
+    folder = shared_dir(spark, "test")
+    for checkpoint in ("one", "one", "two"):
+        feed_ = topic_feed(spark, folder, log)
+        p.until_caught_up(frontier.frontier_projection(feed_, folder, checkpoint=checkpoint, width=width))
+        assert documents(frontier.read_frontier(spark, folder)) == want
+    tokens = frontier.read_tokens(spark, folder)
+    assert tokens.count() == 4 and tokens.agg(F.sum("frontier")).first()[0] == 400 + 4
+
+
+def test_rows_wait_for_a_missing_one(spark):
+    log = ledger(spark, 60)
+    rows = sinks.numbered(log, "accounts", 1)
+    folder = shared_dir(spark, "test")
+    read = lambda: frontier.read_tokens(spark, folder).first().frontier
+    for part, reached in (("offset <> 20", 20), ("offset = 30", 20), ("offset = 20", 61)):
+        p.until_caught_up(frontier.frontier_projection(feed(spark, folder, rows.where(part)), folder))
+        assert read() == reached
+    assert documents(frontier.read_frontier(spark, folder)) == documents(folds.fold_balance_projection(log))
+
+
+def test_a_lost_checkpoint_counts_nothing_twice(spark):
+    """Two batches, then a checkpoint that knows of none: batch 0 holds everything."""
+    log = ledger(spark).withColumn("topic", F.lit("t.1"))
+    folder = shared_dir(spark, "test")
+    for part in (log.where("seq < 150"), log.where("seq >= 150")):
+        p.until_caught_up(p.mark_projection(feed(spark, folder, part), folder))
+    p.until_caught_up(p.mark_projection(feed(spark, folder, log.limit(0)), folder, checkpoint="second"))
+    assert documents(p.read_marked(spark, folder)) == documents(folds.fold_balance_projection(log))
+
+
+def test_batches_are_merged(spark):
+    """With a merge every second batch, readers see the same, and read fewer folders."""
+    log = ledger(spark)
+    folder = shared_dir(spark, "test")
+    table = BatchTable(spark, f"{folder}/plain", p.DELTA_ROWS).create()
+    merged = BatchTable(spark, f"{folder}/merged", p.DELTA_ROWS, p._summed, every=2).create()
+    rows = log.select(
+        F.lit("t.1").alias("topic"), F.col("aggregate_id").alias("id"), F.lit(1).cast("long").alias("events"),
+        F.col("seq").alias("sequence"), F.col("money").alias("amount"), "owner",
+    )
+    for k in range(5):
+        for t in (table, merged):
+            t.write(rows.where(f"sequence % 5 = {k}"), k)
+            t.write(rows.limit(1), k)  # a batch that is repeated stays as it is
+    assert merged.read().count() < table.read().count() == 300
+    same = [p._summed(t.read().drop("batch_id")).orderBy("topic", "id").collect() for t in (table, merged)]
+    assert same[0] == same[1]
+
+
+def test_forwarded_rows_are_numbered_on_end(spark):
+    log = ledger(spark, 200)
+    folder = shared_dir(spark, "test")
+    for part in (log.where("seq < 80"), log.where("seq >= 80")):
+        p.until_caught_up(p.forward(feed(spark, folder, part), "accounts", 3, folder))
+    got = p.read_topic(spark, log.schema, "accounts", folder).orderBy("topic", "offset").collect()
+    for topic in {r.topic for r in got}:
+        mine = [r for r in got if r.topic == topic]
+        assert [r.offset for r in mine] == list(range(1, len(mine) + 1))
+        assert [r.seq for r in mine] == sorted(r.seq for r in mine)
+    assert sorted(r.seq for r in got) == list(range(200))
