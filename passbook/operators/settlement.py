@@ -518,14 +518,15 @@ def settled_balances(
     )
 
 
-def emitted_events(outcomes: DataFrame, slots: int = 10) -> DataFrame:
+def emitted_events(outcomes: DataFrame, slots: int = 10, numbered: bool = True) -> DataFrame:
     """The events that settlement appends to the log, with their idempotency keys.
 
     Position ``seq * slots + n``: 0 created, 1 withdrawn or failed, 2 deposited or
-    failed, 3 succeeded, 4 refund.
+    failed, 3 succeeded, 4 refund. Numeric ids become those of the log; with ``numbered``
+    off, accounts have them already, and transfers theirs in ``tx_id``.
     """
-    tx = transaction_uuid("seq")
-    from_acc, to_acc = account_uuid("from_id"), account_uuid("to_id")
+    tx = transaction_uuid("seq") if numbered else F.col("tx_id")
+    from_acc, to_acc = (account_uuid(c) if numbered else F.col(c) for c in ("from_id", "to_id"))
     status = F.col("status")
     failed_from = (status == FAILED) & ~F.col("withdrawn") & F.col("from_id").isNotNull()
     failed_to = (status == FAILED) & ~failed_from

@@ -454,6 +454,9 @@ ORACLE: dict[str, str] = {
     "stream_reactor": SETTLED + "SELECT * FROM res",
     "replay_idempotent": SETTLED + "SELECT * FROM res",
     "end_to_end_balances": SETTLED
+    + f"""SELECT {acc('c_custkey')} AS id, coalesce(b[c_custkey + 1], 0) AS balance, c_name AS owner
+        FROM customer, (SELECT b FROM r WHERE i = (SELECT max(i) FROM r))""",
+    "stream_reactor_events": SETTLED
     + f"""SELECT {acc('c_custkey')} AS id, coalesce(b[c_custkey + 1], 0) AS balance, c_name AS owner
         FROM customer, (SELECT b FROM r WHERE i = (SELECT max(i) FROM r))""",
     "end_to_end_reconcile": SETTLED

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.operators import sinks
+from passbook.functions.ids import account_uuid
+from passbook.operators import folds, sinks
 from passbook.plans.batch import mixed_accounts, published
 from passbook.schema import event_log_schema
 from passbook.session import saved, shared_dir
 from passbook.sources import canonical, files
 from passbook.sources.canonical import halves, redelivered, stream_typed_log
-from passbook.streaming import frontier
+from passbook.streaming import frontier, reactor
 from passbook.streaming import projections as p
 from passbook.streaming.batches import BatchTable
 
@@ -136,6 +137,25 @@ def stream_reactor(spark: SparkSession, d: str) -> DataFrame:
     return p.read_outcomes(spark, folder, early.schema["from_id"].dataType)
 
 
+def stream_reactor_events(spark: SparkSession, d: str) -> DataFrame:
+    """Balances after a reactor carried out the requests of the log: requests in two deliveries,
+    the second with repeats, then its own failures, twice, which it refunds."""
+    folder = shared_dir(spark, "react")
+    columns = ("topic", "seq", "aggregate_id", "kind", "money", "from_id", "to_id", "rollback")
+    log = canonical.typed_log(spark, d, ["TransactionCreated"]).withColumn("topic", F.lit("accounts.1"))
+    early, late = halves(log.select(*columns))
+    accounts = mixed_accounts(spark, d).select(account_uuid("account_id").alias("account_id"), "status")
+    for part in (early, late.unionByName(early.where(F.col("seq") % 7 == 0))):
+        p.until_caught_up(reactor.react(_staged(spark, f"{folder}/feed", part), accounts, folder))
+    for _ in range(2):
+        failed = reactor.read_emitted(spark, folder).where("kind = 'TransactionFailed'")
+        part = saved(failed.withColumn("topic", F.lit("accounts.1")).select(*columns), shared_dir(spark, "failed"))
+        p.until_caught_up(reactor.react(_staged(spark, f"{folder}/feed", part), accounts, folder))
+    opened = canonical.typed_log(spark, d, ["AccountCreated"])
+    whole = opened.unionByName(reactor.read_emitted(spark, folder), allowMissingColumns=True)
+    return folds.fold_balance_projection(whole).select("id", "balance", "owner")
+
+
 def stream_atomic_commit(spark: SparkSession, d: str) -> DataFrame:
     """The token and the effects it stands for, after the checkpoint was lost: the engine then
     reads everything again, and nothing of it counts twice."""
@@ -189,6 +209,7 @@ QUERIES = {
         stream_forward,
         stream_transaction_status,
         stream_reactor,
+        stream_reactor_events,
         stream_atomic_commit,
         run_projection,
     )

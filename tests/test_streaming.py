@@ -9,7 +9,7 @@ import serial
 from passbook.operators import folds, sinks
 from passbook.session import shared_dir
 from passbook.sources import files
-from passbook.streaming import frontier
+from passbook.streaming import frontier, reactor
 from passbook.streaming import projections as p
 from passbook.streaming.batches import BatchTable
 
@@ -235,3 +235,47 @@ def test_forwarded_rows_are_numbered_on_end(spark):
         assert [r.offset for r in mine] == list(range(1, len(mine) + 1))
         assert [r.seq for r in mine] == sorted(r.seq for r in mine)
     assert sorted(r.seq for r in got) == list(range(200))
+
+
+def test_reactor_emits_what_follows_from_its_messages(spark):
+    """Requests in batches with repeats, failures fed back more than once, and a lost checkpoint."""
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(6)]
+    accounts = dict.fromkeys(names, "OPEN") | {"n5": "FROZEN"}
+    transfers = [
+        (s * 10, rng.choice([None, "nobody", *names[:5]]), rng.choice([None, "nobody", *names]), rng.randint(0, 50))
+        for s in range(1, 121)
+    ]
+    want, balances = serial.run(transfers, accounts)
+    folder = shared_dir(spark, "test")
+    acc = spark.createDataFrame(list(accounts.items()), "account_id string, status string")
+    rows = [("t.1", s, f"tx{s}", "TransactionCreated", m, a, b, None) for s, a, b, m in transfers]
+    schema = "topic string, seq long, aggregate_id string, kind string, money long, from_id string, to_id string, rollback boolean"
+    asked = spark.createDataFrame(rows, schema)
+
+    def failures():
+        failed = reactor.read_emitted(spark, folder).where("kind = 'TransactionFailed'").withColumn("topic", F.lit("t.1"))
+        return spark.createDataFrame(failed.select(*asked.columns).collect(), asked.schema)
+
+    for part in (asked.where("seq <= 600"), asked.where("seq > 400"), failures, failures):
+        part = part() if callable(part) else part
+        p.until_caught_up(reactor.react(feed(spark, folder, part), acc, folder))
+    for _ in range(2):
+        events = reactor.read_emitted(spark, folder).collect()
+        keys = [r.idempotency_key for r in events if r.idempotency_key]
+        assert len(keys) == len(set(keys))
+        held = dict.fromkeys(accounts, 0)
+        for r in events:
+            if r.aggregate_kind == "Account":
+                held[r.aggregate_id] += r.money if r.kind == "MoneyDeposited" else -r.money
+        assert held == balances
+        ended = {r.aggregate_id: (r.kind, r.reason) for r in events if r.kind.startswith("Transaction")}
+        assert ended == {
+            f"tx{s}": ("TransactionSucceeded", None) if w[0] == "SUCCEEDED" else ("TransactionFailed", w[1])
+            for s, w in want.items()
+            if w[0] != "PENDING"
+        }
+        assert sum(r.idempotency_key.endswith("/rollback") for r in events) == sum(w[5] for w in want.values()) > 0
+        # All messages again, for a checkpoint that knows of none.
+        p.until_caught_up(reactor.react(feed(spark, folder, asked.limit(0)), acc, folder, checkpoint="second"))
+    assert [tuple(r) for r in reactor.read_tokens(spark, folder).collect()] == [("t.1/accounts-reactor", "CatchUp:1200")]
