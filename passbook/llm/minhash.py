@@ -9,9 +9,10 @@
    estimated similarity; pairs far below the threshold go.
 4. Each document's best pair is confirmed on the full sets, and confirmed pairs are joined to
    components. Then the best pair of each two components that still meet at a centre is. At
-   last, the documents of buckets that still hold several components are paired by their
-   rarest shingles, which leaves out no link, and pairs between components are confirmed. A
-   link inside a component changes nothing, so no group of copies is paired with itself.
+   last, the documents of buckets that still hold several components are paired by the
+   rarest of their differences to a common centre, which leaves out no link, and pairs
+   between components are confirmed. A link inside a component changes nothing, so no group
+   of copies is paired with itself.
 
 Bands miss a pair at the threshold of 0.8 with a chance of 5e-8, and the estimate is allowed
 six standard deviations.
@@ -171,14 +172,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return second.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def prefix_pairs(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b, ca, cb, agree) of ``nodes`` (node, component) of different components that
-    may be linked, with the number of first shingles that they share.
+def differences(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Stored differences of the sets of ``nodes`` (node, component, grp) to a common centre.
 
-    Every linked pair is among them. Shingles are put in order of their frequency; linked sets
-    share one of their first few, and not too late in either set. Rare shingles come first,
-    so a text that differs from a large group in many places meets none of it. For each
-    shingle, only documents outside its most frequent component look for partners.
+    A group's centre holds the shingles that more than half of its nodes have. For a set
+    without d of the centre's c shingles and with a others, less = 100 d + percent a. Two sets
+    of a group are similar enough where (100 + percent) times the differences that they share
+    are at least less + less - (100 - percent) c, their ``need``. Returns node, component, grp,
+    c, less, without, beside (arrays).
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,54 +188,118 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
                 value, bounds = shingle_sets(arrays.texts_of(batch.column("text")), n)
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
                 yield pa.record_batch(
-                    [batch.column("node"), batch.column("component"), sets], names=["node", "component", "shingles"]
+                    [*(batch.column(c) for c in ("node", "component", "grp")), sets], names=["node", "component", "grp", "has"]
                 )
 
     spark = nodes.sparkSession
-    sets = nodes.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "component", "text")
-    each = sets.mapInArrow(listed, "node long, component long, shingles array<long>").select(
-        "node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")
+    sets = nodes.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "component", "grp", "text")
+    sets = sets.mapInArrow(listed, "node long, component long, grp long, has array<long>")
+    sets = saved(sets, shared_dir(spark, "minhash-set"))
+    size = sets.groupBy("grp").agg(F.count("*").alias("size"))
+    each = sets.select("grp", F.explode("has").alias("shingle")).groupBy("grp", "shingle").agg(F.count("*").alias("times"))
+    centre = each.join(size, "grp").where("2 * times > size").groupBy("grp").agg(F.collect_list("shingle").alias("centre"))
+    centre = saved(centre, shared_dir(spark, "minhash-centre"))
+    empty = F.array().cast("array<long>")
+    both = sets.join(centre, "grp", "left").withColumn("centre", F.coalesce("centre", empty))
+    both = both.select(
+        "node",
+        "component",
+        "grp",
+        F.size("centre").cast("long").alias("c"),
+        F.array_except("centre", "has").alias("without"),
+        F.array_except("has", "centre").alias("beside"),
+    )
+    less = 100 * F.size("without") + percent * F.size("beside")
+    return saved(both.withColumn("less", less.cast("long")), shared_dir(spark, "minhash-difference"))
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b, ca, cb, agree) of ``nodes`` (node, component, grp) of one group and different
+    components that may be linked; ``agree`` is higher where a link is more likely.
+
+    Every pair that is linked is among them, or both are paired with the node that is nearest
+    to the centre. That node is linked with all that are near enough to the centre for no
+    difference to be needed. All other links share differences, so many that one is among the
+    first few of both, rarest first: nodes stand in classes of ``less``, and look for partners
+    of each class with as many of their differences as that class leaves room for. What sets
+    of a large group differ in is rare, however much they have in common. For each difference,
+    only nodes outside its most frequent component look for partners.
+    """
+    spark = nodes.sparkSession
+    known = differences(nodes, texts, n, percent)
+    slack = (100 - percent) * F.col("c")
+    nearest = known.groupBy("grp").agg(
+        F.min_by(F.struct("node", "component", "less"), F.struct("less", "node")).alias("best"), F.max("less").alias("most_less")
+    )
+    known = saved(known.join(nearest, "grp"), shared_dir(spark, "minhash-nearest"))
+    star = known.where((F.col("component") != F.col("best.component")) & (F.col("less") + F.col("best.less") <= slack))
+    star = star.select(
+        F.col("node").alias("a"), F.col("best.node").alias("b"), F.col("component").alias("ca"),
+        F.col("best.component").alias("cb"), F.lit(1 << 30).cast("long").alias("agree"),
+    )
+    kind = F.transform("without", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("shingle")))
+    other = F.transform("beside", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("shingle")))
+    whole = 100 + percent
+
+    def class_of(less: Column) -> Column:
+        return F.floor(1.5 * F.log2(1 + less / whole)).cast("int")
+
+    def least_of(number: Column) -> Column:
+        return F.greatest(F.lit(0), F.floor((F.pow(2.0, number / 1.5) - 1) * whole) - 1).cast("long")
+
+    each = known.select("node", "component", "grp", "c", "less", "most_less", F.explode(F.concat(kind, other)).alias("d"))
+    each = each.select("node", "component", "grp", "c", "less", "most_less", "d.kind", "d.shingle")
+    times = each.groupBy("grp", "kind", "shingle").agg(F.count("*").alias("times"))
+    ordered = each.join(times, ["grp", "kind", "shingle"]).groupBy("node", "component", "grp", "c", "less", "most_less")
+    ordered = ordered.agg(F.sort_array(F.collect_list(F.struct("times", "kind", "shingle"))).alias("all"))
+    # For each class of partners, how many of the differences may hold the first shared one.
+    size = F.size("all")
+    classes = F.transform(F.sequence(F.lit(0), class_of(F.col("most_less"))), lambda j: F.struct(j.alias("other"), least_of(j).alias("least")))
+    ordered = ordered.withColumn("own", class_of(F.col("less"))).withColumn("size", size).withColumn("class", F.explode(classes))
+    need = F.greatest(F.lit(1), F.ceil((F.col("less") + F.col("class.least") - slack) / whole))
+    most = F.least(F.col("size"), F.floor(least_of(F.col("class.other") + 1) / percent) + 1)
+    ordered = ordered.where(need <= most).select(
+        "node", "component", "grp", "c", "less", "size", "own", F.col("class.other").alias("other"),
+        F.posexplode(F.slice("all", F.lit(1), (F.col("size") - need + 1).cast("int"))).alias("place", "d"),
     )
-    times = each.groupBy("shingle").agg(F.count("*").alias("times"))
-    size = F.col("size")
-    first = (size - F.ceil(size * percent / 100) + 1).cast("int")
-    ordered = (
-        each.join(times, "shingle")
-        .groupBy("node", "component", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all"))
-        .select("node", "component", "size", F.posexplode(F.slice("all", F.lit(1), first)).alias("place", "s"))
-        .where("s.times > 1")
-        .select("node", "component", "size", "place", F.col("s.shingle").alias("shingle"))
+    keys = ["grp", "kind", "shingle", "lo", "hi"]
+    ordered = ordered.where("d.times > 1").select(
+        "node", "component", "grp", "c", "less", "size", "place", "own", "d.kind", "d.shingle",
+        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
     )
     ordered = saved(ordered, shared_dir(spark, "minhash-prefix"))
     most = saved(
-        ordered.groupBy("shingle", "component")
+        ordered.groupBy(*keys, "component")
         .agg(F.count("*").alias("n"))
-        .groupBy("shingle")
+        .groupBy(*keys)
         .agg(F.max_by("component", "n").alias("most"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("shingle", "most"),
+        .drop("n"),
         shared_dir(spark, "minhash-most"),
     )
-    met = saved(ordered.join(most, "shingle"), shared_dir(spark, "minhash-prefix"))
+    met = saved(ordered.join(most, keys), shared_dir(spark, "minhash-prefix"))
     few = met.where("component <> most").select(
-        "shingle",
+        *keys,
         F.col("node").alias("a"),
         F.col("component").alias("ca"),
         F.col("size").alias("a_size"),
         F.col("place").alias("a_place"),
+        F.col("less").alias("a_less"),
+        F.col("own").alias("a_own"),
     )
     left = F.least(F.col("a_size") - F.col("a_place"), F.col("size") - F.col("place"))
-    return (
-        few.join(met, "shingle")
+    found = (
+        few.join(met, keys)
         .where(
             (F.col("ca") != F.col("component"))
             & ((F.col("component") == F.col("most")) | (F.col("a") < F.col("node")))
-            & ((100 + percent) * left >= percent * (F.col("a_size") + F.col("size")))
+            & ((F.col("a_own") != F.col("own")) | (F.col("lo") == F.col("hi")))
+            & (whole * left >= F.col("a_less") + F.col("less") - slack)
         )
         .groupBy("a", F.col("node").alias("b"), "ca", F.col("component").alias("cb"))
         .agg(F.count("*").alias("agree"))
     )
+    return star.unionByName(found)
 
 
 def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -345,7 +410,12 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = PERCENT) -> DataFrame:
         .select("band", "key")
     )
     mixed = saved(mixed, shared_dir(spark, "minhash-mixed"))
-    open_ = placed.join(mixed, ["band", "key"]).select("node", "component").distinct()
+    inside = saved(placed.join(mixed, ["band", "key"]), shared_dir(spark, "minhash-inside"))
+    # Components that meet in a bucket, directly or by others, are a group; links stay in it.
+    first = inside.groupBy("band", "key").agg(F.min("component").alias("a"))
+    meet = inside.select("band", "key", F.col("component").alias("b")).distinct().join(first, ["band", "key"])
+    group = components(meet.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("grp"))
+    open_ = inside.select("node", "component").distinct().join(group, "component").select("node", "component", "grp")
     open_ = saved(open_, shared_dir(spark, "minhash-open"))
     rest = saved(prefix_pairs(open_, texts, n, percent), shared_dir(spark, "minhash-rest"))
     labels = joined(linked(best_of_components(rest)))

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +243,23 @@ def test_topk_beyond_64_bits_raises(spark):
     rows = spark.createDataFrame([(0, [1e16]), (1, [1e16])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
         topk.top(rows, F.col("vec_id") == 0).collect()
+
+
+def test_minhash_of_a_group_about_the_threshold(spark):
+    """400 texts made from one by replacing some words: about half of the pairs are similar
+    enough, many of the others by a shingle or two not."""
+    from test_operators import plain_components, shingles
+
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in draw.sample(range(160), draw.choice([1, 3, 4, 5, 6, 8])):
+            words[at] = draw.choice([f"x{draw.randrange(400)}", f"y{at}"])
+        rows.append((k, " ".join(words), "en", "a"))
+    for n in (4, 5):
+        want = plain_components({i: shingles(text, n) for i, text, _, _ in rows}, 80)
+        found = {r.doc_id: r.component_id for r in minhash.cluster(table(spark, rows), n).collect()}
+        assert found == want
+        assert 5 < len(set(want.values())) < 300
