@@ -511,6 +511,16 @@ ORACLE: dict[str, str] = {
     "stream_resume": _STREAM_BAL,
     "stream_catch_up_then_live": _STREAM_BAL,
     "stream_rebuild": _STREAM_BAL,
+    "stream_progress": on_log(
+        f"""SELECT 'stateStoreSave' AS operator, CAST(1 AS BIGINT) AS last_batch,
+        count(DISTINCT aggregate_id) AS state_rows FROM ev WHERE kind IN {PROJECTED}"""
+    ),
+    "stream_overdue_transactions": on_log(
+        """SELECT aggregate_id AS id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%g') AS since
+        FROM ev WHERE kind = 'TransactionCreated' AND seq // 10 % 5 = 0 AND created_at + INTERVAL 1 DAY <=
+          (SELECT max(created_at) FROM ev WHERE kind = 'TransactionCreated' OR seq // 10 % 5 <> 0
+             AND kind IN ('TransactionFailed', 'TransactionSucceeded'))"""
+    ),
     "stream_transaction_status": on_log(
         """SELECT c.aggregate_id AS id, CASE e.kind WHEN 'TransactionFailed' THEN 'FAILED'
           WHEN 'TransactionSucceeded' THEN 'SUCCEEDED' ELSE 'PENDING' END AS status,

@@ -9,11 +9,11 @@ from pyspark.sql import types as T
 from passbook.functions.ids import account_uuid
 from passbook.operators import folds, sinks
 from passbook.plans.batch import mixed_accounts, published
-from passbook.schema import event_log_schema
+from passbook.schema import CATCH_UP, OPEN, TRANSACTION_KINDS, event_log_schema
 from passbook.session import saved, shared_dir
 from passbook.sources import canonical, files
 from passbook.sources.canonical import halves, redelivered, stream_typed_log
-from passbook.streaming import frontier, reactor
+from passbook.streaming import frontier, reactor, stateful
 from passbook.streaming import projections as p
 from passbook.streaming.batches import BatchTable
 
@@ -53,10 +53,13 @@ def stream_balance_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_dedup_redelivery(spark: SparkSession, d: str) -> DataFrame:
+    """A topic of four partitions that delivers every seventh row again, some later than others."""
     folder = shared_dir(spark, "dedup")
-    twice = redelivered(stream_typed_log(spark, d))
-    p.until_caught_up(p.balance_projection(twice, folder, dedup=True))
-    return p.read_projection(spark, folder)
+    rows = sinks.numbered(canonical.typed_log(spark, d), "accounts", 4)
+    for part in (redelivered(rows), rows.where(F.pmod("seq", F.lit(7)) == 0)):
+        p.until_caught_up(stateful.dedup_projection(_staged(spark, f"{folder}/feed", part), folder))
+    found = p.read_marked(spark, folder, "once")
+    return found.withColumn("kind", F.lit(CATCH_UP)).withColumn("status", F.lit(OPEN))
 
 
 def _published(spark: SparkSession, log: DataFrame, folder: str) -> None:
@@ -93,15 +96,38 @@ def stream_resume(spark: SparkSession, d: str) -> DataFrame:
     return p.read_projection(spark, folder)
 
 
+def stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """What the checkpoint of a stopped projection holds: its operator, its last batch, and a row
+    of state for each account that it has seen."""
+    folder = shared_dir(spark, "progress")
+    for part in halves(canonical.typed_log(spark, d)):
+        p.until_caught_up(p.balance_projection(_staged(spark, f"{folder}/feed", part), folder))
+    return stateful.progress(spark, folder, "balance")
+
+
 def stream_catch_up_then_live(spark: SparkSession, d: str) -> DataFrame:
-    """History first, then a live feed that overlaps it."""
+    """History folded as a batch, then a live feed in two parts that overlaps it."""
     folder = shared_dir(spark, "catchup")
     history, live = halves(canonical.typed_log(spark, d))
-    overlap = live.unionByName(history.where(F.pmod("seq", F.lit(7)) == 0))
-    for part in (history, overlap):
+    overlap = history.where(F.pmod("seq", F.lit(7)) == 0)
+    for part in (overlap.unionByName(live.where("seq % 20 < 10")), live.where("seq % 20 >= 10")):
         feed = _staged(spark, f"{folder}/feed", part)
-        p.until_caught_up(p.balance_projection(feed, folder, dedup=True))
-    return p.read_projection(spark, folder)
+        p.until_caught_up(stateful.catch_up_then_live(history, feed, folder))
+    return stateful.read_live(spark, folder)
+
+
+#: A day.
+OVERDUE_MS = 24 * 60 * 60 * 1000
+
+
+def stream_overdue_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers that were still PENDING a day after their request; the ends of every fifth
+    transfer are withheld."""
+    folder = shared_dir(spark, "overdue")
+    log = canonical.typed_log(spark, d, TRANSACTION_KINDS)
+    kept = log.where((F.col("kind") == "TransactionCreated") | (F.expr("seq div 10") % 5 != 0))
+    p.until_caught_up(stateful.overdue_transactions(_staged(spark, f"{folder}/feed", kept), folder, OVERDUE_MS))
+    return stateful.read_overdue(spark, folder).select("id", F.date_format("since", "yyyy-MM-dd HH:mm:ss.SSS").alias("since"))
 
 
 def stream_rebuild(spark: SparkSession, d: str) -> DataFrame:
@@ -205,6 +231,8 @@ QUERIES = {
         stream_drop_late,
         stream_resume,
         stream_catch_up_then_live,
+        stream_progress,
+        stream_overdue_transactions,
         stream_rebuild,
         stream_forward,
         stream_transaction_status,

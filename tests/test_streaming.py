@@ -1,7 +1,9 @@
 """Streams against their batch twins: redelivery, restarts, late rows, the reactor."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ import serial
 from passbook.operators import folds, sinks
 from passbook.session import shared_dir
 from passbook.sources import files
-from passbook.streaming import frontier, reactor
+from passbook.streaming import frontier, reactor, stateful
 from passbook.streaming import projections as p
 from passbook.streaming.batches import BatchTable
 
@@ -279,3 +281,75 @@ def test_reactor_emits_what_follows_from_its_messages(spark):
         # All messages again, for a checkpoint that knows of none.
         p.until_caught_up(reactor.react(feed(spark, folder, asked.limit(0)), acc, folder, checkpoint="second"))
     assert [tuple(r) for r in reactor.read_tokens(spark, folder).collect()] == [("t.1/accounts-reactor", "CatchUp:1200")]
+
+
+def test_runs_of_offsets():
+    rng = random.Random(4)
+    starts = ends = np.zeros(0, np.int64)
+    seen = set()
+    for _ in range(60):
+        offsets = np.array(sorted(rng.sample(range(300), rng.randint(1, 12))), np.int64)
+        new, starts, ends = stateful.add_to_runs(starts, ends, offsets)
+        assert [int(x) for x in offsets[new]] == [int(x) for x in offsets if x not in seen]
+        seen |= set(offsets.tolist())
+        assert {x for a, b in zip(starts, ends, strict=True) for x in range(a, b)} == seen
+        assert (starts[1:] > ends[:-1]).all()
+
+
+def test_state_of_redelivery_stays_flat(spark):
+    """20 batches of offsets on end, then all of them again: a row of state a topic partition."""
+    log = ledger(spark, 400)
+    folder = shared_dir(spark, "test")
+    rows = sinks.numbered(log, "accounts", 2)
+    rows.repartitionByRange(20, "seq").write.parquet(f"{folder}/topic")
+    for _ in range(2):
+        stream = files.stream_table(spark, f"{folder}/topic", rows.schema, max_files=1)
+        p.until_caught_up(stateful.dedup_projection(stream, folder))
+        assert documents(p.read_marked(spark, folder, "once")) == documents(folds.fold_balance_projection(log))
+        state = stateful.state_rows(spark, folder, "once", "runs").select("key.*", "value.*").collect()
+        assert len(state) == 2 and all(len(r.starts) == 1 for r in state)
+        spark.read.parquet(f"{folder}/topic").coalesce(1).write.mode("append").parquet(f"{folder}/topic")
+    assert stateful.progress(spark, folder, "once", "runs").first().last_batch >= 20
+
+
+def test_live_goes_on_from_the_history(spark):
+    log = ledger(spark)
+    folder = shared_dir(spark, "test")
+    history, live = log.where("seq < 150"), log.where("seq >= 100")
+    for part in (live.where("seq < 220"), live.where("seq >= 220")):
+        p.until_caught_up(stateful.catch_up_then_live(history, feed(spark, folder, part), folder))
+    assert documents(stateful.read_live(spark, folder)) == documents(folds.fold_balance_projection(log))
+    # The history did not go through the stream: it saw the live rows only, and not the overlap.
+    counted = stateful.state_rows(spark, folder, "live", "state").agg(F.sum("value.version")).first()[0]
+    assert counted == log.where("kind <> 'OwnerUpdated'").count()
+    other = shared_dir(spark, "test")
+    p.until_caught_up(stateful.catch_up_then_live(log.limit(0), feed(spark, other, log), other))
+    assert documents(stateful.read_live(spark, other)) == documents(folds.fold_balance_projection(log))
+
+
+def requests(spark, n):
+    rows = [(i, f"t{i}", "TransactionCreated") for i in range(n)]
+    rows += [(100 + i, f"t{i}", "TransactionSucceeded") for i in range(0, n, 2)]
+    log = spark.createDataFrame(rows, "seq long, aggregate_id string, kind string")
+    return log.withColumn("created_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, seq)"))
+
+
+def test_overdue_by_the_time_of_the_log(spark):
+    log = requests(spark, 20)
+    folder = shared_dir(spark, "test")
+    p.until_caught_up(stateful.overdue_transactions(feed(spark, folder, log), folder, 102_000))
+    # The log ends at second 118; t17 and t19 are not 102 seconds old then.
+    assert {r.id for r in stateful.read_overdue(spark, folder).collect()} == {f"t{i}" for i in range(1, 16, 2)}
+
+
+def test_overdue_by_the_clock(spark):
+    log = requests(spark, 6)
+    folder = shared_dir(spark, "test")
+    query = stateful.overdue_transactions(feed(spark, folder, log), folder, 500, watermark=None, every="1 second")
+    try:
+        until = time.time() + 90
+        while stateful.read_overdue(spark, folder).count() < 3 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert {r.id for r in stateful.read_overdue(spark, folder).collect()} == {"t1", "t3", "t5"}
