@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passbook.operators.folds import last_versions, snapshot_states
 from passbook.operators.joins import new_keys
@@ -13,76 +15,116 @@ from passbook.operators.scans import Running, assign_versions, running
 from passbook.schema import CATCH_UP, OPEN, SNAPSHOT_THRESHOLD
 from passbook.session import saved
 
-VERSIONS = "version long, folder string"
+#: Buckets of a table; a batch of changes rewrites those that its ids fall into.
+BUCKETS = 64
 
 
-class StoredTable:
-    """A table that writers replace and readers see whole.
+class ConcurrentWrite(RuntimeError):
+    """Another writer changes one of the buckets."""
 
-    Each version's rows stand in a folder of their own. A row in ``versions`` names the
-    folder once it is complete, so a reader sees the old rows or the new ones, and a lost
-    writer leaves nothing that is read.
-    """
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark = spark
-        self.path = path
 
-    def create(self, empty: DataFrame) -> StoredTable:
-        """The first version, with the columns of ``empty``."""
-        self._put(empty.limit(0), 0)
-        return self
+class BucketedTable:
+    """A Parquet table partitioned by a hash bucket of its key, for changes of single rows.
 
-    def _latest(self) -> tuple[int, str]:
-        named = self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions")
-        row = named.agg(F.max(F.struct("version", "folder")).alias("last")).first()
-        return row.last.version, row.last.folder
-
-    def _put(self, df: DataFrame, version: int) -> None:
-        folder = f"{self.path}/rows-{version}-{uuid.uuid4().hex}"
-        df.write.parquet(folder)
-        self.spark.createDataFrame([(version, folder)], VERSIONS).coalesce(1).write.mode("append").parquet(
-            f"{self.path}/versions"
-        )
+    New rows are appended to their buckets. Rows that replace others are merged with the
+    buckets they fall into, and Spark writes these by dynamic partition overwrite; the files
+    of all other buckets stay. While a writer merges a bucket it holds a marker file there;
+    a second one fails with ``ConcurrentWrite`` and can come again, so neither's change is
+    lost in silence. A writer that died leaves its markers to ``unlock``.
+    """
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self._latest()[1])
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+        self.schema = schema
+        self._stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
 
-    def replace(self, df: DataFrame) -> DataFrame:
-        """Make ``df``, which may be made from ``read()``, the table's rows."""
-        self._put(df, self._latest()[0] + 1)
-        return self.read()
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
 
+    def create(self) -> BucketedTable:
+        """Make sure that the folder can be read before the first row."""
+        self._write(self.spark.createDataFrame([], self.schema), "append")
+        return self
 
-def store_new(table: StoredTable, new: DataFrame, key: str = "tx_id") -> DataFrame:
-    """Add rows of unknown ids to the table; each requested id with whether it was ``inserted``."""
-    known = table.read()
-    fresh = saved(create_if_new(new, known, key), f"{table.path}/new-{uuid.uuid4().hex}")
-    table.replace(known.unionByName(fresh.select(*known.columns)))
-    asked = new.select(key).distinct()
-    return asked.join(fresh.select(key, F.lit(True).alias("inserted")), key, "left").select(
-        key, F.coalesce("inserted", F.lit(False)).alias("inserted")
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The rows, of all buckets or the given ones; the others are pruned."""
+        rows = self.spark.read.schema(self._stored).parquet(f"{self.path}/rows")
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
+        return rows.select(*self.schema.names)
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        # A task a bucket, or several for a large one, instead of files of every task in each.
+        placed = rows.select(*self.schema.names, self.bucket()).hint("rebalance", "bucket")
+        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows")
+
+    def _marker(self, bucket: int) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/locks/{bucket}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def lock(self, buckets: list[int]) -> None:
+        held = []
+        for bucket in sorted(buckets):
+            files, path = self._marker(bucket)
+            if not files.createNewFile(path):
+                self.unlock(held)
+                raise ConcurrentWrite(f"bucket {bucket} of {self.path} is being written")
+            held.append(bucket)
+
+    def unlock(self, buckets: list[int]) -> None:
+        for bucket in buckets:
+            files, path = self._marker(bucket)
+            files.delete(path, False)
+
+    def change(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], append: bool = False) -> DataFrame:
+        """Put ``merge(stored rows, rows)`` in place of the buckets that ``rows`` fall into, or
+        add it to them with ``append``. Returns what was written."""
+        rows = saved(rows, f"{self.path}/change-{uuid.uuid4().hex}")
+        touched = [r[0] for r in rows.select(self.bucket()).distinct().collect()]  # no more than buckets
+        self.lock(touched)
+        try:
+            merged = saved(merge(self.read(touched), rows), f"{self.path}/merged-{uuid.uuid4().hex}")
+            self._write(merged, "append" if append else "overwrite")
+        finally:
+            self.unlock(touched)
+        return merged
+
+
+def store_new(table: BucketedTable, new: DataFrame) -> DataFrame:
+    """Append rows of unknown ids to the table; each requested id with whether it was ``inserted``."""
+    fresh = table.change(new, lambda known, rows: create_if_new(rows, known, table.key), append=True)
+    asked = new.select(table.key).distinct()
+    return asked.join(fresh.select(table.key, F.lit(True).alias("inserted")), table.key, "left").select(
+        table.key, F.coalesce("inserted", F.lit(False)).alias("inserted")
     )
 
 
-def store_documents(table: StoredTable, documents: DataFrame) -> DataFrame:
+def store_documents(table: BucketedTable, documents: DataFrame) -> DataFrame:
     """Replace or add whole balance documents; returns the table."""
-    return table.replace(index_balance_full(table.read(), documents))
+    table.change(documents, index_balance_full)
+    return table.read()
 
 
-def store_changes(table: StoredTable, partial: DataFrame) -> DataFrame:
-    """Merge partial balance documents into the table; returns the table."""
-    return table.replace(update_balance_partial(table.read(), partial))
+def store_changes(table: BucketedTable, partial: DataFrame) -> DataFrame:
+    """Merge partial balance documents into the table; returns those of unknown ids, which
+    change nothing."""
+    table.change(partial, update_balance_partial)
+    return partial.join(table.read().select("id"), "id", "left_anti")
 
 
-def store_tokens(table: StoredTable, tokens: DataFrame) -> DataFrame:
+def store_tokens(table: BucketedTable, tokens: DataFrame) -> DataFrame:
     """Set the tokens (id, token) of their keys, later positions over earlier ones."""
     position = parse_token(F.col("token"))[1]
-    both = table.read().unionByName(tokens.select("id", "token"))
-    return table.replace(both.groupBy("id").agg(F.max_by("token", position).alias("token")))
+
+    def merge(known: DataFrame, rows: DataFrame) -> DataFrame:
+        both = known.unionByName(rows.select("id", "token"))
+        return both.groupBy("id").agg(F.max_by("token", position).alias("token"))
+
+    table.change(tokens, merge)
+    return table.read()
 
 
-def resume_token(table: StoredTable, keys: DataFrame) -> DataFrame:
+def resume_token(table: BucketedTable, keys: DataFrame) -> DataFrame:
     """The token of each of ``keys`` (id); empty where nothing is stored yet."""
     found = keys.join(table.read(), "id", "left")
     return found.select("id", F.coalesce("token", F.lit("")).alias("token"))

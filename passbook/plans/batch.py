@@ -199,7 +199,7 @@ def store_transactions(spark: SparkSession, d: str) -> DataFrame:
     requests = canonical.transfers(spark, d).select(
         fn.transaction_uuid("seq").alias("tx_id"), "seq", "money", "from_id"
     )
-    stored = sinks.StoredTable(spark, shared_dir(spark, "transactions")).create(requests)
+    stored = sinks.BucketedTable(spark, shared_dir(spark, "transactions"), requests.schema, "tx_id").create()
     sinks.store_new(stored, requests.where(F.col("from_id").isNull()))
     return sinks.store_new(stored, canonical.redelivered(requests))
 
@@ -207,7 +207,7 @@ def store_transactions(spark: SparkSession, d: str) -> DataFrame:
 def store_balances(spark: SparkSession, d: str) -> DataFrame:
     """Openings, then all movements as partial changes, then the whole documents."""
     opened = sinks.opening_documents(projected_log(spark, d))
-    stored = sinks.StoredTable(spark, shared_dir(spark, "documents")).create(opened)
+    stored = sinks.BucketedTable(spark, shared_dir(spark, "documents"), opened.schema, "id").create()
     sinks.store_documents(stored, opened)
     moved = (
         canonical.typed_log(spark, d, MONEY_KINDS)
@@ -225,7 +225,7 @@ def store_resume_tokens(spark: SparkSession, d: str) -> DataFrame:
     )
     early, late = canonical.halves(applied)
     tokens = sinks.resume_tokens(early, "balance")
-    stored = sinks.StoredTable(spark, shared_dir(spark, "tokens")).create(tokens)
+    stored = sinks.BucketedTable(spark, shared_dir(spark, "tokens"), tokens.schema, "id", buckets=4).create()
     sinks.store_tokens(stored, tokens)
     sinks.store_tokens(stored, sinks.resume_tokens(late, "balance"))
     keys = applied.select(F.concat("topic", F.lit("/balance")).alias("id")).distinct()

@@ -306,16 +306,62 @@ def test_openings_precede_commands_for_any_key(spark):
     assert all(s < 0 for s in found) and len(set(found)) == 3
 
 
-def test_stored_table_keeps_the_last_complete_version(spark, tmp_path):
-    rows = spark.createDataFrame([("a/p", "CatchUp:5"), ("b/p", "CatchUp:2")], "id string, token string")
-    table = sinks.StoredTable(spark, str(tmp_path / "t")).create(rows)
+def table_files(path):
+    return {str(f.relative_to(path)) for f in path.glob("rows/bucket=*/*.parquet")}
+
+
+def test_changes_rewrite_the_buckets_they_fall_into(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}/p", f"CatchUp:{i}") for i in range(200)], "id string, token string")
+    table = sinks.BucketedTable(spark, str(tmp_path), rows.schema, "id", buckets=16).create()
     sinks.store_tokens(table, rows)
-    sinks.store_tokens(table, spark.createDataFrame([("a/p", "CatchUp:3"), ("b/p", "CatchUp:9")], rows.schema))
-    # A writer that was lost before it named its rows.
-    rows.write.parquet(str(tmp_path / "t" / "rows-9-lost"))
-    keys = spark.createDataFrame([("a/p",), ("b/p",), ("c/p",)], "id string")
+    before = table_files(tmp_path)
+    changes = spark.createDataFrame([("k5/p", "CatchUp:900"), ("k6/p", "CatchUp:1"), ("new/p", "CatchUp:7")], rows.schema)
+    touched = {f"rows/bucket={r[0]}" for r in changes.select(table.bucket()).collect()}
+    sinks.store_tokens(table, changes)
+    after = table_files(tmp_path)
+    kept = {f for f in before if f.rsplit("/", 1)[0] not in touched}
+    assert kept and kept <= after and not (before - kept) & after
+    keys = spark.createDataFrame([("k5/p",), ("k6/p",), ("new/p",), ("none/p",)], "id string")
     found = {r.id: r.token for r in sinks.resume_token(table, keys).collect()}
-    assert found == {"a/p": "CatchUp:5", "b/p": "CatchUp:9", "c/p": ""}
+    assert found == {"k5/p": "CatchUp:900", "k6/p": "CatchUp:6", "new/p": "CatchUp:7", "none/p": ""}
+    assert table.read().count() == 201
+
+
+def test_new_rows_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([(f"t{i % 50}", i) for i in range(100)], "tx_id string, seq long")
+    table = sinks.BucketedTable(spark, str(tmp_path), rows.schema, "tx_id", buckets=4).create()
+    assert {r.inserted for r in sinks.store_new(table, rows.where("seq < 30")).collect()} == {True}
+    before = table_files(tmp_path)
+    found = {r.tx_id: r.inserted for r in sinks.store_new(table, rows).collect()}
+    assert found == {f"t{i}": i >= 30 for i in range(50)} and before < table_files(tmp_path)
+    assert {r.tx_id: r.seq for r in table.read().collect()} == {f"t{i}": i for i in range(50)}
+
+
+def test_two_writers_of_a_bucket(spark, tmp_path):
+    """The second one fails while the first is at it, and neither change is lost."""
+    rows = spark.createDataFrame([("a/p", "CatchUp:1")], "id string, token string")
+    table = sinks.BucketedTable(spark, str(tmp_path), rows.schema, "id", buckets=4).create()
+    sinks.store_tokens(table, rows)
+    later = spark.createDataFrame([("a/p", "CatchUp:5")], rows.schema)
+
+    def merge(known, new):
+        with pytest.raises(sinks.ConcurrentWrite):
+            sinks.store_tokens(table, spark.createDataFrame([("a/p", "CatchUp:9")], rows.schema))
+        return new
+
+    table.change(later, merge)
+    assert [tuple(r) for r in table.read().collect()] == [("a/p", "CatchUp:5")]
+    sinks.store_tokens(table, spark.createDataFrame([("a/p", "CatchUp:9")], rows.schema))
+    assert [tuple(r) for r in table.read().collect()] == [("a/p", "CatchUp:9")]
+
+
+def test_changes_of_unknown_ids_are_returned(spark, tmp_path):
+    docs = spark.createDataFrame([("a", 1, 10), ("b", 2, 20)], "id string, sequence long, balance long")
+    table = sinks.BucketedTable(spark, str(tmp_path), docs.schema, "id", buckets=4).create()
+    sinks.store_documents(table, docs)
+    changes = spark.createDataFrame([("a", 15), ("x", 5)], "id string, balance long")
+    assert [r.id for r in sinks.store_changes(table, changes).collect()] == ["x"]
+    assert sorted(tuple(r) for r in table.read().collect()) == [("a", 1, 15), ("b", 2, 20)]
 
 
 def test_first_append_leaves_out_repeated_keys(spark, sf_dir):
