@@ -8,10 +8,12 @@ same id and join without another exchange.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passbook.functions.money import signed_money
 from passbook.operators.scans import WIDTH, Running, running
@@ -220,6 +222,84 @@ def fold_from_snapshot(log: DataFrame, snapshots: DataFrame, width: int = WIDTH)
     )
 
 
+def states_at(log: DataFrame, position: int) -> DataFrame:
+    """The state of every account after the events up to ``position``, to fold on from."""
+    return _account_parts(log.where(F.col("seq") <= position))
+
+
+def _account_parts(log: DataFrame) -> DataFrame:
+    """aggregate_id, amount, owner, owner_seq, created: what adds up to an account's state."""
+    money = log.where(F.col("kind").isin(*PROJECTED_KINDS)).groupBy("aggregate_id").agg(
+        F.sum(signed_money()).alias("amount")
+    )
+    owner = log.where(F.col("kind").isin(*OWNER_KINDS)).groupBy("aggregate_id").agg(
+        F.max_by("owner", "seq").alias("owner"),
+        F.max("seq").alias("owner_seq"),
+        F.max(F.col("kind") == "AccountCreated").alias("created"),
+    )
+    return money.join(owner, "aggregate_id", "full").select(
+        "aggregate_id",
+        F.coalesce("amount", F.lit(0)).alias("amount"),
+        "owner",
+        "owner_seq",
+        F.coalesce("created", F.lit(False)).alias("created"),
+    )
+
+
+def fold_from_states(states: DataFrame, tail: DataFrame) -> DataFrame:
+    """Account state from ``states_at`` a position and the events after it, ``tail``: with a log
+    in ranges of positions, all before it is neither read nor summed again."""
+    parts = states.unionByName(_account_parts(tail))
+    return (
+        parts.groupBy(F.col("aggregate_id").alias("id"))
+        .agg(
+            F.max_by("owner", "owner_seq").alias("owner"),
+            F.sum("amount").alias("balance"),
+            F.max("created").alias("created"),
+        )
+        .where("created")
+        .select("id", "owner", "balance", F.lit(OPEN).alias("status"))
+    )
+
+
+def fold_ordered(
+    log: DataFrame,
+    key: str,
+    handler: Callable[[dict, pd.DataFrame], None],
+    schema: str,
+    order: str = "seq",
+) -> DataFrame:
+    """User-defined fold that depends on order: a row of ``schema`` for each value of ``key``.
+
+    ``handler(state, events)`` changes the state, an empty dictionary at first, by the next
+    events of one key, in order; when the key ends, the state's values are its row. Events come
+    in Arrow batches of a sorted partition, so a key with many of them is worked off piece by
+    piece, by one task, as the order demands; no group is collected.
+    """
+    kept = T.StructType([log.schema[key], *T.StructType.fromDDL(schema).fields])
+    names = kept.names[1:]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def ended(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame([(k, *(state.get(n) for n in names)) for k, state in rows], columns=kept.names)
+
+        now, state = None, None
+        for batch in batches:
+            done = []
+            for value, events in batch.groupby(key, sort=False, dropna=False):
+                if state is None or value != now:
+                    if state is not None:
+                        done.append((now, state))
+                    now, state = value, {}
+                handler(state, events)
+            yield ended(done)
+        if state is not None:
+            yield ended([(now, state)])
+
+    sorted_ = log.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order)
+    return sorted_.mapInPandas(fold, kept)
+
+
 def fold_custom(
     log: DataFrame,
     key: str,

@@ -169,6 +169,13 @@ def partitioned_topic(topic: str, partitions: int, key: str = "aggregate_id") ->
     return F.concat(F.lit(f"{topic}."), topic_partition(partitions, key).cast("string"))
 
 
+def write_ranges(log: DataFrame, path: str, width: int) -> None:
+    """The log in folders of ``width`` positions each, so that readers of a part of it skip the
+    others (``files.read_ranges``)."""
+    placed = log.withColumn("range", F.expr(f"seq div {width}")).hint("rebalance", "range")
+    placed.write.partitionBy("range").parquet(path)
+
+
 def numbered(log: DataFrame, topic: str, partitions: int, ends: DataFrame | None = None) -> DataFrame:
     """``log`` with ``topic`` (its partition) and ``offset``: from 1 on end in each partition,
     in order of ``seq``, after the last offsets in ``ends`` (topic, offset)."""

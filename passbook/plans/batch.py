@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,13 +84,51 @@ def versioned_log(spark: SparkSession, d: str) -> DataFrame:
 # Sources ---------------------------------------------------------------------------------
 
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, d: str, what: str, write: Callable[[str], None]) -> str:
+    """The folder of a table that queries of one session share; the first one writes it."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _STAGED:
+        path = shared_dir(spark, what)
+        write(path)
+        _STAGED[key] = path
+    return _STAGED[key]
+
+
+def stored_log(spark: SparkSession, d: str) -> str:
+    """The folder of the raw log with versions, partitioned by kind."""
+
+    def write(path: str) -> None:
+        raw = scans.assign_versions(canonical.raw_log(spark, d))
+        raw.withColumn("aggregate_version", F.col("aggregate_version").cast("int")).write.partitionBy("kind").parquet(path)
+
+    return staged(spark, d, "log", write)
+
+
+def stored_ranges(spark: SparkSession, d: str) -> tuple[str, int]:
+    """The folder of the account log in about 16 ranges of positions, and their width."""
+    log = account_log(spark, d).select("seq", "aggregate_id", "kind", "money", "owner")
+    width = log.agg(F.expr("max(seq) div 16 + 1")).first()[0]
+    return staged(spark, d, "ranges", lambda path: sinks.write_ranges(log, path, width)), width
+
+
+def stored_states(spark: SparkSession, d: str) -> tuple[str, int]:
+    """The folder of all accounts' states after the first 14 ranges, and the last position of these."""
+    path, width = stored_ranges(spark, d)
+    last = 14 * width - 1
+    log = files.read_ranges(spark, path, RANGED, width, -(1 << 62))
+    return staged(spark, d, "states", lambda p: saved(folds.states_at(log, last), p)), last
+
+
+RANGED = T.StructType(
+    [T.StructField(n, T.LongType() if n in ("seq", "money") else T.StringType()) for n in ("seq", "aggregate_id", "kind", "money", "owner")]
+)
+
+
 def scan_event_log(spark: SparkSession, d: str) -> DataFrame:
-    path = shared_dir(spark, "log")
-    raw = scans.assign_versions(canonical.raw_log(spark, d))
-    raw.withColumn("aggregate_version", F.col("aggregate_version").cast("int")).write.partitionBy(
-        "kind"
-    ).parquet(path)
-    log = files.read_event_log(spark, path)
+    log = files.read_event_log(spark, stored_log(spark, d))
     return log.withColumn("aggregate_version", F.col("aggregate_version").cast("long")).withColumn(
         "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     )
@@ -413,6 +454,15 @@ def snapshot_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_from_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """From the stored states of all accounts at a position; of the log only what is behind it."""
+    path, width = stored_ranges(spark, d)
+    states, last = stored_states(spark, d)
+    tail = files.read_ranges(spark, path, RANGED, width, last)
+    return folds.fold_from_states(spark.read.parquet(states), tail)
+
+
+def fold_from_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """From the newest snapshot of each account, which not all have."""
     return folds.fold_from_snapshot(account_log(spark, d), write_snapshots(spark, d))
 
 
@@ -736,6 +786,23 @@ def fold_custom(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def covered_balance(state: dict, events: pd.DataFrame) -> None:
+    """A handler that depends on order: withdrawals that the balance does not cover change nothing."""
+    balance, refused = state.get("balance", 0), state.get("refused", 0)
+    for amount in events["amount"].tolist():
+        if amount < 0 and balance + amount < 0:
+            refused += 1
+        else:
+            balance += amount
+    state.update(balance=balance, refused=refused)
+
+
+def fold_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Balances of accounts that reject overdrafts, event by event."""
+    log = canonical.typed_log(spark, d, MONEY_KINDS).select("seq", "aggregate_id", fn.signed_money().alias("amount"))
+    return folds.fold_ordered(log, "aggregate_id", covered_balance, "balance long, refused long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -781,6 +848,8 @@ QUERIES = {
         aggregate_version,
         snapshot_states,
         fold_from_snapshot,
+        fold_from_snapshots,
+        fold_ordered,
         check_version_unique,
         check_idempotency_unique,
         count_tx_by_status,

@@ -352,6 +352,16 @@ ORACLE: dict[str, str] = {
     ),
     "snapshot_states": on_log("SELECT * FROM snap", SNAP),
     "fold_from_snapshot": on_log("SELECT * FROM acct", ACC),
+    "fold_from_snapshots": on_log("SELECT * FROM acct", ACC),
+    "fold_ordered": on_log(
+        f"""SELECT aggregate_id, final AS balance, CAST(moves - taken AS BIGINT) AS refused FROM (
+          SELECT aggregate_id, count(*) AS moves,
+            list_prepend(0::BIGINT, list({SIGNED} ORDER BY seq)) AS l,
+            list_reduce(l, lambda a, x: CASE WHEN x < 0 AND a + x < 0 THEN a ELSE a + x END)::BIGINT AS final,
+            list_reduce(list_prepend(0::HUGEINT, list(({SIGNED})::HUGEINT ORDER BY seq)), lambda a, x:
+              CASE WHEN x < 0 AND a // 1000000 + x < 0 THEN a ELSE a + x * 1000000 + 1 END) % 1000000 AS taken
+          FROM ev WHERE kind IN {MONEY} GROUP BY 1)"""
+    ),
     "fold_account_state": on_log("SELECT * FROM acct", ACC),
     "fold_transaction_state": on_log("SELECT * FROM txs", TXS),
     "fold_balance_projection": _STREAM_BAL,

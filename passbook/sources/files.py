@@ -34,6 +34,13 @@ def read_event_log(
     return spark.read.schema(schema or event_log_schema()).parquet(path)
 
 
+def read_ranges(spark: SparkSession, path: str, schema: T.StructType, width: int, after: int) -> DataFrame:
+    """The events behind position ``after`` of a log in ranges; ranges before it are not read."""
+    full = T.StructType([*schema.fields, T.StructField("range", T.LongType())])
+    rows = spark.read.schema(full).parquet(path)
+    return rows.where((F.col("range") >= after // width) & (F.col("seq") > after)).drop("range")
+
+
 def tail_event_log(
     spark: SparkSession,
     path: str,

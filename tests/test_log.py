@@ -11,6 +11,7 @@ from passbook import functions as fn
 from passbook.functions import ids as ids_module
 from passbook.functions.codec import encode_body
 from passbook.operators import checks, filters, folds, joins, scans, sinks, views
+from passbook.plans.batch import covered_balance
 from passbook.schema import NIL_UUID
 from passbook.session import shared_dir
 from passbook.sources import canonical, files
@@ -370,3 +371,25 @@ def test_first_append_leaves_out_repeated_keys(spark, sf_dir):
     got = sinks.append_events(raw, None, f"{shared_dir(spark, 'test')}/append")
     keyed = got.where("idempotency_key > ''")
     assert keyed.count() == keyed.select("idempotency_key").distinct().count() > 0
+
+
+def test_ordered_fold_of_keys_over_many_batches(spark):
+    """Batches of a few rows cut through keys; the state goes on from batch to batch."""
+    rng = random.Random(2)
+    data = [(i, rng.choice(["hot", "hot", "a", "b", "c"]), rng.randint(-9, 8)) for i in range(500)]
+    want = {}
+    for _, k, amount in data:
+        state = want.setdefault(k, [0, 0])
+        if amount < 0 and state[0] + amount < 0:
+            state[1] += 1
+        else:
+            state[0] += amount
+    df = spark.createDataFrame(data, "seq long, k string, amount long").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = folds.fold_ordered(df, "k", covered_balance, "balance long, refused long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.k: [r.balance, r.refused] for r in got} == want
+    assert folds.fold_ordered(df.limit(0), "k", covered_balance, "balance long, refused long").count() == 0

@@ -133,3 +133,17 @@ def test_a_busy_account_is_split_in_joins(spark, hot_joins):
     ):
         frame.collect()
         assert "skew=true" in plan(frame)
+
+
+def test_states_save_reading_the_log(spark, sf_dir):
+    """The fold from stored states scans the last ranges only."""
+    frame = batch.fold_from_snapshot(spark, sf_dir)
+    frame.collect()
+    text = plan(frame)
+    assert "PartitionFilters: [isnotnull(range" in text
+    path, width = batch.stored_ranges(spark, sf_dir)
+    whole = spark.read.parquet(path)
+    tail = files.read_ranges(spark, path, batch.RANGED, width, batch.stored_states(spark, sf_dir)[1])
+    assert 0 < tail.count() < whole.count() / 4
+    read = [f.select(F.input_file_name()).distinct().count() for f in (tail, whole)]
+    assert read[0] < read[1] / 4
