@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passbook.operators.bloom import MOST_KEYS, only_met
 from passbook.schema import MONEY_KINDS
 from passbook.session import saved, shared_dir
 
@@ -73,11 +74,16 @@ def leg_account(transactions: DataFrame, accounts: DataFrame, side: str) -> Data
     return legs.join(stored(acc), side, "left")
 
 
-def new_keys(log: DataFrame, stored: DataFrame) -> DataFrame:
+def new_keys(log: DataFrame, stored: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
     """Rows whose idempotency key is neither stored nor repeated before in the batch.
 
-    Rows without a key always pass. Of a repeated key the first row stays.
+    Rows without a key always pass. Of a repeated key the first row stays. Stored keys are
+    shuffled only as far as a Bloom filter of the batch's keys lets them pass, so the shuffle
+    does not grow with what is stored.
     """
+    keyed = log.where(F.col("idempotency_key") > "").select("idempotency_key")
+    keyed = saved(keyed, shared_dir(log.sparkSession, "keys"))  # counted and read once more
+    stored = only_met(stored.select("idempotency_key"), keyed, "idempotency_key", most_keys)
     rest = [c for c in log.columns if c not in ("idempotency_key", "seq")]
     # Repeats are combined before the shuffle, so a key with many copies is one row in it.
     first = (

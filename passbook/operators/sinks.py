@@ -136,7 +136,7 @@ def versioned_events(new: DataFrame, stored: DataFrame | None) -> DataFrame:
     A row whose idempotency key is stored, or stands at an earlier position, is left out.
     """
     if stored is None:
-        stored = new.limit(0).withColumn("aggregate_version", F.lit(0).cast("long"))
+        return assign_versions(new_keys(new, new.limit(0)))
     return assign_versions(new_keys(new, stored), last_versions(stored))
 
 

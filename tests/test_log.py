@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from passbook import functions as fn
 from passbook.functions import ids as ids_module
 from passbook.functions.codec import encode_body
-from passbook.operators import checks, filters, folds, joins, scans, sinks, views
+from passbook.operators import bloom, checks, filters, folds, joins, scans, sinks, views
 from passbook.plans.batch import covered_balance
 from passbook.schema import NIL_UUID
 from passbook.session import shared_dir
@@ -393,3 +393,17 @@ def test_ordered_fold_of_keys_over_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {r.k: [r.balance, r.refused] for r in got} == want
     assert folds.fold_ordered(df.limit(0), "k", covered_balance, "balance long, refused long").count() == 0
+
+
+def test_history_that_meets_no_key_is_left_out(spark):
+    """A batch of 500 keys against 20,000 stored ones: what passes does not grow with these."""
+    stored = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("idempotency_key"))
+    batch = spark.range(19_800, 20_300).select(
+        F.col("id").alias("seq"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("idempotency_key")
+    )
+    met = bloom.only_met(stored, batch, "idempotency_key")
+    assert 200 <= met.count() < 200 + 20_000 * 0.03
+    assert bloom.only_met(stored, batch, "idempotency_key", most_keys=10).count() == 20_000
+    assert bloom.only_met(stored, batch.limit(0), "idempotency_key").count() == 0
+    for most in (10, 1000):
+        assert sorted(r.seq for r in joins.new_keys(batch, stored, most).collect()) == list(range(20_000, 20_300))
