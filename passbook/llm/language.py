@@ -5,12 +5,15 @@ word is scored at each of its characters by the longest known n-gram that starts
 (with marks for the word's ends), and gets their mean. A text's scores are the sums over its
 words; the best language wins, with its posterior as the score.
 
-The model is counted on a sample of labelled rows of bounded expected size, and holds a
-bounded number of words and n-grams; both bounds are parameters. Every text is scored whole.
+The model is counted on a sample of labelled rows of bounded expected size, with an equal
+share for each language, so that a rare one is learned as well; priors come from all rows.
+It holds a bounded number of words and, apart from them, of n-grams, and tells how many were
+left out; all bounds are parameters. Every text is scored whole.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +25,16 @@ from pyspark.sql import functions as F
 
 from passbook.llm import arrays
 from passbook.llm.quality import held_out
+from passbook.session import saved, shared_dir
 
-#: Expected number of labelled rows that the model is counted on, if there are more.
+#: Expected number of labelled rows that the model is counted on; languages with fewer rows than
+#: their share of it are counted on all of them.
 SAMPLE_ROWS = 10_000
 #: Longest character n-gram.
 LONGEST = 4
-#: Words and n-grams in the model at most, the most frequent ones; and how often each occurs at least.
-MOST_ENTRIES, LEAST_COUNT = 400_000, 2
+#: Words in the model at most, the most frequent ones, and n-grams, shorter ones first; and how
+#: often each occurs at least.
+MOST_WORDS, MOST_GRAMS, LEAST_COUNT = 400_000, 400_000, 2
 #: Added to each count.
 SMOOTH = 0.5
 #: Result where there is nothing to decide by.
@@ -109,6 +115,8 @@ class Model:
     languages: list[str]
     priors: np.ndarray
     tables: dict[int, Lookup]
+    #: Words and n-grams that occur often enough, but are beyond the bounds.
+    left_out: tuple[int, int] = (0, 0)
 
     def parts(self) -> tuple:
         """The model as plain arrays, for a broadcast."""
@@ -182,13 +190,19 @@ def counted(rows: DataFrame) -> DataFrame:
     )
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, most_entries: int = MOST_ENTRIES) -> Model:
+def learn(
+    docs: DataFrame, sample_rows: int = SAMPLE_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS
+) -> Model:
     """The model of ``docs`` (doc_id, text, lang), from rows with a text and a language."""
+    spark = docs.sparkSession
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(sample_rows / n * (1 << 40)))
-    counts = counted(rows).cache()
+    by_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if sum(by_lang.values()) > sample_rows:
+        share = sample_rows / len(by_lang)
+        keep = [(v, min(1 << 40, int(share / n * (1 << 40)))) for v, n in by_lang.items()]
+        shares = F.broadcast(spark.createDataFrame(keep, "lang string, below long"))  # a row a language
+        rows = rows.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.col("below"))
+    counts = saved(counted(rows), shared_dir(spark, "language-count"))
     totals = {(r.order, r.lang): r.n for r in counts.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang for _, lang in totals})
     kept = (
@@ -199,10 +213,15 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, most_entries: int = M
         )
         .where(F.col("n") >= LEAST_COUNT)
     )
-    # Shorter n-grams are few and come first, so that a word can always be backed off.
-    table = kept.orderBy((F.col("order") == 0), F.col("n").desc(), "order", "key").limit(most_entries).toArrow()
-    by_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    counts.unpersist()
+    words, grams = kept.where(F.col("order") == 0), kept.where(F.col("order") > 0)
+    many = kept.agg(F.count_if(F.col("order") == 0).alias("words"), F.count_if(F.col("order") > 0).alias("grams")).first()
+    left_out = max(0, many.words - most_words), max(0, many.grams - most_grams)
+    if any(left_out):
+        warnings.warn(f"{left_out[0]} words and {left_out[1]} n-grams are beyond the bounds of the model", stacklevel=2)
+    frequent = [F.col("n").desc(), F.col("key")]
+    table = pa.concat_tables(
+        [words.orderBy(*frequent).limit(most_words).toArrow(), grams.orderBy("order", *frequent).limit(most_grams).toArrow()]
+    )
     order, key = np.asarray(table["order"]), np.asarray(table["key"]).view(np.uint64)
     number = np.stack([np.asarray(table[f"n{i}"], float) for i in range(len(languages))], axis=1) if languages else None
     tables = {}
@@ -215,7 +234,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, most_entries: int = M
             rows_ = np.zeros((0, 0))
         tables[o] = Lookup(key[own], rows_)
     priors = np.log(np.array([by_lang.get(v, 0) + 1.0 for v in languages])) if languages else np.zeros(0)
-    return Model(languages, priors, tables)
+    return Model(languages, priors, tables, left_out)
 
 
 def predicted(text: Column, shared: Broadcast) -> Column:

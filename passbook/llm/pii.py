@@ -12,7 +12,10 @@ joined again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Turns of the permutation, each half being moved in every second one.
@@ -77,12 +80,13 @@ def _turn(key: str, tweak: Column, i: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), half.cast("string")), 512)
 
 
-def permuted(x: Column, y: Column, a: int | Column, b: int | Column, key: str, tweak: str) -> Column:
+def permuted(x: Column, y: Column, a: int | Column, b: int | Column, key: str, tweak: str | Column) -> Column:
     """struct(x, y) permuted among all pairs with 0 <= x < a and 0 <= y < b."""
+    tweak = tweak if isinstance(tweak, Column) else F.lit(tweak)
     a, b = (v if isinstance(v, Column) else F.lit(v) for v in (a, b))
 
     def amount(i: Column, half: Column, most: Column) -> Column:
-        return F.conv(F.substring(_turn(key, F.lit(tweak), i, half), 1, 14), 16, 10).cast("long") % most
+        return F.conv(F.substring(_turn(key, tweak, i, half), 1, 14), 16, 10).cast("long") % most
 
     def turn(state: Column, i: Column) -> Column:
         return F.when(
@@ -135,6 +139,13 @@ def scrambled(text: Column, key: str, tweak: str, alphabets: tuple[str, ...] = (
     return let(done, lambda s: F.concat(s.l, s.r))
 
 
+def walked(start: Column, step: Callable[[Column], Column], inside: Callable[[Column], Column], most: int) -> Column:
+    """``step`` again and again, from once on, until the value is ``inside``: where ``step``
+    permutes a set, this permutes the part of it that is inside. ``most`` steps leave a
+    value outside with a chance below 1e-20."""
+    return F.aggregate(F.sequence(F.lit(2), F.lit(most)), step(start), lambda s, i: F.when(inside(s), s).otherwise(step(s)))
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -197,17 +208,29 @@ def _iban(m: Column, key: str) -> Column:
     return let(F.regexp_replace(m, " ", ""), new)
 
 
-def _date(m: Column, form: str, key: str) -> Column:
-    """Null where the match is no day in this form, or none that is permuted."""
+def _date(m: Column, form: str, key: str, after: int = 0) -> Column:
+    """Null where the match is no day in this form, or none that is permuted.
+
+    With ``after``, the match is one of the days behind that of their month, and its pseudonym
+    is another such day: what reads as a day in one order of the fields only stays so.
+    """
     origin = F.lit("0001-01-01").cast("date")
 
     def new(day: Column) -> Column:
         n = F.date_diff(day, origin).cast("long")
         within = n % (DAYS * DAYS)
-        moved = permuted(F.floor(within / DAYS), within % DAYS, DAYS, DAYS, key, "date")
         there = day.isNotNull() & (n >= 0) & (n < BLOCKS * DAYS * DAYS) & (F.date_format(day, form) == m)
-        out = let(moved, lambda s: F.date_add(origin, (n - within + s.x * DAYS + s.y).cast("int")))
-        return F.when(there, F.date_format(out, form))
+
+        def at(s: Column) -> Column:
+            return F.date_add(origin, (n - within + s.x * DAYS + s.y).cast("int"))
+
+        start = F.struct(F.floor(within / DAYS).cast("long").alias("x"), (within % DAYS).cast("long").alias("y"))
+
+        def step(s: Column) -> Column:
+            return permuted(s.x, s.y, DAYS, DAYS, key, "date" if not after else f"date {after}")
+
+        moved = walked(start, step, lambda s: F.dayofmonth(at(s)) > after, 64) if after else step(start)
+        return F.when(there, let(moved, lambda s: F.date_format(at(s), form)))
 
     return let(F.try_to_date(m, form), new)
 
@@ -260,23 +283,25 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """North American numbers: area and exchange stay within 200 to 999, the country code stays."""
+    """North American numbers; the country code stays. Area and exchange stay within 200 to 999;
+    numbers that are none of these are permuted by themselves, by which of the two is lower."""
 
     def new(digits: Column) -> Column:
-        own = F.substring(digits, -10, 10)
-        area, exchange, line = _fields(own, 3, 3, 4)
-        moved = permuted(area - 200, (exchange - 200) * 10000 + line, 800, 800 * 10000, key, "phone")
+        area, exchange, line = _fields(F.substring(digits, -10, 10), 3, 3, 4)
+        first, second = F.when(area < 200, 0).otherwise(200), F.when((area >= 200) & (exchange >= 200), 200).otherwise(0)
+        areas = F.when(area < 200, 200).otherwise(800)
+        exchanges = F.when(area < 200, 1000).when(exchange < 200, 200).otherwise(800)
+        kind = F.when(area < 200, "phone area").when(exchange < 200, "phone exchange").otherwise("phone")
+        moved = permuted(area - first, (exchange - second) * 10000 + line, areas, exchanges * 10000, key, kind)
         out = let(
             moved,
             lambda s: F.concat(
-                (s.x + 200).cast("string"),
-                (F.floor(s.y / 10000) + 200).cast("string"),
+                F.lpad((s.x + first).cast("string"), 3, "0"),
+                F.lpad((F.floor(s.y / 10000) + second).cast("string"), 3, "0"),
                 F.lpad((s.y % 10000).cast("string"), 4, "0"),
             ),
         )
-        code = F.substring(digits, F.lit(1), F.length(digits) - 10)
-        valid = (area >= 200) & (exchange >= 200)
-        return F.concat(code, F.when(valid, out).otherwise(scrambled(own, key, "number", (DIGITS,))))
+        return F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), out)
 
     return _refilled(m, let(_digits(m), new))
 
@@ -299,7 +324,10 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    return F.when(m.rlike("^[0-9a-f]+$"), scrambled(m, key, "hex", (HEX,))).otherwise(scrambled(m, key, "secret"))
+    """Hex digits stay hex digits, and other texts do not become such."""
+    only = "^[0-9a-f]+$"
+    other = walked(m, lambda x: scrambled(x, key, "secret"), lambda x: ~x.rlike(only), 64)
+    return F.when(m.rlike(only), scrambled(m, key, "hex", (HEX,))).otherwise(other)
 
 
 def _access_key(m: Column, key: str) -> Column:
@@ -319,7 +347,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(is_(ACCESS_KEY), _access_key(m, key))
         .when(is_(IBAN) & ~m.rlike("^[0-9]"), _iban(m, key))
         .when(is_(ISO_DATE), F.coalesce(_date(m, "yyyy-MM-dd", key), m))
-        .when(is_(SLASH_DATE), F.coalesce(_date(m, "MM/dd/yyyy", key), _date(m, "dd/MM/yyyy", key), m))
+        .when(is_(SLASH_DATE), F.coalesce(_date(m, "MM/dd/yyyy", key), _date(m, "dd/MM/yyyy", key, 12), m))
         .when(is_(DOT_DATE), F.coalesce(_date(m, "dd.MM.yyyy", key), m))
         .when(is_(IPV4), _ipv4(m, key))
         .when(is_(SSN), _ssn(m, key))
@@ -379,3 +407,15 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     not change, so n_chars stays right.
     """
     return docs.withColumn("text", pseudonymised(F.col("text"), key))
+
+
+#: The setting that holds the secret of the pseudonyms.
+KEY_SETTING = "spark.passbook.pii.key"
+_KEYS: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The secret that the session was given as ``spark.passbook.pii.key``. Without one, it is
+    drawn for this application: pseudonyms are then linked inside it only, and by nobody else."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))

@@ -50,7 +50,7 @@ PII_KEY = "passbook"
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with pseudonyms for personal data."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
