@@ -6,7 +6,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from passbook.llm import minhash, mixing, packing, pii, quality
-from passbook.llm.queries import PII_KEY
 from passbook.session import saved, shared_dir
 
 
@@ -22,7 +21,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data."""
-    return pii.pseudonymise(docs, PII_KEY)
+    return pii.pseudonymise(docs, pii.session_key(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
