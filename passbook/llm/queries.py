@@ -44,10 +44,6 @@ def op3_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-#: A real run brings its own secret.
-PII_KEY = "passbook"
-
-
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with pseudonyms for personal data."""
     return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.session_key(spark))
