@@ -60,7 +60,6 @@ def test_quality_held_out(spark, sf_dir):
 
 def test_packing(spark, sf_dir, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want = {}
     for r in rows:
         ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0]
@@ -101,7 +100,6 @@ def test_plan_places_each_piece_once():
 
 def test_token_files(spark, sf_dir, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     found = {r.doc_id: r for r in queries.op7_token_files(spark, sf_dir).collect()}
     at = 0
     for r in rows:
