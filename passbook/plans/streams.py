@@ -65,7 +65,7 @@ def stream_dedup_redelivery(spark: SparkSession, d: str) -> DataFrame:
 def _published(spark: SparkSession, log: DataFrame, folder: str) -> None:
     """Add the log to the one topic partition in ``folder``, in files that many tasks wrote."""
     numbers = sinks.numbered(log, "accounts", 1)
-    numbers.repartition(8, "seq").write.mode("append").parquet(f"{folder}/topic")
+    numbers.repartition(4, "seq").write.mode("append").parquet(f"{folder}/topic")
 
 
 def _consumed(spark: SparkSession, folder: str, checkpoint: str | None = None) -> None:
