@@ -7,8 +7,9 @@ table, the cells whose axes are nearest to it, and all vectors of those cells ar
 exactly, and more cells while these hold too few. Vectors of any length are searched by inner
 product: they are hashed by direction, in bands of similar length that are searched each.
 
-A cell is dealt in chunks of bounded size, and its queries go to each of them. What comes back
-from a chunk is a query's few best classes.
+A cell is dealt in chunks of bounded size, and the queries that visit it, which are counted, in
+parts of bounded size; each part meets each chunk. What comes back from a chunk is a query's few
+best classes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.llm import arrays
@@ -30,8 +31,10 @@ TABLES, PROBES, FINE_PROBES = 8, 20, 80
 CELL_ROWS, CHUNK_ROWS = 4096, 4096
 #: A query goes on to further cells until a table's hold this many times k classes.
 ENOUGH = 20
-#: Queries that share the chunks of a cell in a small band.
+#: Queries in a part of those that visit a cell.
 QUERY_ROWS = 16384
+#: Costs of cells that a task holds at a time.
+COSTS = 1 << 22
 #: Lengths of a band are within this factor.
 BAND = 1.1
 #: Seed of the signs.
@@ -93,13 +96,18 @@ def visited(cost: np.ndarray, held: np.ndarray, n: int, enough: int) -> tuple[np
     return np.concatenate(rows), np.concatenate(found)
 
 
-def units(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
-    """Parts of a batch with vectors of one length: the part, the length, directions, bands."""
+def units(whole: pa.RecordBatch, axes: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Parts of a batch with vectors of one length: the part, the length, directions, bands.
+
+    The more cells, the fewer rows a part has.
+    """
     dims = np.asarray(pa.compute.list_value_length(whole.column("v")))
     for dim in np.unique(dims).tolist():
         batch = whole.filter(pa.array(dims == dim))
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        cells = (2 << max(0, dim - 1).bit_length()) * max(1, 2 * axes)
+        step = min(512, max(1, COSTS // cells))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
             rows = np.asarray(part.column("v").flatten(), float).reshape(-1, dim)
             most = np.abs(rows).max(axis=1, keepdims=True)
             rows = rows / most
@@ -113,7 +121,7 @@ def placed_in(known: DataFrame, axes: int) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part, dim, unit, band in units(whole):
+            for part, dim, unit, band in units(whole, axes):
                 for table in range(TABLES):
                     cell = costs(axis_values(unit, table, axes)).argmin(axis=1)
                     yield pa.record_batch(
@@ -135,8 +143,8 @@ def placed_in(known: DataFrame, axes: int) -> DataFrame:
 
 
 def probed(asking: DataFrame, sizes: DataFrame, axes: int, n: int, enough: int) -> DataFrame:
-    """(cid, tab, cell, dim, band, v) for each cell that a query visits, of ``n`` and further
-    ones in each table and band until there are ``enough`` classes.
+    """(cid, tab, dim, band, cells, v) with the cells that a query visits in each table and band:
+    ``n``, and further ones until there are ``enough`` classes.
 
     ``sizes`` (dim, band, tab, cell, n) go to all tasks, at most cells x tables x bands rows.
     """
@@ -148,28 +156,30 @@ def probed(asking: DataFrame, sizes: DataFrame, axes: int, n: int, enough: int)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part, dim, unit, _ in units(whole):
+            for part, dim, unit, _ in units(whole, axes):
                 for table in range(TABLES):
                     cost = costs(axis_values(unit, table, axes))
                     for band, (cell, count) in shared.value[dim].get(table, {}).items():
                         of_cell = np.zeros(cost.shape[1], np.int64)
                         of_cell[cell] = count
                         rows, near = visited(cost, of_cell, n, enough)
-                        pick = pa.array(rows)
+                        near = near[np.argsort(rows, kind="stable")]
+                        counts = np.bincount(rows, minlength=len(unit))
+                        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                         yield pa.record_batch(
                             [
-                                part.column("cid").take(pick),
-                                pa.array(np.full(len(rows), table, np.int32)),
-                                pa.array(near.astype(np.int64)),
-                                pa.array(np.full(len(rows), dim, np.int32)),
-                                pa.array(np.full(len(rows), band, np.int32)),
-                                part.column("v").take(pick),
+                                part.column("cid"),
+                                pa.array(np.full(len(unit), table, np.int32)),
+                                pa.array(np.full(len(unit), dim, np.int32)),
+                                pa.array(np.full(len(unit), band, np.int32)),
+                                pa.ListArray.from_arrays(pa.array(ends), pa.array(near.astype(np.int64))),
+                                part.column("v"),
                             ],
-                            names=["cid", "tab", "cell", "dim", "band", "v"],
+                            names=["cid", "tab", "dim", "band", "cells", "v"],
                         )
 
     return asking.select("cid", "v").mapInArrow(
-        spread, "cid long, tab int, cell long, dim int, band int, v array<double>"
+        spread, "cid long, tab int, dim int, band int, cells array<long>, v array<double>"
     )
 
 
@@ -198,27 +208,29 @@ def nearest(rows: DataFrame, chosen: Column, k: int = 20) -> DataFrame:
         axes = max(2, 2 * axes)
     placed = saved(placed_in(known, axes), shared_dir(spark, "cells"))
     asking = known.join(asked.select("cid").distinct(), "cid")
-    n_asking, enough = asking.count(), ENOUGH * k
+    enough = ENOUGH * k
     where = ["dim", "band", "tab", "cell"]
     # A band that holds no more than enough is one cell of one table.
     in_bands = placed.where("tab = 0").groupBy("dim", "band").agg(F.count("*").alias("in_band"))
     placed = placed.join(in_bands, ["dim", "band"]).where((F.col("in_band") > enough) | (F.col("tab") == 0))
     placed = placed.withColumn("cell", F.when(F.col("in_band") > enough, F.col("cell")).otherwise(0)).drop("in_band")
-    sizes = placed.groupBy(*where).agg(F.count("*").alias("n"))
-    # The fewer classes a band has, the more queries visit each of its cells.
-    in_band = F.sum("n").over(Window.partitionBy("dim", "band", "tab"))
-    asked_here = F.least(F.lit(1.0), F.lit(enough) / in_band) * n_asking
-    sizes = sizes.withColumn("parts", F.greatest(F.lit(1), F.ceil(asked_here / QUERY_ROWS)).cast("int"))
-    sizes = sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK_ROWS).cast("int"))
-    sizes = saved(sizes, shared_dir(spark, "cell-sizes"))
-    dealt = sizes.drop("n")
+    sizes = saved(placed.groupBy(*where).agg(F.count("*").alias("n")), shared_dir(spark, "cell-sizes"))
+    probes = saved(probed(asking, sizes, axes, FINE_PROBES if axes else PROBES, enough), shared_dir(spark, "probes"))
+    visits = probes.select("dim", "band", "tab", F.explode("cells").alias("cell")).groupBy(*where)
+    # Cells without a visit meet no query.
+    dealt = sizes.join(visits.agg(F.count("*").alias("asked")), where).select(
+        *where,
+        F.ceil(F.col("asked") / QUERY_ROWS).cast("int").alias("parts"),
+        F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("chunks"),
+    )
+    dealt = saved(dealt, shared_dir(spark, "dealt"))
 
     def shares(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     members = placed.join(dealt, where).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     members = members.withColumn("part", shares("parts"))
-    probes = probed(asking, sizes, axes, FINE_PROBES if axes else PROBES, enough).join(dealt, where)
+    probes = probes.withColumn("cell", F.explode("cells")).drop("cells").join(dealt, where)
     probes = probes.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "cid"), F.col("parts")).cast("int"))
     probes = probes.withColumn("chunk", shares("chunks"))
     most = k + 1
