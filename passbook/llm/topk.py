@@ -14,6 +14,8 @@ whole numbers, and all sums are exact.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,10 +26,12 @@ from passbook.session import saved, shared_dir
 
 #: Lists that the components are cut into.
 LISTS = 2
-#: Vectors and queries in a block.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+#: Vectors and queries in a block, and queries of a block that are scored at a time. A vector is
+#: sent to each block of queries once.
+BLOCK_ROWS, BLOCK_QUERIES, SLICE = 4096, 4096, 256
 
 HITS = "qid long, cids array<long>, firsts array<long>, score array<long>"
+FOUND = "qid long, cids array<long>"
 
 
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -60,6 +64,13 @@ def _none() -> pa.Table:
     return _lists([], [], [], [], [])
 
 
+def _slices(left: pa.Table, y: np.ndarray):
+    """Scores of a block, some queries at a time: place of the first query, score matrix."""
+    x = _matrix(left["v"])
+    for at in range(0, len(x), SLICE):
+        yield at, products(x[at : at + SLICE], y)
+
+
 def _best_parts(most: int):
     """Phase 1: of a block's parts, the ``most`` highest for each query."""
 
@@ -67,10 +78,12 @@ def _best_parts(most: int):
         if not left.num_rows or not right.num_rows:
             return _none()
         cid, first = np.asarray(right["cid"]), np.asarray(right["first"])
-        score = products(_matrix(left["v"]), _matrix(right["v"]))
         n = min(most, len(cid))
-        pick = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        value = np.take_along_axis(score, pick, axis=1)
+        picks, values = [], []
+        for _, score in _slices(left, _matrix(right["v"])):
+            picks.append(np.argpartition(-score, n - 1, axis=1)[:, :n])
+            values.append(np.take_along_axis(score, picks[-1], axis=1))
+        pick, value = np.concatenate(picks), np.concatenate(values)
         return _lists(left["cid"], np.full(len(pick), n), cid[pick].ravel(), first[pick].ravel(), value.ravel())
 
     return report
@@ -81,13 +94,17 @@ def _sufficient(lists: int):
 
     def report(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _none()
-        cid, first = np.asarray(right["cid"]), np.asarray(right["first"])
-        score = products(_matrix(left["v"]), _matrix(right["v"]))
+            return _none().select(["qid", "cids"])
+        cid = np.asarray(right["cid"])
         share = -(-np.asarray(left["cutoff"], np.int64) // min(lists, left["dim"][0].as_py()))
-        q, at = np.nonzero(score >= share[:, None])
-        counts = np.bincount(q, minlength=left.num_rows)
-        return _lists(left["cid"], counts, cid[at], first[at], score[q, at])
+        counts, found = [], []
+        for at, score in _slices(left, _matrix(right["v"])):
+            enough = score >= share[at : at + SLICE, None]
+            counts.append(enough.sum(axis=1))
+            found.append(cid[np.nonzero(enough)[1]])
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32))
+        lists_found = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+        return pa.table({"qid": left["cid"], "cids": lists_found})
 
     return report
 
@@ -160,8 +177,8 @@ def top(rows: DataFrame, chosen: Column, k: int = 5, scale: int = 256) -> DataFr
 
     where = ["dim", "block", "query_block"]
 
-    def met(left: DataFrame, right: DataFrame, keys: list[str], report) -> DataFrame:
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(report, HITS)
+    def met(left: DataFrame, right: DataFrame, keys: list[str], report, out: str = HITS) -> DataFrame:
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(report, out)
 
     in_lists = [*where, "list"]
     first_lists = met(cut(queries), cut(members), in_lists, _best_parts(most))
@@ -170,15 +187,19 @@ def top(rows: DataFrame, chosen: Column, k: int = 5, scale: int = 256) -> DataFr
     )
     of_query = asking.select(F.col("cid").alias("qid"), F.col("v").alias("q"))
     total = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    totals = seen.join(of_query, "qid").join(known.select("cid", "v"), "cid").select("qid", total.alias("score"))
+    totals = seen.join(of_query, "qid").join(known.select("cid", "v"), "cid").select("qid", "cid", total.alias("score"))
     # The k-th best of what was seen, or nothing to go by where less was seen.
-    found = F.sort_array(F.collect_list("score"), asc=False)
+    # Found in shares first, as the scores that were seen grow in number with the blocks.
+    shares = max(1, math.isqrt(n_blocks))
+    found = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, most)
+    totals = totals.groupBy("qid", F.pmod(F.xxhash64("cid"), F.lit(shares)).alias("share")).agg(found.alias("score"))
+    totals = totals.select("qid", F.explode("score").alias("score"))
     cutoff = F.when(F.size("s") >= most, F.element_at("s", F.least(F.lit(most), F.size("s"))))
     cutoffs = totals.groupBy("qid").agg(found.alias("s")).select(
         F.col("qid").alias("cid"), F.coalesce(cutoff, F.lit(-(1 << 62))).alias("cutoff")
     )
     cutoffs = saved(cutoffs, shared_dir(spark, "cutoffs"))
-    reported = met(cut(queries.join(cutoffs, "cid")), cut(members), in_lists, _sufficient(LISTS))
+    reported = met(cut(queries.join(cutoffs, "cid")), cut(members), in_lists, _sufficient(LISTS), FOUND)
     each = reported.select("qid", F.explode("cids").alias("cid")).distinct()
     wanted = each.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(n_blocks)).cast("int"))
     wanted = wanted.groupBy("qid", "block").agg(F.collect_list("cid").alias("cids"))

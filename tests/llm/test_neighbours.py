@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.llm import ann, queries
+from passbook.llm import ann, queries, topk
+from passbook.session import saved
 
 
 def found_by(spark, ids, v, step):
@@ -68,3 +69,40 @@ def test_one_outlier(spark, given, times):
 def test_spread_lengths(spark, given):
     ids, v = given
     assert recall(spark, ids, v * np.exp(np.random.default_rng(3).normal(scale=0.3, size=(len(v), 1)))) >= 0.9
+
+
+def test_queries_of_a_hot_cell_are_dealt(spark, monkeypatch):
+    """Vectors around one direction fall into one cell, and all queries visit it."""
+    stored = {}
+
+    def keep(frame, path, *args, **kwargs):
+        stored[path.rsplit("/", 1)[-1].split("-")[1]] = out = saved(frame, path, *args, **kwargs)
+        return out
+
+    monkeypatch.setattr(ann, "saved", keep)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 100)
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 300)
+    draw = np.random.default_rng(11)
+    v = draw.normal(size=64) + 0.05 * draw.normal(size=(1500, 64))
+    ids = np.arange(1500)
+    found = found_by(spark, ids, v, 2)
+    right = [len(set(found[i]) & set(wanted(ids, v, i))) / 20 for i in range(0, 1500, 50)]
+    assert np.mean(right) >= 0.9
+    asked = stored["probes"].select("dim", "band", "tab", F.explode("cells").alias("cell")).groupBy("dim", "band", "tab", "cell").count()
+    dealt = stored["dealt"].join(asked, ["dim", "band", "tab", "cell"]).collect()
+    assert max(r["count"] for r in dealt) > 500
+    assert all(r["count"] <= 100 * r.parts for r in dealt)
+
+
+def test_exact_search_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 300)
+    v = np.random.default_rng(12).integers(-40, 40, size=(900, 6))
+    ids = np.arange(900)
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v.astype(float), strict=True)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in topk.top(rows, F.col("vec_id") % 2 == 0, 7, scale=1).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    assert len(found) == 450
+    for i in range(0, 900, 2):
+        assert found[i] == [(j, int(v[j] @ v[i])) for j in wanted(ids, v, i, 7)]
