@@ -1,6 +1,7 @@
 """Column expressions over event rows."""
 
 from passbook.functions.codec import decode_body, encode_body, register_kind
+from passbook.functions.containment import contains
 from passbook.functions.ids import (
     account_uuid,
     idempotency_key,
@@ -13,6 +14,7 @@ from passbook.functions.money import disabled_reason, failure_reason, signed_mon
 
 __all__ = [
     "account_uuid",
+    "contains",
     "decode_body",
     "disabled_reason",
     "encode_body",

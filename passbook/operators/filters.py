@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passbook.functions.containment import contains
 from passbook.functions.ids import is_canonical_uuid
 from passbook.functions.money import disabled_reason
 from passbook.schema import ACCOUNT, EVENT_BODIES, OPEN, REACTOR_KINDS, TERMINAL_KINDS
@@ -88,5 +91,11 @@ def by_label(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(F.get_json_object("labels", f"$.{key}") == value)
 
 
+def holding(df: DataFrame, **wanted: Any) -> DataFrame:
+    """Rows whose JSON columns hold the given values, as ``contains`` tells: keys at any depth,
+    elements of lists, all at once."""
+    return df.where(reduce(Column.__and__, [contains(c, value) for c, value in wanted.items()], F.lit(True)))
+
+
 def bad_ids(df: DataFrame, column: str = "aggregate_id") -> DataFrame:
     return df.where(~is_canonical_uuid(column))

@@ -17,6 +17,7 @@ from passbook.schema import (
     EVENT_BODIES,
     LIST_PAGE,
     MONEY_KINDS,
+    NIL_UUID,
     OPEN,
     PROJECTED_KINDS,
     REACTOR_KINDS,
@@ -335,6 +336,13 @@ def filter_by_label(spark: SparkSession, d: str) -> DataFrame:
     return filters.by_label(canonical.raw_log(spark, d), "topic", "transaction").select("id", "kind")
 
 
+def filter_by_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers from outside, by what their labels and bodies hold."""
+    raw = canonical.raw_log(spark, d)
+    found = filters.holding(raw, labels={"topic": "transaction"}, body={"from": NIL_UUID})
+    return found.select("id", "kind")
+
+
 def project_account_view(spark: SparkSession, d: str) -> DataFrame:
     return views.account_view(account_states(spark, d))
 
@@ -828,6 +836,7 @@ QUERIES = {
         filter_open_accounts,
         filter_sufficient_funds,
         filter_by_label,
+        filter_by_containment,
         project_account_view,
         project_search_hits,
         project_transaction_view,

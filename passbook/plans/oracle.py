@@ -280,6 +280,10 @@ ORACLE: dict[str, str] = {
     "filter_by_label": on_log(
         "SELECT 'ev-' || seq AS id, kind FROM ev WHERE aggregate_kind = 'Transaction'"
     ),
+    "filter_by_containment": on_log(
+        f"""SELECT 'ev-' || seq AS id, kind FROM ev WHERE aggregate_kind = 'Transaction'
+        AND json_contains(CAST({BODY} AS JSON), '{{"from":"' || {NIL} || '"}}')"""
+    ),
     "project_account_view": on_log("SELECT owner, balance, status FROM acct", ACC),
     "project_search_hits": _STREAM_BAL,
     "project_transaction_view": on_log(

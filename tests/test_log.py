@@ -1,15 +1,18 @@
 """Codec, running values, folds, joins, sinks and checks on small hand-made logs."""
 
+import json
 import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passbook import functions as fn
 from passbook.functions import ids as ids_module
 from passbook.functions.codec import encode_body
+from passbook.functions.containment import contains
 from passbook.operators import bloom, checks, filters, folds, joins, scans, sinks, views
 from passbook.plans.batch import covered_balance
 from passbook.schema import NIL_UUID
@@ -407,3 +410,51 @@ def test_history_that_meets_no_key_is_left_out(spark):
     assert bloom.only_met(stored, batch.limit(0), "idempotency_key").count() == 0
     for most in (10, 1000):
         assert sorted(r.seq for r in joins.new_keys(batch, stored, most).collect()) == list(range(20_000, 20_300))
+
+
+def held(value, wanted, top=True):
+    """Containment of parsed JSON, by its definition."""
+    if isinstance(wanted, dict):
+        return isinstance(value, dict) and all(k in value and held(value[k], w, False) for k, w in wanted.items())
+    if isinstance(wanted, list):
+        return isinstance(value, list) and all(any(held(v, w, False) for v in value) for w in wanted)
+    if top and isinstance(value, list):
+        return any(held(v, wanted, False) for v in value)
+    return type(value) in ((int, float) if type(wanted) in (int, float) else (type(wanted),)) and value == wanted
+
+
+def test_containment_by_definition(spark):
+    draw = random.Random(7)
+
+    def drawn(depth):
+        plain = [None, True, False, 1, 0, 2.5, -3, 10**19, 10**25, 1e-7, "1", "a", "", "é'\"\\"]
+        kind = draw.randrange(6) if depth else 0
+        if kind in (1, 2):
+            return {draw.choice(["a", "b", "c d", "it's", "x.y", "z[0]"]): drawn(depth - 1) for _ in range(draw.randrange(4))}
+        if kind in (3, 4):
+            return [drawn(depth - 1) for _ in range(draw.randrange(4))]
+        return draw.choice(plain)
+
+    values = [drawn(3) for _ in range(400)]
+    parts = [v[k] for v in values if isinstance(v, dict) for k in v]
+    wanted = [drawn(2) for _ in range(12)] + [{"a": {}}, {"a": [1]}, [], {}, [[]], 1.0, {"it's": 1}, *draw.sample(parts, 6)]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string").cache()
+    hits = 0
+    for w in wanted:
+        found = {r.i for r in rows.where(contains("j", w)).select("i").collect()}
+        assert found == {i for i, v in enumerate(values) if held(v, w)}, w
+        hits += len(found)
+    assert hits > 200
+    assert rows.select(contains(F.lit("{no json"), {}).alias("x")).distinct().collect() == [Row(x=False)]
+    assert rows.select(contains(F.lit(None).cast("string"), {}).alias("x")).distinct().collect() == [Row(x=False)]
+    with pytest.raises(ValueError, match="quotes"):
+        contains("j", {"it's \"x\"": 1})
+
+
+def test_rows_that_hold_values_in_two_columns(spark):
+    rows = spark.createDataFrame(
+        [(1, '{"topic":"a","tags":["x","y"]}', '{"n":1}'), (2, '{"topic":"a","tags":["x"]}', '{"n":1}'), (3, '{"topic":"a","tags":["y","x"]}', None)],
+        "i int, labels string, body string",
+    )
+    assert [r.i for r in filters.holding(rows, labels={"tags": ["y", "x"]}, body={"n": 1}).collect()] == [1]
+    assert {r.i for r in filters.holding(rows, labels={"topic": "a"}).collect()} == {1, 2, 3}
