@@ -2,7 +2,9 @@
 
 State lives in RocksDB, so it may outgrow the memory of an executor. Its keys are dealt over
 the shuffle partitions; an account or topic partition that holds many of the rows is split
-into shares or cells, and rows are worked off in Arrow batches, never a group at once.
+into shares or cells, and rows are worked off in Arrow batches, never a group at once. Each
+key of state costs calls between Python and the engine, so accounts are held in groups, many to a
+key.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 CELL = 1 << 16
 #: Shares that the rows of one account are dealt to.
 SHARES = 16
+#: Accounts of the history in a group, and the fewest groups.
+ACCOUNTS, MIN_GROUPS = 1 << 10, 1 << 8
 
 _S, _L, _B = T.StringType(), T.LongType(), T.BooleanType()
 
@@ -133,36 +137,64 @@ LIVE_ROWS = T.StructType(
 )
 
 
+#: Events of a group, and its accounts column by column.
+LIVE_STATE = T.StructType(
+    [
+        T.StructField("version", _L),
+        T.StructField("ids", T.ArrayType(_S)),
+        *(T.StructField(name, T.ArrayType(_L)) for name in ("versions", "sequences", "balances")),
+        T.StructField("owners", T.ArrayType(_S)),
+    ]
+)
+
+
+def _text(value: object) -> str | None:
+    """A string of a pandas column, in which null may be a number."""
+    return value if isinstance(value, str) else None
+
+
 class RunningBalance(StatefulProcessor):
-    """Adds events to the balance of an account's share, from the history's on."""
+    """Adds events to the balances of a group's accounts, in one share, from the history's on."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", T.StructType(LIVE_ROWS.fields[2:]))
+        self.state = handle.getValueState("state", LIVE_STATE)
+
+    def _held(self) -> dict[str | None, tuple]:
+        held = self.state.get()
+        return {account: tuple(row) for account, *row in zip(*held[1:], strict=True)} if held else {}
+
+    def _hold(self, accounts: dict[str | None, tuple]) -> None:
+        columns = [list(c) for c in zip(*accounts.values(), strict=True)]
+        self.state.update((sum(columns[0]), list(accounts), *columns))
 
     def handleInitialState(self, key, initialState, timerValues):
-        row = initialState.iloc[0]
-        owner = row["owner"] if isinstance(row["owner"], str) else None
-        self.state.update((int(row["version"]), int(row["sequence"]), int(row["balance"]), owner))
+        if not len(initialState):
+            return
+        accounts = self._held()
+        columns = (initialState[c].tolist() for c in LIVE_ROWS.names if c != "share")
+        for account, version, sequence, balance, owner in zip(*columns, strict=True):
+            accounts[_text(account)] = (int(version), int(sequence), int(balance), _text(owner))
+        self._hold(accounts)
 
     def handleInputRows(self, key, rows, timerValues):
-        version, sequence, balance, owner = self.state.get() if self.state.exists() else (0, 0, 0, None)
+        accounts, changed = self._held(), {}
         for batch in rows:
-            version += len(batch)
-            sequence = max(sequence, int(batch["seq"].max()))
-            balance += int(batch["amount"].sum())
-            named = batch["owner"].dropna()
-            owner = named.max() if len(named) else owner
-        self.state.update((version, sequence, balance, owner))
-        yield pd.DataFrame(
-            {
-                "id": [key[0]],
-                "share": [key[1]],
-                "version": [version],
-                "sequence": [sequence],
-                "balance": [balance],
-                "owner": [owner],
-            }
-        )
+            columns = (batch[c].tolist() for c in ("id", "seq", "amount", "owner"))
+            for account, seq, amount, owner in zip(*columns, strict=True):
+                account, owner = _text(account), _text(owner)
+                version, sequence, balance, held = accounts.get(account, (0, 0, 0, None))
+                named = changed.get(account)
+                if owner is not None:
+                    named = owner if named is None else max(named, owner)
+                changed[account] = named
+                accounts[account] = (version + 1, max(sequence, seq), balance + amount, held)
+        for account, named in changed.items():
+            if named is not None:
+                accounts[account] = (*accounts[account][:3], named)
+        self._hold(accounts)
+        values = zip(*(accounts[account] for account in changed), strict=True)
+        out = dict(zip(("version", "sequence", "balance", "owner"), values, strict=True))
+        yield pd.DataFrame({"id": list(changed), "share": key[1]} | out)
 
     def close(self) -> None:
         pass
@@ -182,7 +214,7 @@ def catch_up_then_live(
     The history is folded as a batch and handed to the stream as its first state; it does not
     go through the stream. Live events up to the history's last position are dropped, later
     ones are added, so the feed may overlap the history. A restart goes on from the checkpoint
-    and takes the folded history as it was stored by the first start.
+    and takes the folded history as it was stored by the first start, and so the same groups.
     """
     spark = stream.sparkSession
     table = BatchTable(spark, f"{folder}/{name}", LIVE_ROWS, _newest_share).create()
@@ -190,7 +222,7 @@ def catch_up_then_live(
     if not start._batches():
         applied = history.where(F.col("kind").isin(*PROJECTED_KINDS))
         folded = applied.groupBy(F.col("aggregate_id").alias("id")).agg(
-            F.lit(0).cast("long").alias("share"),
+            F.pmod(F.xxhash64("aggregate_id"), F.lit(shares)).alias("share"),
             F.count("*").alias("version"),
             F.max("seq").alias("sequence"),
             F.sum(signed_money()).alias("balance"),
@@ -198,20 +230,23 @@ def catch_up_then_live(
         )
         start.write(folded, 0)
     first = start.read().select(*LIVE_ROWS.names)
-    mark = first.agg(F.max("sequence")).first()[0]
+    mark, accounts = first.agg(F.max("sequence"), F.count("*")).first()
+    group = F.pmod(F.xxhash64("id"), F.lit(max(MIN_GROUPS, -(-accounts // ACCOUNTS)))).alias("group")
     # A null mark, with no history, lets all rows pass.
     live = stream.where(F.col("kind").isin(*PROJECTED_KINDS) & F.coalesce(F.col("seq") > F.lit(mark), F.lit(True)))
     rows = live.select(
         F.col("aggregate_id").alias("id"),
         F.pmod(F.xxhash64("seq"), F.lit(shares)).alias("share"),
-        "seq",
+        F.coalesce("seq", F.lit(-(2**63))).alias("seq"),
         F.coalesce(signed_money(), F.lit(0)).alias("amount"),
         F.when(F.col("kind") == "AccountCreated", F.col("owner")).alias("owner"),
     )
 
+    begun = first.withColumn("balance", F.coalesce("balance", F.lit(0)))
+
     def running(df: DataFrame) -> DataFrame:
-        return df.groupBy("id", "share").transformWithStateInPandas(
-            RunningBalance(), LIVE_ROWS, "Update", "None", initialState=first.groupBy("id", "share")
+        return df.select(group, "*").groupBy("group", "share").transformWithStateInPandas(
+            RunningBalance(), LIVE_ROWS, "Update", "None", initialState=begun.select(group, "*").groupBy("group", "share")
         )
 
     with on_rocksdb(spark):

@@ -353,3 +353,17 @@ def test_overdue_by_the_clock(spark):
     finally:
         query.stop()
     assert {r.id for r in stateful.read_overdue(spark, folder).collect()} == {"t1", "t3", "t5"}
+
+
+def test_state_of_live_accounts_is_a_row_a_group(spark, monkeypatch):
+    """Accounts of the history, new ones, and rows without an owner, in fewer groups than accounts."""
+    monkeypatch.setattr(stateful, "MIN_GROUPS", 2)
+    monkeypatch.setattr(stateful, "ACCOUNTS", 40)
+    log = ledger(spark, 1500, keys=200)
+    folder = shared_dir(spark, "test")
+    history = log.where("seq < 100")
+    for part in (log.where("seq >= 50 and seq < 700"), log.where("seq >= 700")):
+        p.until_caught_up(stateful.catch_up_then_live(history, feed(spark, folder, part), folder, shares=2))
+    assert documents(stateful.read_live(spark, folder)) == documents(folds.fold_balance_projection(log))
+    state = stateful.state_rows(spark, folder, "live", "state").select("key.*", "value.*").collect()
+    assert len(state) <= 6 and sum(r.version for r in state) == log.where("kind <> 'OwnerUpdated'").count()
