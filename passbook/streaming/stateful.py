@@ -3,8 +3,8 @@
 State lives in RocksDB, so it may outgrow the memory of an executor. Its keys are dealt over
 the shuffle partitions; an account or topic partition that holds many of the rows is split
 into shares or cells, and rows are worked off in Arrow batches, never a group at once. Each
-key of state costs calls between Python and the engine, so accounts are held in groups, many to a
-key.
+key of state costs calls between Python and the engine, so accounts and transfers are held
+in groups, many to a key.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CELL = 1 << 16
 SHARES = 16
 #: Accounts of the history in a group, and the fewest groups.
 ACCOUNTS, MIN_GROUPS = 1 << 10, 1 << 8
+#: Groups of transfers that wait for their end.
+GROUPS = 1 << 13
 
 _S, _L, _B = T.StringType(), T.LongType(), T.BooleanType()
 
@@ -275,35 +277,84 @@ def read_live(spark: SparkSession, folder: str, name: str = "live") -> DataFrame
 OVERDUE_ROWS = T.StructType([T.StructField("id", _S), T.StructField("since", T.TimestampType())])
 
 
+#: Transfers of a group column by column, and the timer of the group. ``due`` is null for
+#: those that ended or were reported.
+WAITING = T.StructType(
+    [
+        T.StructField("ids", T.ArrayType(_S)),
+        T.StructField("since", T.ArrayType(_L)),
+        T.StructField("due", T.ArrayType(_L)),
+        T.StructField("ended", T.ArrayType(_B)),
+        T.StructField("timer", _L),
+    ]
+)
+
+
 class Overdue(StatefulProcessor):
-    """Reports a transfer that has not ended ``limit_ms`` after it was requested."""
+    """Reports the transfers of a group that have not ended ``limit_ms`` after they were requested.
+
+    A group has one timer, for the first of its transfers that is due.
+    """
 
     def __init__(self, limit_ms: int, by_event_time: bool) -> None:
         self.limit_ms, self.by_event_time = limit_ms, by_event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", T.StructType([T.StructField("since", _L), T.StructField("ended", _B)]))
+        self.state = handle.getValueState("state", WAITING)
+
+    def _held(self) -> tuple[dict[str | None, tuple], int | None]:
+        held = self.state.get()
+        if not held:
+            return {}, None
+        return {transfer: tuple(row) for transfer, *row in zip(*held[:4], strict=True)}, held[4]
+
+    def _hold(self, transfers: dict[str | None, tuple], timer: int | None) -> None:
+        first = min((due for _, due, _ in transfers.values() if due is not None), default=None)
+        if first is not None and (timer is None or first < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        columns = [list(c) for c in zip(*transfers.values(), strict=True)] or [[], [], []]
+        self.state.update((list(transfers), *columns, timer))
 
     def handleInputRows(self, key, rows, timerValues):
-        since, ended = self.state.get() if self.state.exists() else (None, False)
+        transfers, timer = self._held()
+        asked, ended, unseen = {}, set(), (None, None, False)
         for batch in rows:
-            ended = ended or bool(batch["ends"].any())
-            asked = batch.loc[~batch["ends"], "at_ms"]
-            if since is None and len(asked):
-                since = int(asked.min())
-                start = since if self.by_event_time else timerValues.getCurrentProcessingTimeInMs()
-                self.handle.registerTimer(start + self.limit_ms)
-        if ended:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        self.state.update((since, ended))
+            columns = (batch[c].tolist() for c in ("id", "at_ms", "ends"))
+            for transfer, at, ends in zip(*columns, strict=True):
+                transfer = _text(transfer)
+                if ends:
+                    ended.add(transfer)
+                elif pd.notna(at):
+                    asked[transfer] = min(asked.get(transfer, at), at)
+        now = None if self.by_event_time else timerValues.getCurrentProcessingTimeInMs()
+        for transfer, at in asked.items():
+            since, _, over = transfers.get(transfer, unseen)
+            if since is None:
+                since = int(at)
+                start = since if self.by_event_time else now
+                transfers[transfer] = (since, None if over else start + self.limit_ms, over)
+        for transfer in ended:
+            transfers[transfer] = (transfers.get(transfer, unseen)[0], None, True)
+        self._hold(transfers, timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        since, ended = self.state.get()
-        if not ended:
-            yield pd.DataFrame({"id": [key[0]], "since": pd.to_datetime([since], unit="ms", utc=True)})
+        transfers, _ = self._held()
+        if self.by_event_time:
+            now = timerValues.getCurrentWatermarkInMs()
+        else:
+            now = timerValues.getCurrentProcessingTimeInMs()
+        # As the engine does with timers, which are up at this time.
+        late = {transfer: row[0] for transfer, row in transfers.items() if row[1] is not None and row[1] <= now}
+        for transfer, since in late.items():
+            transfers[transfer] = (since, None, False)
+        self._hold(transfers, None)
+        if late:
+            yield pd.DataFrame({"id": list(late), "since": pd.to_datetime(list(late.values()), unit="ms", utc=True)})
 
     def close(self) -> None:
         pass
@@ -316,11 +367,13 @@ def overdue_transactions(
     name: str = "overdue",
     watermark: str | None = "0 seconds",
     every: str | None = None,
+    groups: int = GROUPS,
 ) -> StreamingQuery:
     """Transfers still PENDING ``limit_ms`` after they were requested, each once.
 
     With ``watermark``, how late rows may come, time is that of the log (``created_at``);
-    without one it is the clock, and a transfer is reported while the query runs.
+    without one it is the clock, and a transfer is reported while the query runs. State is
+    one row for each of ``groups``, which a checkpoint keeps to.
     """
     spark = stream.sparkSession
     table = BatchTable(spark, f"{folder}/{name}", OVERDUE_ROWS).create()
@@ -335,7 +388,7 @@ def overdue_transactions(
 
     def timed(df: DataFrame) -> DataFrame:
         mode = "EventTime" if watermark else "ProcessingTime"
-        return df.groupBy("id").transformWithStateInPandas(
+        return df.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"), "*").groupBy("group").transformWithStateInPandas(
             Overdue(limit_ms, bool(watermark)), OVERDUE_ROWS, "Append", mode
         )
 

@@ -367,3 +367,21 @@ def test_state_of_live_accounts_is_a_row_a_group(spark, monkeypatch):
     assert documents(stateful.read_live(spark, folder)) == documents(folds.fold_balance_projection(log))
     state = stateful.state_rows(spark, folder, "live", "state").select("key.*", "value.*").collect()
     assert len(state) <= 6 and sum(r.version for r in state) == log.where("kind <> 'OwnerUpdated'").count()
+
+
+def test_groups_of_transfers_have_one_timer(spark):
+    """Ends and repeats that come later, and transfers due at the watermark and just behind it."""
+    rows = [(i, f"t{i}", "TransactionCreated") for i in range(60)]
+    rows += [(100, "t0", "TransactionSucceeded"), (100, "t59", "TransactionFailed")]
+    later = [(i, f"t{i}", "TransactionSucceeded") for i in range(101, 160)]
+    later += [(140, "t50", "TransactionSucceeded"), (150, "t51", "TransactionCreated"), (150, "t0", "TransactionCreated")]
+    folder = shared_dir(spark, "test")
+    for part, until in ((rows, 11), (later, 60)):
+        log = spark.createDataFrame(part, "seq long, aggregate_id string, kind string")
+        at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, seq)")
+        stream = feed(spark, folder, log.withColumn("created_at", at))
+        p.until_caught_up(stateful.overdue_transactions(stream, folder, 90_000, groups=3))
+        late = [r.id for r in stateful.read_overdue(spark, folder).collect()]
+        ended = {0, 59} | ({50} if until == 60 else set())
+        assert sorted(late) == sorted(f"t{i}" for i in range(until) if i not in ended)
+    assert stateful.state_rows(spark, folder, "overdue", "state").count() <= 3
