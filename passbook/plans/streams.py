@@ -62,16 +62,28 @@ def stream_dedup_redelivery(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("kind", F.lit(CATCH_UP)).withColumn("status", F.lit(OPEN))
 
 
-def _published(spark: SparkSession, log: DataFrame, folder: str) -> None:
-    """Add the log to the one topic partition in ``folder``, in files that many tasks wrote."""
+#: Files of a topic, at least, and the rows of a larger file.
+TOPIC_FILES, FILE_ROWS = 4, 1 << 19
+
+
+def _topic_files(n_rows: int, rows: int = FILE_ROWS) -> int:
+    """Files that a topic of so many rows is written in: they grow in number, not in size."""
+    return TOPIC_FILES * max(1, -(-n_rows // (TOPIC_FILES * rows)))
+
+
+def _published(spark: SparkSession, log: DataFrame, folder: str) -> int:
+    """Add the log to the one topic partition in ``folder``, in files that many tasks wrote;
+    returns how many of them are a quarter."""
+    files_of_all = _topic_files(log.count())
     numbers = sinks.numbered(log, "accounts", 1)
-    numbers.repartition(4, "seq").write.mode("append").parquet(f"{folder}/topic")
+    numbers.repartition(files_of_all, "seq").write.mode("append").parquet(f"{folder}/topic")
+    return files_of_all // TOPIC_FILES
 
 
-def _consumed(spark: SparkSession, folder: str, checkpoint: str | None = None) -> None:
-    """The topic as it is by now, file by file."""
+def _consumed(spark: SparkSession, folder: str, max_files: int, checkpoint: str | None = None) -> None:
+    """The topic as it is by now, a quarter of the files that were published at a time."""
     schema = spark.read.parquet(f"{folder}/topic").schema
-    feed = files.stream_table(spark, f"{folder}/topic", schema, max_files=1)
+    feed = files.stream_table(spark, f"{folder}/topic", schema, max_files=max_files)
     p.until_caught_up(frontier.frontier_projection(feed, folder, checkpoint=checkpoint))
 
 
@@ -80,11 +92,11 @@ def stream_drop_late(spark: SparkSession, d: str) -> DataFrame:
     again: rows wait for those before them, and late copies are dropped."""
     folder = shared_dir(spark, "late")
     log = canonical.typed_log(spark, d)
-    _published(spark, log, folder)
-    _consumed(spark, folder)
+    quarter = _published(spark, log, folder)
+    _consumed(spark, folder, quarter)
     again = spark.read.parquet(f"{folder}/topic").where(F.pmod("seq", F.lit(7)) == 0)
     saved(again, f"{folder}/again").write.mode("append").parquet(f"{folder}/topic")
-    _consumed(spark, folder)
+    _consumed(spark, folder, quarter)
     return frontier.read_frontier(spark, folder)
 
 
@@ -186,9 +198,9 @@ def stream_atomic_commit(spark: SparkSession, d: str) -> DataFrame:
     """The token and the effects it stands for, after the checkpoint was lost: the engine then
     reads everything again, and nothing of it counts twice."""
     folder = shared_dir(spark, "atomic")
-    _published(spark, canonical.typed_log(spark, d), folder)
-    _consumed(spark, folder)
-    _consumed(spark, folder, checkpoint="again")
+    quarter = _published(spark, canonical.typed_log(spark, d), folder)
+    _consumed(spark, folder, quarter)
+    _consumed(spark, folder, quarter, checkpoint="again")
     effects = frontier.read_frontier(spark, folder).agg(
         F.sum("balance").alias("held"), F.sum("version").alias("events")
     )

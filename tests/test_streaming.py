@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import serial
 from passbook.operators import folds, sinks
+from passbook.plans import streams
 from passbook.session import shared_dir
 from passbook.sources import files
 from passbook.streaming import frontier, reactor, stateful
@@ -385,3 +386,17 @@ def test_groups_of_transfers_have_one_timer(spark):
         ended = {0, 59} | ({50} if until == 60 else set())
         assert sorted(late) == sorted(f"t{i}" for i in range(until) if i not in ended)
     assert stateful.state_rows(spark, folder, "overdue", "state").count() <= 3
+
+
+def test_a_larger_topic_has_more_files_and_as_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(streams, "_topic_files", lambda n, f=streams._topic_files: f(n, 20))
+    log = ledger(spark, 400).withColumn("tx_id", F.lit(None).cast("string"))
+    folder = shared_dir(spark, "test")
+    quarter = streams._published(spark, log, folder)
+    topic = spark.read.parquet(f"{folder}/topic")
+    assert quarter == 5 and len(topic.inputFiles()) == 20
+    assert topic.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 60
+    streams._consumed(spark, folder, quarter)
+    assert documents(frontier.read_frontier(spark, folder)) == documents(folds.fold_balance_projection(log))
+    batches = BatchTable(spark, f"{folder}/frontier", frontier.ROWS)._batches()
+    assert set(batches) == {-1, 0, 1, 2, 3}
