@@ -15,7 +15,7 @@ are packed, which is a table of fixed size however many documents there are:
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +33,17 @@ STEP, ROUNDS = 64, 400
 SHORT, SHORT_WEIGHT = 128, 0.1
 #: Id that ends a document.
 END = 0
+#: Bytes of text that are encoded at once: a worker needs up to a hundred times as many.
+ENCODED_BYTES = 1 << 19
 
 
-def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, piece, start, length, ids).
-
-    A document is its ids and the end id; null text is empty. Documents longer than a
-    sequence are cut into full pieces and a last one. ``ids`` are little-endian unsigned
-    32-bit integers.
-    """
+def cutter(tokenizer: str, sequence: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does for ``pieces``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.Encoder.of(tokenizer, spaced=False)
         for whole in batches:
-            for batch in arrays.blocks(whole):
+            for batch in arrays.blocks(whole, most=ENCODED_BYTES):
                 ids, bounds = encoder.encode(arrays.texts_of(batch.column("text")))
                 size = np.diff(bounds) + 1
                 out = np.full(int(size.sum()), END, "<u4")
@@ -71,8 +68,18 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
 
+    return cut
+
+
+def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
+    """``docs`` (doc_id, text) as (doc_id, piece, start, length, ids).
+
+    A document is its ids and the end id; null text is empty. Documents longer than a
+    sequence are cut into full pieces and a last one. ``ids`` are little-endian unsigned
+    32-bit integers.
+    """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids binary"
+        cutter(tokenizer, sequence), "doc_id long, piece int, start long, length long, ids binary"
     )
 
 
