@@ -32,7 +32,7 @@ CELL = 1 << 16
 #: Shares that the rows of one account are dealt to.
 SHARES = 16
 #: Accounts of the history in a group, and the fewest groups.
-ACCOUNTS, MIN_GROUPS = 1 << 10, 1 << 8
+ACCOUNTS, MIN_GROUPS = 1 << 13, 1 << 8
 #: Groups of transfers that wait for their end.
 GROUPS = 1 << 13
 
