@@ -15,6 +15,9 @@ Verdicts are found out of order, from bounds on balances:
 * An account with more legs than a limit is folded in parts, one per cell of positions,
   so that no task holds more of it than a cell. The bounds at the start of a part come
   from sums over the parts before it, and from where the last round left the part before.
+  Certain money at the end of a part goes to the next part where a withdrawal is open, so
+  legs become fewer with the open transfers; each round counts them anew, and an account
+  with few of them left is folded whole again.
 * Accounts that live near zero and pay each other leave chains of transfers that wait for
   each other. When rounds decide little, the open transfers are cut into groups of accounts
   that pay each other, and each group is run in order, all groups side by side; of a group
@@ -75,7 +78,8 @@ from passbook.session import saved, shared_dir
 
 # Positions are cut into at most MAX_CELLS cells. An account is folded in parts above
 # SPLIT_LEGS legs, or above 1/MAX_HEAVY of all legs, which bounds the number of such
-# accounts by MAX_HEAVY: few enough to broadcast.
+# accounts by MAX_HEAVY: few enough to broadcast. With another limit there may be more of
+# them, and how they are joined is left to Spark.
 MIN_WIDTH = 1 << 20
 MAX_CELLS = 1 << 12
 SPLIT_LEGS = 1 << 20
@@ -161,6 +165,7 @@ def _result_schema(key: T.DataType) -> T.StructType:
             T.StructField("verdict", T.IntegerType()),
             T.StructField("low", T.LongType()),
             T.StructField("high", T.LongType()),
+            T.StructField("first_open", T.LongType()),
         ]
     )
 
@@ -178,7 +183,7 @@ def _fold(legs: DataFrame, schema: T.StructType) -> DataFrame:
 def _openings(legs: DataFrame, ends: DataFrame | None) -> DataFrame:
     """Bounds of the balance at the start of each part: account, part, money (low), gap (high).
 
-    ``legs`` are those of accounts folded in parts, ``ends`` the parts' ends of the last round.
+    ``legs`` are those of accounts folded in parts, ``ends`` what ``_ends`` says of the last round.
     Open withdrawals all pass or all fail in the sums; certain and open losses add up to a
     floor, as no withdrawal goes below zero. Sums are decimals, and are cut to 64 bits. A
     window holds one row per part of an account, at most ``MAX_CELLS``.
@@ -204,12 +209,11 @@ def _openings(legs: DataFrame, ends: DataFrame | None) -> DataFrame:
         F.sum("high").over(before).alias("high"),
     )
     if ends is not None:
-        w = Window.partitionBy("account").orderBy("cell")
         known = ends.select(
             "account",
             F.col("cell").alias("part"),
-            F.lag("low").over(w).cast(wide).alias("known_low"),
-            F.lag("high").over(w).cast(wide).alias("known_high"),
+            F.col("low").alias("known_low"),
+            F.col("high").alias("known_high"),
         )
         summed = summed.join(known, ["account", "part"], "left").select(
             "account", "part", F.greatest("low", "known_low").alias("low"), F.least("high", "known_high").alias("high")
@@ -224,6 +228,49 @@ def _openings(legs: DataFrame, ends: DataFrame | None) -> DataFrame:
     )
 
 
+def _ends(result: DataFrame) -> DataFrame:
+    """For each part of a round: money that is pending at its end (gap), where that goes, the
+    first open withdrawal behind it (next, null where no withdrawal waits for it), and bounds
+    of the balance at its start (low, high), without the money that goes past it.
+
+    A window holds one row per part of an account, at most ``MAX_CELLS``.
+    """
+    wide = T.DecimalType(38, 0)
+    w = Window.partitionBy("account").orderBy("cell")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("account").orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    waits = F.col("first_open").isNotNull()
+    zero = F.lit(0).cast(wide)
+    placed = result.where(F.col("tag") == PART_ROW).select(
+        "account",
+        "cell",
+        "gap",
+        waits.alias("waits"),
+        F.lag("low").over(w).alias("low"),
+        F.lag("high").over(w).alias("high"),
+        F.coalesce(F.sum(F.col("gap").cast("decimal(20,0)")).over(before).cast(wide), zero).alias("sum"),
+        F.last(F.when(waits, F.struct("cell", F.col("first_open").alias("seq"))), ignorenulls=True).over(behind).alias("next"),
+    )
+    # What is pending since the last part with an open withdrawal goes past the start of this one.
+    past = F.col("sum") - F.coalesce(F.last(F.when(F.col("waits"), F.col("sum")), ignorenulls=True).over(before), zero)
+    return placed.select(
+        "account",
+        "cell",
+        "gap",
+        "next",
+        (F.col("low").cast(wide) - past).cast(wide).alias("low"),
+        (F.col("high").cast(wide) - past).cast(wide).alias("high"),
+    )
+
+
+def _pending(ends: DataFrame) -> DataFrame:
+    """Pending money of parts as certain money of the next part that waits for it."""
+    due = ends.where((F.col("gap") != 0) & F.col("next").isNotNull())
+    return due.groupBy("account", "next").agg(F.sum(F.col("gap").cast("decimal(38,0)")).alias("money")).select(
+        "account", "next.cell", "next.seq", F.col("money").cast("long").alias("money")
+    )
+
+
 def _run_groups(
     open_transfers: DataFrame, certain: DataFrame, most: int, schema: T.StructType, folder: str
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
@@ -280,19 +327,9 @@ def _paid(decided: DataFrame) -> DataFrame:
     )
 
 
-def _heavy_accounts(sided: DataFrame, limit: int) -> DataFrame:
-    sides = F.array(
-        F.when(F.col("origin") == OPEN_SIDE, F.struct(F.col("from_id").alias("account"))),
-        F.when(F.col("dest") == OPEN_SIDE, F.struct(F.col("to_id").alias("account"))),
-    )
-    return (
-        sided.select(F.inline(sides))
-        .where("account IS NOT NULL")
-        .groupBy("account")
-        .count()
-        .where(F.col("count") > limit)
-        .select("account")
-    )
+def _heavy_accounts(legs: DataFrame, limit: int) -> DataFrame:
+    counts = legs.groupBy("account").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > limit).select("account", F.lit(True).alias("heavy"))
 
 
 def settle(
@@ -308,9 +345,10 @@ def settle(
 
     ``transfers``: seq (long, unique), from_id, to_id (null for no leg), money.
     ``accounts``: account_id, status. ``opening``: account_id, balance before the
-    first transfer (0 where missing). ``width`` is the number of positions per cell,
-    ``split_legs`` the number of legs above which an account is folded in parts, and
-    ``max_dirty`` the number of new verdicts up to which only their accounts are folded;
+    first transfer (0 where missing). ``width`` is the number of positions per cell (more
+    where that makes over ``MAX_CELLS`` cells), ``split_legs`` the number of legs above which
+    an account is folded in parts, and ``max_dirty`` the number of new verdicts up to which
+    only their accounts are folded;
     ``slice_width`` is the number of transfers of a group that are run in order at a time,
     where rounds decide little.
 
@@ -326,29 +364,30 @@ def settle(
         F.count_if(F.col("origin") == OPEN_SIDE).alias("tries"),
     ).first()
     lo = bounds["lo"]
-    width = width or max(MIN_WIDTH, -(-(bounds["hi"] - lo + 1) // MAX_CELLS))
+    width = max(width or MIN_WIDTH, -(-(bounds["hi"] - lo + 1) // MAX_CELLS))
     last_cell = (bounds["hi"] - lo) // width
     limit = split_legs or max(SPLIT_LEGS, -(-bounds["legs"] // MAX_HEAVY))
-    heavy = None
-    if bounds["legs"] > limit and last_cell > 0:
-        heavy = saved(_heavy_accounts(sided, limit), f"{folder}/heavy")
-        heavy = None if heavy.isEmpty() else F.broadcast(heavy.withColumn("heavy", F.lit(True)))
+    splits = bounds["legs"] > limit and last_cell > 0  # accounts may have more legs than that
+    heavy, n_heavy = None, 0  # accounts that this round folds in parts
+
+    def few(x: DataFrame) -> DataFrame:
+        return F.broadcast(x) if heavy is None or n_heavy <= MAX_HEAVY else x
 
     def in_parts(legs: DataFrame, ends: DataFrame | None) -> DataFrame:
         """The legs with their part, and the bounds that parts start from."""
         if heavy is None:
             return legs.withColumn("part", F.lit(WHOLE).cast("long"))
         part = F.expr(f"if(heavy, cell, {WHOLE}L)")
-        legs = legs.join(heavy, "account", "left").withColumn("part", part)
+        legs = legs.join(few(heavy), "account", "left").withColumn("part", part)
         openings = _openings(legs.where("heavy"), ends)
         return legs.drop("heavy").unionByName(openings, allowMissingColumns=True)
 
     def reached(decided: DataFrame) -> DataFrame:
-        """Accounts that the decided transfers pay into, and all that are folded in parts."""
+        """Accounts that the decided transfers pay into, and all that were folded in parts."""
         paid = decided.where(F.col("dest") == OPEN_SIDE).select(F.col("to_id").alias("account"))
         if heavy is not None:
             paid = paid.unionByName(heavy.select("account"))
-        return F.broadcast(paid.distinct())
+        return few(paid.distinct())
 
     cell = F.expr(f"(seq - {lo}L) div {width}L").cast("long")
     open_transfers = sided.where(F.col("origin") == OPEN_SIDE).select(
@@ -376,13 +415,18 @@ def settle(
     done: list[DataFrame] = []
     left = bounds["tries"]  # open transfers
     dirty = None  # accounts to fold; nothing is new for the others
-    ends = None  # bounds at the ends of parts, of the last round
+    ends = None  # what is known of the parts of the last round
     steps = 0
 
     while left:
         legs = _legs(open_transfers, certain)
         if dirty is not None:
             legs = legs.join(dirty, "account", "left_semi")
+        if splits:
+            heavy = saved(_heavy_accounts(legs, limit), f"{folder}/heavy-{steps:05d}")
+            n_heavy = heavy.count()
+            heavy = heavy if n_heavy else None
+            splits = n_heavy > 0  # rounds do not make more legs
         folded = _fold(in_parts(legs, ends), schema)
         if dirty is not None:
             others = open_transfers.join(dirty, "account", "left_anti").selectExpr(
@@ -399,10 +443,11 @@ def settle(
         steps += 1
         if not left:
             break
-        ends = result.where(F.col("tag") == PART_ROW)
+        ends = saved(_ends(result), f"{folder}/ends-{steps:05d}") if heavy is not None else None
         open_transfers = result.where((F.col("tag") == WITHDRAWAL_ROW) & (F.col("verdict") == UNDECIDED)).select(*names)
-        pending = ends.where(F.col("gap") != 0).select("account", "cell", "seq", F.col("gap").alias("money"))
-        certain = _paid(decided).unionByName(pending)
+        certain = _paid(decided)
+        if ends is not None:
+            certain = certain.unionByName(_pending(ends))
         dirty = reached(decided) if found <= max_dirty else None
         if found * 8 > open_before:
             continue
@@ -412,6 +457,7 @@ def settle(
             break
         left -= ran.count()
         open_transfers, certain, dirty = later, kept, None
+        splits = bounds["legs"] > limit and last_cell > 0
 
     untried = sided.where(F.col("origin") != OPEN_SIDE).withColumn("ok", F.col("origin") == NO_SIDE)
     for part in done:

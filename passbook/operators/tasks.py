@@ -49,23 +49,25 @@ def bounds_of_legs(leg, money, gap, moves, starts, ends, low, high, pending):
     """
     n = len(leg)
     verdict, new_gap = np.zeros(n, np.int8), np.zeros(n, np.int64)
-    low, high, pending = (list(map(int, x)) for x in (low, high, pending))
+    low, high, pending = (x if isinstance(x, np.ndarray) else np.array(x, object) for x in (low, high, pending))
     first = starts.copy()
     size = ends - starts
     is_w = leg == WITHDRAW_LEG
     reach = np.abs(money.astype(float)) + np.abs(gap.astype(float))
-    most = np.add.reduceat(reach, starts) + np.array([max(abs(a), abs(b), abs(c)) for a, b, c in zip(low, high, pending)], float)
+    most = np.add.reduceat(reach, starts) + np.max([np.abs(x.astype(float)) for x in (low, high, pending)], axis=0)
     narrow = most < WIDE
+    kind = np.int64 if narrow.all() else object  # wide groups end in Python's numbers
+    low, high, pending = (x.astype(kind) for x in (low, high, pending))
     if narrow.any():
         # As long as the lower bound covers all withdrawals, all of them are accepted.
         sure = np.where(leg == CERTAIN_LEG, money, np.where(is_w, gap, 0))
         taken = np.where(is_w & moves, money, 0)
         paid = np.where(leg == DEPOSIT_LEG, money, 0)
 
-        def path(steps: np.ndarray, at_start: list[int]) -> np.ndarray:
+        def path(steps: np.ndarray, at_start: np.ndarray) -> np.ndarray:
             with np.errstate(over="ignore"):  # wide groups are not read
                 total = np.cumsum(steps)
-                opens = np.array([x if ok else 0 for x, ok in zip(at_start, narrow)], np.int64)
+                opens = np.where(narrow, at_start, 0).astype(np.int64)
                 return total - np.repeat(total[starts] - steps[starts] - opens, size)
 
         lower = path(sure - taken + np.minimum(paid, 0), low)
@@ -78,16 +80,16 @@ def bounds_of_legs(leg, money, gap, moves, starts, ends, low, high, pending):
         verdict[done & is_w] = ACCEPTED
         upper = path(sure - taken + np.maximum(paid, 0), high)
         since = path(sure - taken, pending)
-        for g in np.flatnonzero(stop > starts).tolist():
-            at = stop[g] - 1
-            low[g], high[g], pending[g] = int(lower[at]), int(upper[at]), int(since[at])
+        some = np.flatnonzero(stop > starts)
+        at = stop[some] - 1
+        low[some], high[some], pending[some] = lower[at], upper[at], since[at]
         first = stop
     active = np.flatnonzero(narrow & (first < ends))
     if len(active) >= FEW:
         _scan_together(leg, money, gap, moves, first, ends, low, high, pending, active, verdict, new_gap)
     for g in np.flatnonzero(first < ends).tolist():
         part = slice(first[g], ends[g])
-        a, b, c = low[g], high[g], pending[g]
+        a, b, c = int(low[g]), int(high[g]), int(pending[g])
         columns = (x[part].tolist() for x in (leg, money, gap, moves))
         for i, (kind, m, extra, moving) in enumerate(zip(*columns), start=int(first[g])):
             if kind == CERTAIN_LEG:
@@ -114,7 +116,7 @@ def bounds_of_legs(leg, money, gap, moves, starts, ends, low, high, pending):
 
 def _scan_together(leg, money, gap, moves, first, ends, low, high, pending, active, verdict, new_gap) -> None:
     """The scan of many groups at once, a leg of each at a time, until few groups are left."""
-    a, b, c = (np.array([x[g] for g in active], np.int64) for x in (low, high, pending))
+    a, b, c = (x[active].astype(np.int64) for x in (low, high, pending))
     at = first[active].copy()
     live = np.arange(len(active))
     while len(live) >= FEW:
@@ -135,8 +137,7 @@ def _scan_together(leg, money, gap, moves, first, ends, low, high, pending, acti
         c[live] = np.where(open_, 0, lc - out)
         at[live] += 1
         live = live[at[live] < ends[active[live]]]
-    for k, g in enumerate(active.tolist()):
-        low[g], high[g], pending[g] = int(a[k]), int(b[k]), int(c[k])
+    low[active], high[active], pending[active] = a, b, c
     first[active] = at
 
 
@@ -144,20 +145,24 @@ def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
     """Bound the balances along the legs of sorted (account, part) groups, batch by batch.
 
     Emits each withdrawal with its verdict and gap, and one row per part of an account that
-    is folded in parts: the bounds after it, and the money that is pending there.
+    is folded in parts: the bounds after it, the money that is pending there, and the
+    position of the first withdrawal that is still open in it.
     """
     held = None  # (account, part) left open by the batch before
     state = (0, 0, 0)
-    at = None  # last position of the open group
+    waits = None  # position of the first open withdrawal of the open group
 
-    def end(rows: list[tuple]) -> pa.RecordBatch:
-        columns = dict(zip(("account", "cell", "low", "high", "gap", "seq"), zip(*rows)))
-        columns["tag"] = [PART_ROW] * len(rows)
-        return _batch(columns, len(rows), schema)
+    def part_rows(account, part, low, high, pending, waiting: pa.Array) -> pa.RecordBatch:
+        if low.dtype == object:
+            low, high = (np.array([max(LOWEST, min(x, HIGHEST)) for x in y], np.int64) for y in (low, high))
+            pending = np.array([within(x) for x in pending], np.int64)
+        tag = np.full(len(part), PART_ROW, np.int32)
+        names = ("tag", "account", "cell", "low", "high", "gap", "first_open")
+        return _batch(dict(zip(names, (tag, account, part, low, high, pending, waiting))), len(part), schema)
 
-    def part_row(group: tuple, bounds: tuple, seq: int | None) -> tuple:
-        low, high, pending = bounds
-        return (*group, max(LOWEST, min(low, HIGHEST)), max(LOWEST, min(high, HIGHEST)), within(pending), seq)
+    def held_row() -> pa.RecordBatch:
+        bounds = (np.array([x], object) for x in state)
+        return part_rows(np.array([held[0]]), np.array([held[1]], np.int64), *bounds, pa.array([waits], pa.int64()))
 
     for batch in batches:
         n = batch.num_rows
@@ -171,16 +176,15 @@ def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
         dest = batch.column(7).fill_null(NO_SIDE).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.concatenate(([True], (account[1:] != account[:-1]) | (part[1:] != part[:-1]))))
         ends = np.append(starts[1:], n)
-        ended: list[tuple] = []
         resumed = held is not None and held == (account[0], part[0])
         if held is not None and not resumed and held[1] != WHOLE:
-            ended.append(part_row(held, state, at))
-        low, high, pending = ([0] * len(starts) for _ in range(3))
+            yield held_row()
+        fits = not resumed or all(LOWEST <= x <= HIGHEST for x in state)
+        low, high, pending = (np.zeros(len(starts), np.int64 if fits else object) for _ in range(3))
         if resumed:
             low[0], high[0], pending[0] = state
-        opens = leg[starts] == OPENING_LEG
-        for g in np.flatnonzero(opens).tolist():
-            low[g], high[g] = int(money[starts[g]]), int(gap[starts[g]])
+        opens = np.flatnonzero(leg[starts] == OPENING_LEG)
+        low[opens], high[opens] = money[starts[opens]], gap[starts[opens]]
         opening = leg == OPENING_LEG
         money, gap = np.where(opening, 0, money), np.where(opening, 0, gap)
         leg = np.where(opening, CERTAIN_LEG, leg)
@@ -190,11 +194,20 @@ def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
             leg, money, gap, moves, starts, ends, low, high, pending
         )
         seq = batch.column(2)
-        lasts = seq.take(pa.array(ends - 1)).to_pylist()
-        for g in np.flatnonzero(part[starts[:-1]] != WHOLE).tolist():
-            ended.append(part_row((account[starts[g]], int(part[starts[g]])), (low[g], high[g], pending[g]), lasts[g]))
+        still = np.flatnonzero((leg == WITHDRAW_LEG) & (verdict == UNDECIDED))
+        waiting = np.full(len(starts), -1)  # first open withdrawal of each group, -1 for none
+        waiting[np.searchsorted(starts, still[::-1], side="right") - 1] = still[::-1]
+        first_open = seq.take(pa.array(waiting, mask=waiting < 0))
+        if resumed and waits is not None:
+            first_open = pa.concat_arrays([pa.array([waits], pa.int64()), first_open[1:]])
+        ended = np.flatnonzero(part[starts[:-1]] != WHOLE)
+        if len(ended):
+            yield part_rows(
+                account[starts[ended]], part[starts[ended]], low[ended], high[ended], pending[ended],
+                first_open.take(pa.array(ended)),
+            )
         held = (account[starts[-1]], int(part[starts[-1]]))
-        state, at = (low[-1], high[-1], pending[-1]), lasts[-1]
+        state, waits = (int(low[-1]), int(high[-1]), int(pending[-1])), first_open[-1].as_py()
         pick = np.flatnonzero(leg == WITHDRAW_LEG)
         if len(pick):
             taken = batch.take(pa.array(pick))
@@ -213,10 +226,8 @@ def fold_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iter
                 len(pick),
                 schema,
             )
-        if ended:
-            yield end(ended)
     if held is not None and held[1] != WHOLE:
-        yield end([part_row(held, state, at)])
+        yield held_row()
 
 
 def _batch(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:

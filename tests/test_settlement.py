@@ -138,6 +138,78 @@ def test_all_accounts_in_parts_equals_none(spark):
     check(spark, ledger, dict.fromkeys(names, "OPEN"), width=100, split_legs=1)
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """The tables that settlement stores, by name."""
+    kept, stored = {}, settlement.saved
+
+    def saved(df, path, *args):
+        kept[path.rsplit("/", 1)[-1]] = out = stored(df, path, *args)
+        return out
+
+    monkeypatch.setattr(settlement, "saved", saved)
+    return kept
+
+
+def waiting_ledger():
+    """An account with 300 deposits, 300 withdrawals that they cover and one withdrawal in the
+    middle that asks 5 more than there is, and waits for a chain of payers who have nothing."""
+    names = ["h", *(f"n{i}" for i in range(8))]
+    out = [(1, None, "n0", 9), (2, "n0", None, 5)]
+    out += [(10 + i, f"n{i}", f"n{i + 1}" if i < 7 else "h", 5) for i in range(8)]
+    for first in (100, 401):
+        out += [(first + 2 * i, None, "h", 10) for i in range(150)] + [(first + 2 * i + 1, "h", None, 7) for i in range(150)]
+    out.append((400, "h", None, 455))
+    return out, dict.fromkeys(names, "OPEN")
+
+
+def test_rounds_shrink_with_the_open_transfers(spark, tables):
+    """Money that is certain in parts without an open withdrawal is not carried from round to
+    round, and an account with few legs left is folded whole."""
+    transfers, accounts = waiting_ledger()
+    rows = check(spark, transfers, accounts, width=4, split_legs=40, max_dirty=0, slice_width=1)
+    assert rows[400][0] == "FAILED"
+    parts = {n: t.where(F.col("tag") == tasks.PART_ROW).count() for n, t in tables.items() if n.startswith("round-")}
+    assert parts.pop("round-00000") > 100
+    assert parts and max(parts.values()) == 0
+
+
+def test_a_given_width_makes_a_bounded_number_of_cells(spark, tables, monkeypatch):
+    monkeypatch.setattr(settlement, "MAX_CELLS", 16)
+    transfers, accounts = waiting_ledger()
+    check(spark, transfers, accounts, width=1, split_legs=40)
+    parts = tables["round-00000"].where(F.col("tag") == tasks.PART_ROW).groupBy("account").count()
+    assert 1 < parts.agg(F.max("count")).first()[0] <= 16
+
+
+@pytest.mark.parametrize("seed,negative,max_dirty", [(21, False, 0), (22, True, 5), (23, False, 100_000)])
+def test_accounts_that_stay_in_parts(spark, seed, negative, max_dirty):
+    """Money that goes past the start of a part is not in the bounds that the part starts from."""
+    names = [f"n{i}" for i in range(6)]
+    accounts = dict.fromkeys(names, "OPEN") | {"n5": "FROZEN"}
+    ledger = random_ledger(seed, 300, names, hot="n1", negative=negative)
+    check(spark, ledger, accounts, {"n1": 200, "n2": 90}, width=25, split_legs=6, max_dirty=max_dirty)
+
+
+def test_ends_of_parts(spark):
+    """Parts with and without an open withdrawal: bounds, pending money, first open position."""
+    rows = [
+        (1, "a", 0, 10, 20, 4, None),
+        (1, "a", 1, 12, 25, 3, 15),
+        (1, "a", 3, 14, 30, -2, None),
+        (1, "a", 4, 16, 35, 0, None),
+        (1, "a", 6, 18, 40, 7, 61),
+        (1, "a", 8, 20, 45, 1, None),
+    ]
+    result = spark.createDataFrame(rows, "tag int, account string, cell long, low long, high long, gap long, first_open long")
+    ends = settlement._ends(result)
+    bounds = {r["cell"]: (r["low"], r["high"]) for r in ends.collect()}
+    # Past the start of part 1 go 4, of part 3 the 3 of part 1, of parts 4 and 6 its 3 - 2, of part 8 the 7.
+    assert bounds == {0: (None, None), 1: (6, 16), 3: (9, 22), 4: (13, 29), 6: (15, 34), 8: (11, 33)}
+    moved = {(r["cell"], r["seq"], r["money"]) for r in settlement._pending(ends).collect()}
+    assert moved == {(1, 15, 4), (6, 61, 1)}
+
+
 def test_no_transfers(spark):
     assert settle(spark, [], OPEN2).count() == 0
 
