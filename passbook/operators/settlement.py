@@ -21,7 +21,8 @@ Verdicts are found out of order, from bounds on balances:
 * Accounts that live near zero and pay each other leave chains of transfers that wait for
   each other. When rounds decide little, the open transfers are cut into groups of accounts
   that pay each other, and each group is run in order, all groups side by side; of a group
-  with more transfers than ``SLICE`` only the first ones, before the rounds go on.
+  with more transfers than ``SLICE`` only the first ones, before the rounds go on. A smaller
+  slice than that grows from turn to turn, so turns do not become many with a large group.
 
 Each round writes the verdicts it found and the transfers still open to the shared folder,
 which cuts its lineage; a lost executor costs the current round at most.
@@ -87,8 +88,10 @@ MAX_HEAVY = 10_000
 # With no more changed verdicts than this, a round folds only the accounts they pay into,
 # which are then few enough to broadcast.
 MAX_DIRTY = 100_000
-# Transfers of one group that are run in order at a time.
+# Transfers of one group that are run in order at a time. A smaller number that is given
+# grows to this one, by a factor for each turn.
 SLICE = 1 << 20
+SLICE_GROWTH = 8
 
 _DISABLED = {CLOSED_SIDE: CLOSED, FROZEN_SIDE: FROZEN}
 _LEG_COLUMNS = ("account", "cell", "seq", "leg", "money", "gap", "to_id", "dest")
@@ -349,8 +352,8 @@ def settle(
     where that makes over ``MAX_CELLS`` cells), ``split_legs`` the number of legs above which
     an account is folded in parts, and ``max_dirty`` the number of new verdicts up to which
     only their accounts are folded;
-    ``slice_width`` is the number of transfers of a group that are run in order at a time,
-    where rounds decide little.
+    ``slice_width`` is the number of transfers of a group that are run in order in the first
+    turn, where rounds decide little; each further turn runs more, up to ``SLICE``.
 
     Returns seq, from_id, to_id, money, status, reason, rollback, withdrawn,
     deposited, refunded.
@@ -455,6 +458,7 @@ def settle(
         done.append(ran.select(*names, "verdict"))
         if later is None:
             break
+        slice_width = max(slice_width, min(slice_width * SLICE_GROWTH, SLICE))
         left -= ran.count()
         open_transfers, certain, dirty = later, kept, None
         splits = bounds["legs"] > limit and last_cell > 0

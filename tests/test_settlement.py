@@ -210,6 +210,16 @@ def test_ends_of_parts(spark):
     assert moved == {(1, 15, 4), (6, 61, 1)}
 
 
+def test_turns_grow(spark, tables):
+    """One group of 1,500 transfers between poor accounts takes a few turns, not one for each slice."""
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(40)]
+    out = [(i + 1, None, n, 9) for i, n in enumerate(names)]
+    out += [(seq, *rng.sample(names, 2), rng.randint(1, 30)) for seq in range(41, 1541)]
+    check(spark, out, dict.fromkeys(names, "OPEN"), slice_width=4)
+    assert 2 <= sum(n.endswith("-ran") for n in tables) <= 5
+
+
 def test_no_transfers(spark):
     assert settle(spark, [], OPEN2).count() == 0
 
