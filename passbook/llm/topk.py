@@ -9,7 +9,8 @@ Vectors are cut into lists of components; a list knows its part of every score o
 3. The scores of the reported vectors are resolved exactly, and the best ones are the result.
 
 Queries and vectors meet in blocks; what leaves a block is a list per query. Components are
-whole numbers, and all sums are exact.
+whole numbers, and all sums are exact. Vectors are many times larger in memory than as stored,
+so joins are merge joins on the side of vectors: the driver gets none to broadcast.
 """
 
 from __future__ import annotations
@@ -151,10 +152,10 @@ def top(rows: DataFrame, chosen: Column, k: int = 5, scale: int = 256) -> DataFr
     valid = rows.select(F.col("vec_id").cast("long").alias("vec_id"), given.alias("v")).where(finite(F.col("v")))
     valid = valid.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("long")))
     known = classes(valid, k)
-    asked = queries_of(valid, known, chosen)
+    asked = queries_of(valid, known.hint("merge"), chosen)
     most = k + 1
     n_blocks = max(1, -(-known.count() // BLOCK_ROWS))
-    asking = known.join(asked.select("cid").distinct(), "cid")
+    asking = known.join(asked.select("cid").distinct(), "cid", "left_semi")
     asking = saved(asking, shared_dir(spark, "asking"))
     n_query_blocks = max(1, -(-asking.count() // BLOCK_QUERIES))
 
@@ -166,7 +167,8 @@ def top(rows: DataFrame, chosen: Column, k: int = 5, scale: int = 256) -> DataFr
     block = F.pmod(F.xxhash64("cid"), F.lit(n_blocks)).cast("int").alias("block")
     query_block = F.pmod(F.xxhash64(F.lit("query"), "cid"), F.lit(n_query_blocks)).cast("int").alias("query_block")
     members = known.select("cid", own, "v", size, block).withColumn("query_block", numbers(n_query_blocks))
-    queries = asking.select("cid", "v", size, query_block).withColumn("block", numbers(n_blocks))
+    placed = asking.select("cid", "v", size, query_block)
+    queries = placed.withColumn("block", numbers(n_blocks))
     width = F.ceil(F.col("dim") / LISTS).cast("int")
 
     def cut(frame: DataFrame) -> DataFrame:
@@ -187,7 +189,8 @@ def top(rows: DataFrame, chosen: Column, k: int = 5, scale: int = 256) -> DataFr
     )
     of_query = asking.select(F.col("cid").alias("qid"), F.col("v").alias("q"))
     total = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    totals = seen.join(of_query, "qid").join(known.select("cid", "v"), "cid").select("qid", "cid", total.alias("score"))
+    totals = seen.join(of_query.hint("merge"), "qid").join(known.select("cid", "v").hint("merge"), "cid")
+    totals = totals.select("qid", "cid", total.alias("score"))
     # The k-th best of what was seen, or nothing to go by where less was seen.
     # Found in shares first, as the scores that were seen grow in number with the blocks.
     shares = max(1, math.isqrt(n_blocks))
@@ -199,11 +202,12 @@ def top(rows: DataFrame, chosen: Column, k: int = 5, scale: int = 256) -> DataFr
         F.col("qid").alias("cid"), F.coalesce(cutoff, F.lit(-(1 << 62))).alias("cutoff")
     )
     cutoffs = saved(cutoffs, shared_dir(spark, "cutoffs"))
-    reported = met(cut(queries.join(cutoffs, "cid")), cut(members), in_lists, _sufficient(LISTS), FOUND)
+    limited = placed.hint("merge").join(cutoffs, "cid").withColumn("block", numbers(n_blocks))
+    reported = met(cut(limited), cut(members), in_lists, _sufficient(LISTS), FOUND)
     each = reported.select("qid", F.explode("cids").alias("cid")).distinct()
     wanted = each.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(n_blocks)).cast("int"))
     wanted = wanted.groupBy("qid", "block").agg(F.collect_list("cid").alias("cids"))
-    wanted = wanted.withColumnRenamed("qid", "cid").join(queries, ["cid", "block"])
+    wanted = wanted.withColumnRenamed("qid", "cid").join(placed.hint("merge"), "cid")
     resolved = met(wanted, members, where, _resolved(most))
     scored = resolved.groupBy("qid").applyInArrow(
         lambda t: best(t, most), "qid long, cid long, first long, score long"

@@ -1,12 +1,13 @@
 """Nearest vectors where lengths differ and where there are few, next to all scores."""
 
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.llm import ann, queries, topk
+from passbook.llm import ann, neighbours, queries, topk
 from passbook.session import saved
 
 
@@ -106,3 +107,24 @@ def test_exact_search_in_many_blocks(spark, monkeypatch):
     assert len(found) == 450
     for i in range(0, 900, 2):
         assert found[i] == [(j, int(v[j] @ v[i])) for j in wanted(ids, v, i, 7)]
+
+
+def test_exact_search_broadcasts_no_vectors(spark, monkeypatch):
+    """The driver builds what is broadcast, and queries times blocks, or vectors that are small as stored, outgrow it."""
+    frames = []
+
+    def keep(frame, *args, **kwargs):
+        frames.append(frame)
+        return saved(frame, *args, **kwargs)
+
+    monkeypatch.setattr(topk, "saved", keep)
+    monkeypatch.setattr(neighbours, "saved", keep)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 90)
+    v = np.random.default_rng(13).integers(-40, 40, size=(900, 6)).astype(float)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    frames.append(topk.top(rows, F.col("vec_id") % 20 == 0, 7, scale=1))
+    assert frames[-1].count() == 45 * 7
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = "\n".join(frame._jdf.queryExecution().explainString(mode) for frame in frames)
+    sent = re.findall(r"BroadcastExchange\nInput \[\d+\]: (.*)", text)
+    assert sent and not [x for x in sent if re.search(r"\b(v|q)#", x)]
